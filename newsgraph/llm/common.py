@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsgraph.session import settle, shared_dir  # noqa: F401
+
 #: Java and RE2 class of a word character, by the contracts: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: 10,000 rows of a page or document table are some 30 MB; longer batches are cut to this many bytes.
@@ -26,23 +26,6 @@ def take(df: DataFrame, **columns: str) -> DataFrame:
     return flat.select(*[F.col(f"_c{names.index(name)}").alias(alias) for alias, name in columns.items()])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine only where the cluster names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage; the rows are in the shared folder, so lost executors lose nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
