@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from newsgraph.plans import graph, series  # noqa: E402, F401
+from newsgraph.plans import graph, quality, series, similar  # noqa: E402, F401
