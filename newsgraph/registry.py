@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from newsgraph.plans import articles, extraction, graph, quality, series, similar, text, vectors  # noqa: E402, F401
+from newsgraph.plans import alerts, articles, extraction, feeds, graph, monitoring, quality, review, series, similar, streams, text, vectors  # noqa: E402, F401
