@@ -86,8 +86,11 @@ class Encoder:
         split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))  # the tokenizer lower-cases as well
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary
-        # letters and then ASCII marks without an apostrophe: the two are encoded apart, as the tokenizer's split does
-        plain = pc.match_substring_regex(words, r"^\p{L}+[!-&(-/:-@\[-`{-~]*$").to_numpy(zero_copy_only=False)
+        # Letters and then ASCII marks without an apostrophe: the two are encoded apart, as the tokenizer's split does.
+        # Only scripts whose letters stay letters when normalised and lower-cased (U+0130 doesn't).
+        letters = pc.match_substring_regex(words, r"^\p{L}+[!-&(-/:-@\[-`{-~]*$")
+        scripts = pc.match_substring_regex(words, r"^[\p{Latin}\p{Greek}\p{Cyrillic}]+[!-&(-/:-@\[-`{-~]*$")
+        plain = pc.and_(pc.and_(letters, scripts), pc.invert(pc.match_substring(words, "\u0130"))).to_numpy(zero_copy_only=False)
         stem = pc.replace_substring_regex(words, r"^(\p{L}+)[!-&(-/:-@\[-`{-~]*$", r"\1")
         marks = pc.replace_substring_regex(words, r"^\p{L}+([!-&(-/:-@\[-`{-~]*)$", r"\1")
         first, second = np.zeros(len(words), np.int64), np.full(len(words), -1)

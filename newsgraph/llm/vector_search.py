@@ -11,7 +11,8 @@ left is scored in exact integers, and ties are never pruned.
 
 Components are floor(256 * x). Defined results: vectors that are null or hold a null or
 non-finite component, and rows without an id, take no part; shorter vectors count as padded
-with zeros; equal scores rank by smaller id; rows that repeat a query's id are one query
+with zeros; scores beyond a long are held at its
+bounds; equal scores rank by smaller id; rows that repeat a query's id are one query
 (the least vector) and never its candidates; repeated candidates count as rows of their
 own; an empty table gives an empty table. Other columns are not looked at.
 """
@@ -67,7 +68,8 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact inner products: in doubles where they can't round, else in whole numbers of any size."""
     if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] < 2**53:
         return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
-    return (q.astype(object) @ x.astype(object).T).astype(np.int64)
+    limits = np.iinfo(np.int64)
+    return np.clip(q.astype(object) @ x.astype(object).T, limits.min + 1, limits.max).astype(np.int64)
 
 
 def dual_search(query_ids, queries, floor, ids, vectors, k: int):
