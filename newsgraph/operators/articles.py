@@ -87,3 +87,9 @@ def gates(stats: DataFrame, least_items: int, most_errors: int) -> DataFrame:
     """stats (items, errors) with whether the run passes, and why not."""
     few, many = F.col("items") < least_items, F.col("errors") > most_errors
     return stats.withColumn("passed", ~few & ~many).withColumn("reason", F.when(few, "pocos_articulos").when(many, "demasiados_errores"))
+
+
+def load_fields(df: DataFrame, processors: dict) -> DataFrame:
+    """Fields through their processors: a name to a function of a column, or to several in turn; absent fields are passed over."""
+    chain = lambda c, steps: reduce(lambda x, f: f(x), steps if isinstance(steps, (list, tuple)) else [steps], F.col(c))
+    return df.withColumns({c: chain(c, steps) for c, steps in processors.items() if c in df.columns})

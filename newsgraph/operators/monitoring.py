@@ -182,3 +182,19 @@ def arrivals(fetches: DataFrame, key: str, moment: str, delay: float, slow_value
     gap = F.unix_micros(F.col(moment).cast("timestamp")) - F.unix_micros(F.lag(F.col(moment).cast("timestamp")).over(Window.partitionBy(key).orderBy(moment, tie)))
     marked = fetches.withColumn("_gap", gap / 1e6)
     return marked.groupBy(key).agg(F.count("*").alias("fetches"), F.count_if(F.col("_gap") < delay * 0.9).alias("too_soon"), F.count_if(F.col("value") > slow_value).alias("slow"))
+
+
+def period_report(events: DataFrame, alerts: DataFrame, hours: int) -> DataFrame:
+    """One row on the last hours before the latest event: samples, errors, peak and mean, alerts by severity, resolution, status, advice.
+
+    events (ts, kind, value, ok) and alerts (ts, severity, resolved_at) are each read once; both sums are one row.
+    """
+    now = F.broadcast(events.agg(F.max("ts").alias("now")))
+    recent = lambda df: df.crossJoin(now).where(F.col("ts") > F.col("now") - F.make_dt_interval(F.lit(0), F.lit(hours)))
+    used = recent(events).agg(F.count("*").alias("samples"), F.count_if(~F.col("ok")).alias("errors"), F.max("value").alias("peak"), F.avg("value").alias("mean"))
+    open_for = (F.unix_timestamp(F.col("resolved_at").cast("timestamp")) - F.unix_timestamp(F.col("ts").cast("timestamp"))) / 60.0
+    told = recent(alerts).agg(F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "warning").alias("warning"), F.count_if(F.col("resolved_at").isNull()).alias("open"), F.avg(open_for).alias("minutes_to_resolve"))
+    row = used.crossJoin(F.broadcast(told))  # one row each
+    status = F.when((F.col("critical") > 0) & (F.col("open") > 0), "critical").when(F.col("warning") > 0, "warning").otherwise("healthy")
+    rules = F.array_compact(F.array(F.when(F.col("open") > 0, "atender_alertas"), F.when(F.try_divide(F.col("errors") * 1.0, F.col("samples")) > 0.15, "revisar_errores"), F.when(F.col("minutes_to_resolve") > 30, "reducir_tiempos")))
+    return row.withColumns({"status": status, "advice": F.array_join(rules, ",")})

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from newsgraph.functions import text as tx
 from newsgraph.operators import articles as op
 from newsgraph.plans import model
 from newsgraph.registry import query
@@ -102,3 +103,15 @@ def metric_exposition(spark, sf_dir):
 def run_gates(spark, sf_dir):
     stats = model.table(spark, sf_dir, "documents").agg(F.count("*").alias("items"), F.count_if(F.length("text") < 100).alias("errors"))
     return op.gates(stats, 10, 1_000_000)
+
+
+@query(r"""SELECT doc_id, lower(trim(source)) AS outlet, left(trim(regexp_replace(regexp_extract(text, '^[^\n]*'), '\s+', ' ', 'g')), 60) AS title FROM documents""")
+def loaded_fields(spark, sf_dir):
+    processors = {"outlet": [F.trim, F.lower], "title": [tx.collapse, lambda c: F.substring(c, 1, 60)], "absent": F.upper}
+    return op.load_fields(_rows(spark, sf_dir), processors).select("doc_id", "outlet", "title")
+
+
+@query(r"""WITH c AS (SELECT text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS clean FROM documents) SELECT count(*) AS items, count(*) FILTER (text <> clean) AS changed, count(*) FILTER (clean = '') AS emptied FROM c""")
+def cleaning_stats(spark, sf_dir):
+    docs = model.table(spark, sf_dir, "documents")
+    return op.run_stats(docs.select("text", tx.collapse(F.col("text")).alias("clean")), "text", "clean")

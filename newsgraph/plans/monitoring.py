@@ -201,3 +201,12 @@ def recent_history(spark, sf_dir):
     e = model.table(spark, sf_dir, "events")
     rows = e.crossJoin(model.as_of(e, "ts")).where(F.col("ts") >= F.col("now") - F.expr("INTERVAL 24 HOURS"))
     return rows.select("event_id", F.when(F.col("value") < 10, "faster").when(F.col("value") > 30, "slower").otherwise("similar").alias("speed"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+@query(f"""WITH {_ALERTS}, n AS (SELECT max(ts) AS now FROM events), u AS (SELECT count(*) AS samples, count(*) FILTER (event_type = 'error') AS errors, max(value) AS peak, avg(value) AS mean FROM events, n WHERE ts > now - INTERVAL 48 HOUR),
+t AS (SELECT count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (resolved_at IS NULL) AS open, avg(epoch(date_trunc('second', resolved_at)) - epoch(date_trunc('second', ts))) / 60.0 AS m FROM a, n WHERE ts > now - INTERVAL 48 HOUR)
+SELECT samples, errors, peak, round(mean, 6) AS mean, critical, warning, open, round(m, 5) AS minutes_to_resolve, CASE WHEN critical > 0 AND open > 0 THEN 'critical' WHEN warning > 0 THEN 'warning' ELSE 'healthy' END AS status,
+  concat_ws(',', CASE WHEN open > 0 THEN 'atender_alertas' END, CASE WHEN errors * 1.0::DOUBLE / samples > 0.15 THEN 'revisar_errores' END, CASE WHEN m > 30 THEN 'reducir_tiempos' END) AS advice FROM u, t""")
+def period_report(spark, sf_dir):
+    report = op.period_report(_events(spark, sf_dir), _alerts(spark, sf_dir), 48)
+    return _round(_round(report, "mean"), "minutes_to_resolve", digits=5)
