@@ -28,7 +28,7 @@ from . import common
 K, EVERY = 5, 50
 #: Bounds: of the sample that gives the roots, of roots, and sizes of shards and query blocks in rows.
 SAMPLE, ROOTS, SHARD_ROWS, QUERY_ROWS = 4096, 512, 4096, 16384
-LEAF, CHILDREN, SHRINK = 64, 16, 0.5
+LEAF, CHILDREN, SHRINK = 512, 16, 0.5
 
 
 class Tree:
