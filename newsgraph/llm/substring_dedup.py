@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 20
-MINIMISER = 4
+MINIMISER = 3
+#: Texts of about so many bytes are taken apart at a time; strings are packed at this zstandard level.
+CHUNK, LEVEL = 8 << 20, 6
 _NULL_ID = -(1 << 63)
 _HOT = np.uint64(1 << 63)
 _BLANKS = bytes(32 if 9 <= b <= 13 else b for b in range(256))
@@ -71,7 +73,7 @@ def frequent_runs(texts: DataFrame, m: int, size: int) -> np.ndarray:
         import pyarrow as pa
 
         kept, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-        for chunk in common.chunks(batches, "text"):
+        for chunk in common.chunks(batches, "text", CHUNK):
             h, inside = _runs(_Words(chunk["text"]), m)
             h, n = np.unique(h[inside], return_counts=True)
             total += int(n.sum())
@@ -94,7 +96,7 @@ def _pack(ids, keys, starts, counts, text: bytes) -> bytes:
     import zstandard
 
     head = b"".join(np.ascontiguousarray(x, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for x in (ids, keys, starts, counts))
-    return zstandard.ZstdCompressor(level=3).compress(struct.pack("<qq", len(ids), len(text)) + head + text)
+    return zstandard.ZstdCompressor(level=LEVEL).compress(struct.pack("<qq", len(ids), len(text)) + head + text)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
@@ -137,7 +139,7 @@ def super_kmers(docs: DataFrame, window: int, m: int, hot: np.ndarray, buckets:
     def pack(batches):
         import pyarrow as pa
 
-        for chunk in common.chunks(batches, "text"):
+        for chunk in common.chunks(batches, "text", CHUNK):
             words = _Words(chunk["text"])
             h, _ = _runs(words, m)
             if len(hot):
@@ -265,22 +267,38 @@ def _picked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return picked.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
 
 
+def _packed_texts(picked: DataFrame) -> DataFrame:
+    """(doc_id, key, packed): texts compressed for their way to the join; null as empty."""
+
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+
+        tool = zstandard.ZstdCompressor(level=3)
+        for chunk in common.chunks(batches, "text"):
+            packed = [tool.compress(t or b"") for t in chunk["text"].cast(pa.binary()).to_pylist()]
+            yield pa.record_batch({"doc_id": chunk["doc_id"], "key": chunk["key"], "packed": pa.array(packed, pa.binary())})
+
+    return picked.mapInArrow(run, "doc_id long, key long, packed binary")
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, minimiser: int = MINIMISER, buckets: int | None = None, summary: int | None = None, keep_text: bool = True) -> DataFrame:
     """For each row: doc_id, n_words, n_removed, kept_sha256, and the kept words joined by blanks (keep_text)."""
     gone = spans(docs, id_col, text_col, window, minimiser, buckets, summary)
     gone = gone.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "last")).alias("gone"))  # a document's own runs only
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "gone")
-    picked = _picked(docs, id_col, text_col)
-    joined = picked.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
+    joined = _packed_texts(_picked(docs, id_col, text_col)).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
 
     def cut(batches):
         import pyarrow as pa
+        import zstandard
 
-        for chunk in common.chunks(batches, "text"):
+        unpack = zstandard.ZstdDecompressor()
+        for chunk in common.chunks(batches, "packed"):
             total, removed, digests, kept = [], [], [], []
             runs = chunk["gone"]
-            for i, text in enumerate(chunk["text"].cast(pa.binary()).to_pylist()):
-                words = (text or b"").split()
+            for i, packed in enumerate(chunk["packed"].to_pylist()):
+                words = unpack.decompress(packed).split()
                 total.append(len(words))
                 if runs[i].is_valid:
                     covered = np.zeros(len(words) + 1, np.int64)
@@ -297,7 +315,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns = {"doc_id": chunk["doc_id"], "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
             yield pa.record_batch(columns | ({"kept_text": pa.array(kept, pa.binary()).cast(pa.string())} if keep_text else {}))
 
-    return joined.select("doc_id", "text", "gone").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
+    return joined.select("doc_id", "packed", "gone").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
