@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgraph.functions.dates import ordered_range
+from newsgraph.session import settle
 
 ENTITIES = "array<struct<id:int,nombre:string,tipo:string,alias:array<string>,descripcion:string,relevancia:string>>"
 FACTS = "array<struct<id:int,contenido:string,fecha:struct<inicio:string,fin:string>,precision_temporal:string,tipo_hecho:string,pais:array<string>,confianza:string,es_futuro:boolean>>"
@@ -88,7 +89,7 @@ def relations(df: DataFrame, key: str, response: str, facts: DataFrame, entities
     fe = parsed.select(key, F.explode("r.hecho_entidad").alias("x")).select(key, F.lit("fact_entity").alias("relation"), F.col("x.hecho_id").alias("a"), F.col("x.entidad_id").alias("b"), F.when(F.col("x.tipo_relacion").isin(*FACT_ENTITY), F.col("x.tipo_relacion")).otherwise("otro").alias("kind"), weight(F.col("x.relevancia"), 1, 10, 5).alias("weight"))
     ff = parsed.select(key, F.explode("r.hecho_relacionado").alias("x")).where("x.tipo_relacion is not null").select(key, F.lit("fact_fact").alias("relation"), F.col("x.hecho_origen_id").alias("a"), F.col("x.hecho_destino_id").alias("b"), F.col("x.tipo_relacion").alias("kind"), weight(F.col("x.fuerza"), 1, 10, 5).alias("weight"))
     co = parsed.select(key, F.explode("r.contradicciones").alias("x")).select(key, F.lit("contradiction").alias("relation"), F.col("x.hecho_principal_id").alias("a"), F.col("x.hecho_contradictorio_id").alias("b"), F.when(F.col("x.tipo").isin(*CONTRADICTION), F.col("x.tipo")).otherwise("contenido").alias("kind"), weight(F.col("x.grado"), 1, 5, 3).alias("weight"))
-    f, e = facts.select(key, "fact").distinct(), entities.select(key, "entity").distinct()
+    f, e = settle(facts.select(key, "fact").distinct()), settle(entities.select(key, "entity").distinct())  # ids alone, read several times
     known = lambda rows, side, ids, name: rows.join(ids.withColumnRenamed(name, side), [key, side], "left_semi")
     among_facts = known(known(ff.unionByName(co).where("a <> b"), "a", f, "fact"), "b", f, "fact")
     return known(known(fe, "a", f, "fact"), "b", e, "entity").unionByName(among_facts).select(key, "relation", "a", "b", "kind", "weight")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from newsgraph.operators import extraction as op
 from newsgraph.plans import model
 from newsgraph.registry import query
+from newsgraph.session import settle
 
 
 def _triage(spark, sf_dir):
@@ -39,7 +40,7 @@ def _reply(spark, sf_dir):
     gather = lambda s: F.sort_array(F.collect_list(s))  # noqa: E731  an order's few lines
     packed = lines.groupBy("l_orderkey").agg(gather(fact).alias("f"), gather(entity).alias("e"), gather(figure).alias("g"), gather(quote).alias("q"), gather(pair).alias("p"), gather(link).alias("l"))
     body = F.struct(F.concat("f", F.slice("f", 1, 1)).alias("hechos"), F.col("e").alias("entidades"), F.col("g").alias("datos_cuantitativos"), F.col("q").alias("citas_textuales"), F.struct(F.col("p").alias("hecho_entidad"), F.col("l").alias("hecho_relacionado")).alias("r"))
-    return packed.select(F.col("l_orderkey").alias("fragment"), F.to_json(body).alias("reply"))
+    return settle(packed.select(F.col("l_orderkey").alias("fragment"), F.to_json(body).alias("reply")))  # read several times
 
 
 _LINES = "x AS (SELECT l_orderkey AS fragment, l_linenumber AS n, min(l_partkey) AS part, min(l_quantity) AS quantity, min(l_shipdate)::DATE AS day FROM lineitem GROUP BY 1, 2)"
