@@ -2,9 +2,10 @@
 
 A text is read as lower-case words (ASCII letters and digits, and all other characters but
 ASCII marks and white space). For each template, places where its word that is rarest in
-the text occurs are looked at, with twice the template's length to both sides. There, words
-that occur once in both are anchors; the longest increasing run of their places is kept,
-and the gaps between anchors are aligned in the same way, after equal words at their ends.
+the text occurs are looked at, with twice the template's length to both sides, and again in
+windows that hold one copy of a notice that repeats. There, words that occur once in both are
+anchors; the longest increasing run of their places is kept, and the gaps between anchors are
+aligned in the same way, after equal words at their ends.
 Coverage is the share of the template's words that are aligned.
 
 A template of which less than `least` can be in the text at all (by its words, wherever
@@ -85,6 +86,27 @@ def align(text: list, template: list) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
+def _alignments(words: list[bytes], template: list[bytes], same: list[int], spot: int):
+    """(first word of a window, pairs) for the windows around a spot; same: all places of the spot's word in the text.
+
+    The first window is wide. A notice that repeats has every word several times there, so the spot is also held against
+    each template place of its word, and both sides are aligned apart from it: in windows of the template's length and
+    some slack, and in windows that end where the spot's word comes once more than the template has it.
+    """
+    size = len(template)
+    first = max(0, spot - 2 * size)
+    yield first, align(words[first : spot + 2 * size], template)
+    at, slack = bisect_left(same, spot), max(2, size // 8)
+    own = [j for j, w in enumerate(template) if w == words[spot]]
+    for k, j in enumerate(own):
+        before, after = at - k - 1, at + len(own) - k
+        cuts = same[before] + 1 if before >= 0 else 0, same[after] if after < len(same) else len(words)
+        for low, high in {(spot - j - slack, spot - j + size + slack), (max(cuts[0], spot - 2 * size), min(cuts[1], spot + 2 * size))}:
+            low = max(0, low)
+            left, right = align(words[low:spot], template[:j]), align(words[spot + 1 : high], template[j + 1 :])
+            yield low, [*left, (spot - low, j), *((x + spot + 1 - low, y + j + 1) for x, y in right)]
+
+
 def find(words: list[bytes], templates: dict[str, list[bytes]], least: float = LEAST, dense: float = DENSE) -> list[tuple[str, float, int, int]]:
     """(license, coverage, first word, end) of each template that is found, at its best place."""
     present, out = set(words), []
@@ -107,16 +129,16 @@ def find(words: list[bytes], templates: dict[str, list[bytes]], least: float = L
             spots.update(places[w])
             missing += template.count(w)
         best, seen_to = (0.0, 0, 0, 0), -1
-        reach = 2 * len(template)
         for spot in sorted(spots):
             if spot < seen_to:
                 continue
-            first = max(0, spot - reach)
-            pairs = align(words[first : spot + reach], template)
-            coverage = len(pairs) / len(template)
-            if pairs and coverage >= least and len(pairs) >= dense * (pairs[-1][0] - pairs[0][0] + 1):
-                seen_to = first + pairs[-1][0] + 1
-                best = max(best, (coverage, -(first + pairs[0][0]), seen_to, 0))
+            for first, pairs in _alignments(words, template, places[words[spot]], spot):
+                coverage = len(pairs) / len(template)
+                if pairs and coverage >= least and len(pairs) >= dense * (pairs[-1][0] - pairs[0][0] + 1):
+                    start, end = first + pairs[0][0], first + pairs[-1][0] + 1
+                    best = max(best, (coverage, -start, end, 0))
+                    if coverage == 1 and start <= spot:
+                        seen_to = max(seen_to, end)
         if best[0]:
             out.append((name, best[0], -best[1], best[2]))
     return sorted(out, key=lambda x: (-x[1], x[0]))

@@ -275,6 +275,22 @@ def test_licenses(spark):
     assert (got[104].first_word, got[104].end_word) == (0, 5) and got[105].license is None
 
 
+@pytest.mark.parametrize("copies", [2, 3, 7])
+def test_repeated_notices_inside_texts(copies):
+    """Each notice several times, back to back or with short gaps, in the middle of a text; whole, or with a word lost or put in."""
+    words = {n: licenses.words_of(t) for n, t in licenses.TEMPLATES.items()}
+    other = [b"other%d" % i for i in range(30)]
+    for name, notice in words.items():
+        for gap in (0, 1, len(notice) // 4, len(notice) // 2):
+            between = [b"gap%d" % i for i in range(gap)]
+            for at in range(0, len(notice), max(1, len(notice) // 6)):
+                for one in [notice, notice[:at] + [b"new"] + notice[at:]] + ([notice[:at] + notice[at + 1 :]] if len(notice) >= 5 else []):
+                    found = {x[0]: x[1:] for x in licenses.find(other + (one + between) * copies + other, {name: notice})}
+                    assert found[name][0] >= min(1, len(one) / len(notice)), (name, gap, at)
+                    if one == notice:
+                        assert found[name] == (1.0, 30, 30 + len(notice)), (name, gap)
+
+
 def test_alignment_is_increasing_and_equal():
     r = random.Random(6)
     for _ in range(200):
