@@ -6,7 +6,9 @@ the text occurs are looked at, with twice the template's length to both sides, a
 windows that hold one copy of a notice that repeats. There, words that occur once in both are
 anchors; the longest increasing run of their places is kept, and the gaps between anchors are
 aligned in the same way, after equal words at their ends.
-Coverage is the share of the template's words that are aligned.
+Coverage is the share of the template's words that are aligned. The words that tell a license
+from others must be among them, and where two licenses are found over the same words, the one
+with more words aligned is meant (a BSD-3-Clause text holds all of BSD-2-Clause).
 
 A template of which less than `least` can be in the text at all (by its words, wherever
 they stand) can't reach that coverage and isn't aligned: nothing is lost by that.
@@ -25,23 +27,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .license_texts import TEXTS
 
 #: Least coverage, and least share of aligned words within the part of the text that they span.
 LEAST, DENSE = 0.8, 0.6
-#: Words of public license notices.
+#: Words of public license notices. A name is a license, and after a blank the form of its notice.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "Apache-2.0 notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "Apache-2.0 notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3",
+    "AGPL-3.0 notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "BSD": "Released under the BSD License",
+    "BSD opening": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "CC-BY-4.0 short": "Licensed under CC BY 4.0",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
+    "CC-BY-NC-4.0 notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0",
+    "CC-BY-NC-ND-4.0 notice": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0",
+    "CC-BY-NC-SA-4.0 notice": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0",
+    "CC-BY-ND-4.0 notice": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
+    "CC-BY-SA-4.0 notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
+    "GPL-2.0 notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
     "GPL-3.0 notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-3.0 whole notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1",
+    "LGPL-2.1 notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3",
+    "LGPL-3.0 notice": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "MIT": "Released under the MIT License",
     "MIT notice": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
+    "MPL-2.0": "Licensed under the Mozilla Public License, Version 2.0",
+    "MPL-2.0 notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "Reserved": "All rights reserved. No part of this publication may be reproduced without permission",
 }
+#: Words that decide for a license, by its name's first part or by the whole name: no find without them aligned.
+DECIDING = {
+    "AGPL-3.0": "affero 3", "Apache-2.0": "apache 2", "Apache-2.0 text": "apache 2 grant", "BSD": "bsd", "BSD opening": "redistribution", "BSD-2-Clause": "redistributions disclaimer", "BSD-3-Clause": "redistributions neither endorse",
+    "CC-BY-4.0": "attribution 4", "CC-BY-4.0 short": "cc by 4", "CC-BY-NC-4.0": "nc 4", "CC-BY-NC-4.0 notice": "noncommercial 4", "CC-BY-NC-ND-4.0": "nc nd 4", "CC-BY-NC-ND-4.0 notice": "noncommercial noderivatives 4",
+    "CC-BY-NC-SA-4.0": "nc sa 4", "CC-BY-NC-SA-4.0 notice": "noncommercial sharealike 4", "CC-BY-ND-4.0": "nd 4", "CC-BY-ND-4.0 notice": "noderivatives 4", "CC-BY-SA-4.0": "sa 4", "CC-BY-SA-4.0 notice": "sharealike 4",
+    "GPL-2.0": "gnu general 2", "GPL-2.0 text": "gnu general 2 1991", "GPL-3.0": "gnu general 3", "GPL-3.0 text": "gnu general 3 june", "LGPL-2.1": "lesser 2 1", "LGPL-3.0": "lesser 3",
+    "MIT": "mit", "MIT notice": "permission granted", "MIT text": "permission sublicense", "MPL-2.0": "mozilla 2", "Reserved": "reserved reproduced",
+}
+#: In templates of more words, places within a find aren't looked at again.
+LONG = 150
 _MARKS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -107,12 +141,16 @@ def _alignments(words: list[bytes], template: list[bytes], same: list[int], spot
             yield low, [*left, (spot - low, j), *((x + spot + 1 - low, y + j + 1) for x, y in right)]
 
 
-def find(words: list[bytes], templates: dict[str, list[bytes]], least: float = LEAST, dense: float = DENSE) -> list[tuple[str, float, int, int]]:
-    """(license, coverage, first word, end) of each template that is found, at its best place."""
-    present, out = set(words), []
+def find(words: list[bytes], templates: dict[str, list[bytes]], least: float = LEAST, dense: float = DENSE, deciding: dict[str, set[bytes]] | None = None) -> list[tuple[str, float, int, int]]:
+    """(license, coverage, first word, end) of each template that is found, at its best place.
+
+    A find needs the template's deciding words aligned. It gives way where another license has more aligned words over it.
+    """
+    present, found = set(words), []
     places: dict[bytes, list[int]] | None = None
     for name, template in templates.items():
-        if sum(w in present for w in template) < least * len(template):
+        must = deciding.get(name, set()) if deciding else set()
+        if len(words) < least * len(template) or not must <= present or sum(w in present for w in template) < least * len(template):
             continue
         if places is None:
             places = {}
@@ -128,7 +166,7 @@ def find(words: list[bytes], templates: dict[str, list[bytes]], least: float = L
                 break
             spots.update(places[w])
             missing += template.count(w)
-        best, seen_to = (0.0, 0, 0, 0), -1
+        finds, seen_to = set(), -1
         for spot in sorted(spots):
             if spot < seen_to:
                 continue
@@ -136,23 +174,30 @@ def find(words: list[bytes], templates: dict[str, list[bytes]], least: float = L
                 coverage = len(pairs) / len(template)
                 if pairs and coverage >= least and len(pairs) >= dense * (pairs[-1][0] - pairs[0][0] + 1):
                     start, end = first + pairs[0][0], first + pairs[-1][0] + 1
-                    best = max(best, (coverage, -start, end, 0))
-                    if coverage == 1 and start <= spot:
+                    if must <= {template[j] for _, j in pairs}:
+                        finds.add((len(pairs), start, end))
+                    if start <= spot and (coverage == 1 or len(template) > LONG):
                         seen_to = max(seen_to, end)
-        if best[0]:
-            out.append((name, best[0], -best[1], best[2]))
-    return sorted(out, key=lambda x: (-x[1], x[0]))
+        found += [(name, *f) for f in finds]
+    own = lambda name: name.split(" ")[0]
+    best: dict[str, tuple] = {}
+    for name, n, start, end in found:
+        if any(m > n and own(other) != own(name) and 2 * (min(end, b) - max(start, a)) > end - start for other, m, a, b in found):
+            continue
+        best[name] = max(best.get(name, (0, 0, 0)), (n, -start, end))
+    return sorted(((name, n / len(templates[name]), -start, end) for name, (n, start, end) in best.items()), key=lambda x: (-x[1], x[0]))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, least: float = LEAST, dense: float = DENSE) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = {**TEMPLATES, **TEXTS}, least: float = LEAST, dense: float = DENSE, deciding: dict[str, str] = DECIDING) -> DataFrame:
     """For each row: doc_id, licenses (by falling coverage), license (the first, or null), coverage, first_word, end_word."""
     words = {name: words_of(text) for name, text in sorted(templates.items())}
+    must = {name: set(words_of(deciding.get(name, deciding.get(name.split(" ")[0], "")))) for name in words}
 
     def run(batches):
         import pyarrow as pa
 
         for chunk in common.chunks(batches, "text"):
-            found = [find(words_of(t), words, least, dense) for t in chunk["text"].to_pylist()]
+            found = [find(words_of(t), words, least, dense, must) for t in chunk["text"].to_pylist()]
             top = [f[0] if f else (None, 0.0, None, None) for f in found]
             yield pa.record_batch({"doc_id": chunk["doc_id"], "licenses": pa.array([[x[0] for x in f] for f in found], pa.list_(pa.string())), "license": pa.array([t[0] for t in top], pa.string()), "coverage": pa.array([t[1] for t in top], pa.float64()), "first_word": pa.array([t[2] for t in top], pa.int64()), "end_word": pa.array([t[3] for t in top], pa.int64())})
 

@@ -291,6 +291,23 @@ def test_repeated_notices_inside_texts(copies):
                         assert found[name] == (1.0, 30, 30 + len(notice)), (name, gap)
 
 
+def test_deciding_words_and_whole_licenses(spark):
+    text = licenses.TEXTS
+    three = text["BSD-3-Clause text"].replace("copyright holder nor", "Example Corporation nor")
+    cases = [
+        ("Released under the BSD License", "BSD"), ("Released under the Foo License", None), ("Licensed under the Mozilla Public License, Version 2.0", "MPL-2.0"), ("Licensed under the Foo License, Version 2.0", None),
+        ("Licensed under CC BY 4.0", "CC-BY-4.0 short"), ("Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"), ("Licensed under CC BY-NC 4.0", "CC-BY-NC-4.0"), ("Licensed under CC BY-NC-ND 4.0", "CC-BY-NC-ND-4.0"), ("Licensed under CC BY-SA 3.0", None),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0 notice"),
+        ("This work is licensed under the GNU General Public License, version 2", "GPL-2.0"), ("This work is licensed under the GNU Lesser General Public License, version 3", "LGPL-3.0"), (licenses.TEMPLATES["LGPL-3.0 notice"], "LGPL-3.0 notice"),
+        (three, "BSD-3-Clause text"), (three + " other words between " * 9 + text["BSD-2-Clause text"], "BSD-2-Clause text"), *[(t, n) for n, t in text.items()], (licenses.TEMPLATES["BSD opening"], "BSD opening"),
+    ]
+    got = {x.doc_id: x for x in licenses.scan(docs(spark, [(i, "some words before. " * 9 + t + " and some after. " * 9) for i, (t, _) in enumerate(cases)])).collect()}
+    wrong = [(want, got[i].licenses) for i, (_, want) in enumerate(cases) if want not in (got[i].licenses or [None])]
+    assert not wrong
+    for i, (_, want) in enumerate(cases):  # and no other license
+        assert {n.split(" ")[0] for n in got[i].licenses} <= ({"BSD-3-Clause", "BSD-2-Clause"} if "between" in cases[i][0] and want == "BSD-2-Clause text" else {str(want).split(" ")[0]}), (want, got[i].licenses)
+
+
 def test_alignment_is_increasing_and_equal():
     r = random.Random(6)
     for _ in range(200):
