@@ -12,8 +12,12 @@ ENTITIES = "array<struct<id:int,nombre:string,tipo:string,alias:array<string>,de
 FACTS = "array<struct<id:int,contenido:string,fecha:struct<inicio:string,fin:string>,precision_temporal:string,tipo_hecho:string,pais:array<string>,confianza:string,es_futuro:boolean>>"
 QUOTES = "array<struct<id:int,cita:string,entidad_id:int,hecho_id:int,fecha:string,relevancia:int>>"
 FIGURES = "array<struct<id:int,hecho_id:int,indicador:string,valor:string,unidad:string,periodo:struct<inicio:string,fin:string>>>"
-RELATIONS = "struct<hecho_entidad:array<struct<hecho_id:int,entidad_id:int,tipo_relacion:string,relevancia:int>>,hecho_relacionado:array<struct<hecho_origen_id:int,hecho_destino_id:int,tipo_relacion:string,fuerza:int>>,contradicciones:array<struct<hecho_principal_id:int,hecho_contradictorio_id:int,tipo:string,grado:int>>>"
+RELATIONS = (
+    "hecho_entidad:array<struct<hecho_id:int,entidad_id:int,tipo_relacion:string,relevancia_en_hecho:int,relevancia:int>>,hecho_relacionado:array<struct<hecho_origen_id:int,hecho_destino_id:int,tipo_relacion:string,fuerza_relacion:int,fuerza:int>>,"
+    "entidad_relacion:array<struct<entidad_origen_id:int,entidad_destino_id:int,tipo_relacion:string,fuerza_relacion:int,fuerza:int>>,contradicciones:array<struct<hecho_principal_id:int,hecho_contradictorio_id:int,tipo_contradiccion:string,tipo:string,grado_contradiccion:int,grado:int>>"
+)
 FACT_ENTITY = ("protagonista", "mencionado", "afectado", "declarante", "ubicacion", "contexto", "victima", "agresor", "organizador", "participante", "otro")
+ENTITY_ENTITY = ("miembro_de", "subsidiaria_de", "aliado_con", "opositor_a", "sucesor_de", "predecesor_de", "casado_con", "familiar_de", "empleado_de")
 CONTRADICTION = ("fecha", "contenido", "entidades", "ubicacion", "valor", "completa")
 SCORES = ("relevancia", "alcance", "actualidad", "impacto", "fiabilidad")
 
@@ -83,21 +87,29 @@ def figures(df: DataFrame, key: str, response: str) -> DataFrame:
 
 
 def relations(df: DataFrame, key: str, response: str, facts: DataFrame, entities: DataFrame) -> DataFrame:
-    """(key, relation, a, b, kind, weight): relations whose ends are known in their fragment, none with itself."""
-    parsed = df.select(key, F.from_json(unfenced(F.col(response)), f"r {RELATIONS}")["r"].alias("r"))
+    """(key, relation, a, b, kind, weight): relations whose ends are known in their fragment, none with itself.
+
+    Replies have the four arrays at the top level; those below a key r, and the short names of fields, are read as well.
+    """
+    parsed = df.select(key, F.from_json(unfenced(F.col(response)), f"struct<{RELATIONS},r:struct<{RELATIONS}>>").alias("j"))
+    rows = lambda field: parsed.select(key, F.explode(F.concat(*[F.coalesce(c, F.array()) for c in (F.col(f"j.{field}"), F.col(f"j.r.{field}"))])).alias("x"))
     weight = lambda c, low, high, default: F.when(c.between(low, high), c).otherwise(default)
-    fe = parsed.select(key, F.explode("r.hecho_entidad").alias("x")).select(key, F.lit("fact_entity").alias("relation"), F.col("x.hecho_id").alias("a"), F.col("x.entidad_id").alias("b"), F.when(F.col("x.tipo_relacion").isin(*FACT_ENTITY), F.col("x.tipo_relacion")).otherwise("otro").alias("kind"), weight(F.col("x.relevancia"), 1, 10, 5).alias("weight"))
-    ff = parsed.select(key, F.explode("r.hecho_relacionado").alias("x")).where("x.tipo_relacion is not null").select(key, F.lit("fact_fact").alias("relation"), F.col("x.hecho_origen_id").alias("a"), F.col("x.hecho_destino_id").alias("b"), F.col("x.tipo_relacion").alias("kind"), weight(F.col("x.fuerza"), 1, 10, 5).alias("weight"))
-    co = parsed.select(key, F.explode("r.contradicciones").alias("x")).select(key, F.lit("contradiction").alias("relation"), F.col("x.hecho_principal_id").alias("a"), F.col("x.hecho_contradictorio_id").alias("b"), F.when(F.col("x.tipo").isin(*CONTRADICTION), F.col("x.tipo")).otherwise("contenido").alias("kind"), weight(F.col("x.grado"), 1, 5, 3).alias("weight"))
+    fe = rows("hecho_entidad").select(key, F.lit("fact_entity").alias("relation"), F.col("x.hecho_id").alias("a"), F.col("x.entidad_id").alias("b"), F.when(F.col("x.tipo_relacion").isin(*FACT_ENTITY), F.col("x.tipo_relacion")).otherwise("otro").alias("kind"), weight(F.coalesce("x.relevancia_en_hecho", "x.relevancia"), 1, 10, 5).alias("weight"))
+    ff = rows("hecho_relacionado").where("x.tipo_relacion is not null").select(key, F.lit("fact_fact").alias("relation"), F.col("x.hecho_origen_id").alias("a"), F.col("x.hecho_destino_id").alias("b"), F.col("x.tipo_relacion").alias("kind"), weight(F.coalesce("x.fuerza_relacion", "x.fuerza"), 1, 10, 5).alias("weight"))
+    related = F.lower("x.tipo_relacion")
+    ee = rows("entidad_relacion").where(related.isin(*ENTITY_ENTITY)).select(key, F.lit("entity_entity").alias("relation"), F.col("x.entidad_origen_id").alias("a"), F.col("x.entidad_destino_id").alias("b"), related.alias("kind"), weight(F.coalesce("x.fuerza_relacion", "x.fuerza"), 1, 10, 5).alias("weight"))
+    kind = F.coalesce("x.tipo_contradiccion", "x.tipo")
+    co = rows("contradicciones").select(key, F.lit("contradiction").alias("relation"), F.col("x.hecho_principal_id").alias("a"), F.col("x.hecho_contradictorio_id").alias("b"), F.when(kind.isin(*CONTRADICTION), kind).otherwise("contenido").alias("kind"), weight(F.coalesce("x.grado_contradiccion", "x.grado"), 1, 5, 3).alias("weight"))
     f, e = settle(facts.select(key, "fact").distinct()), settle(entities.select(key, "entity").distinct())  # ids alone, read several times
     known = lambda rows, side, ids, name: rows.join(ids.withColumnRenamed(name, side), [key, side], "left_semi")
     among_facts = known(known(ff.unionByName(co).where("a <> b"), "a", f, "fact"), "b", f, "fact")
-    return known(known(fe, "a", f, "fact"), "b", e, "entity").unionByName(among_facts).select(key, "relation", "a", "b", "kind", "weight")
+    among_entities = known(known(ee.where("a <> b"), "a", e, "entity"), "b", e, "entity")
+    return known(known(fe, "a", f, "fact"), "b", e, "entity").unionByName(among_facts).unionByName(among_entities).select(key, "relation", "a", "b", "kind", "weight")
 
 
 def relation_index(relations: DataFrame, key: str) -> DataFrame:
     """(key, side, id, related): relations gathered by fact and by entity."""
-    ends = F.array(F.struct(F.lit("fact").alias("side"), F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.when(F.col("relation") == "fact_entity", "entity").otherwise("fact").alias("side"), F.col("b").alias("id"), F.col("a").alias("other")))
+    ends = F.array(F.struct(F.when(F.col("relation") == "entity_entity", "entity").otherwise("fact").alias("side"), F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.when(F.col("relation").isin("fact_entity", "entity_entity"), "entity").otherwise("fact").alias("side"), F.col("b").alias("id"), F.col("a").alias("other")))
     return relations.select(key, "relation", F.inline(ends)).groupBy(key, "side", "id").agg(F.sort_array(F.collect_list(F.struct("relation", "other"))).alias("related"))
 
 

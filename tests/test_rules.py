@@ -133,6 +133,20 @@ def test_relations_need_known_ends(spark):
     assert sorted(tuple(r) for r in got.collect()) == [("f", "contradiction", 1, 2, "contenido", 3), ("f", "fact_entity", 1, 7, "otro", 5)]
 
 
+def test_relations_in_the_form_of_replies(spark):
+    reply = """{"hechos": [{"id": 1, "contenido": "a"}, {"id": 2, "contenido": "b"}], "entidades": [{"id": 7, "nombre": "n"}, {"id": 8, "nombre": "m"}],
+      "hecho_entidad": [{"hecho_id": 1, "entidad_id": 7, "tipo_relacion": "afectado", "relevancia_en_hecho": 9}], "hecho_relacionado": [{"hecho_origen_id": 1, "hecho_destino_id": 2, "tipo_relacion": "causa", "fuerza_relacion": 8}],
+      "entidad_relacion": [{"entidad_origen_id": 7, "entidad_destino_id": 8, "tipo_relacion": "Miembro_de", "fuerza_relacion": 2}, {"entidad_origen_id": 7, "entidad_destino_id": 7, "tipo_relacion": "aliado_con"}, {"entidad_origen_id": 1, "entidad_destino_id": 8, "tipo_relacion": "aliado_con"},
+        {"entidad_origen_id": 8, "entidad_destino_id": 7, "tipo_relacion": "raro"}, {"entidad_origen_id": 8, "entidad_destino_id": 7, "tipo_relacion": "aliado_con", "fuerza_relacion": 11}],
+      "contradicciones": [{"hecho_principal_id": 1, "hecho_contradictorio_id": 2, "tipo_contradiccion": "valor", "grado_contradiccion": 4}]}"""
+    df = spark.createDataFrame([("f", reply)], "k string, reply string")
+    got = extraction.relations(df, "k", "reply", extraction.facts(df, "k", "reply"), extraction.entities(df, "k", "reply"))
+    want = [("f", "contradiction", 1, 2, "valor", 4), ("f", "entity_entity", 7, 8, "miembro_de", 2), ("f", "entity_entity", 8, 7, "aliado_con", 5), ("f", "fact_entity", 1, 7, "afectado", 9), ("f", "fact_fact", 1, 2, "causa", 8)]
+    assert sorted(tuple(r) for r in got.collect()) == want
+    index = {(r.side, r.id): [tuple(x) for x in r.related] for r in extraction.relation_index(got, "k").collect()}
+    assert index["entity", 8] == [("entity_entity", 7), ("entity_entity", 7)] and index["entity", 7] == [("entity_entity", 8), ("entity_entity", 8), ("fact_entity", 1)] and ("fact", 7) not in index
+
+
 def stamps(spark, minutes, key="m"):
     return spark.createDataFrame([(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m), key) for i, m in enumerate(minutes)], "id long, ts timestamp, metric string")
 
