@@ -52,12 +52,32 @@ def resolve_back(alerts: DataFrame, samples: DataFrame, now: Column, minutes: in
     return joined.withColumn("resolved", back)
 
 
-def matching(alerts: DataFrame, rules: DataFrame, pairs: dict[str, str]) -> DataFrame:
-    """Alerts with rules whose arrays hold the alert's value, for each (alert column, rule array); a null array holds all."""
+#: Tables of at most so many rows are broadcast.
+SMALL = 10_000
+
+
+def _small(df: DataFrame, bound: int) -> bool:
+    return df.limit(bound + 1).count() <= bound
+
+
+def matching(alerts: DataFrame, rules: DataFrame, pairs: dict[str, str], bound: int = SMALL) -> DataFrame:
+    """Alerts with rules whose arrays hold the alert's value, for each (alert column, rule array); a null array holds all.
+
+    Up to `bound` rules are broadcast. More are joined by the values of their first array that isn't null; those without any go to every alert.
+    """
     condition = F.lit(True)
     for column, array in pairs.items():
         condition = condition & (rules[array].isNull() | F.array_contains(rules[array], alerts[column]))
-    return alerts.join(F.broadcast(rules.limit(10_000)), condition)  # rule tables: bounded by the limit
+    if _small(rules, bound):
+        return alerts.join(F.broadcast(rules), condition)
+    rest, out = rules, None
+    for column, array in pairs.items():
+        keyed = rest.where(rules[array].isNotNull()).select("*", F.explode(F.array_distinct(rules[array])).alias("_v"))
+        joined = alerts.join(keyed, (alerts[column] == F.col("_v")) & condition).drop("_v")
+        out = joined if out is None else out.union(joined)
+        rest = rest.where(rules[array].isNull())
+    product = alerts.crossJoin(rest)
+    return product if out is None else out.union(product)
 
 
 def escalations(alerts: DataFrame, now: Column, delay: int, history: DataFrame) -> DataFrame:
@@ -95,19 +115,51 @@ def health_alerts(jobs: DataFrame, active: DataFrame) -> DataFrame:
     return jobs.where("health <> 'healthy'").join(active.select("job"), "job", "left_anti").select("job", F.col("health").alias("severity"))
 
 
-def channel_decisions(alerts: DataFrame, channels: DataFrame) -> DataFrame:
-    """(id, channel, decision, template): alerts (id, ts, severity) at channels (channel, enabled, days, from_hour, to_hour, per_hour): sent, throttled or skipped.
+def channel_decisions(alerts: DataFrame, channels: DataFrame, bound: int = SMALL) -> DataFrame:
+    """(id, channel, decision, template): alerts (id, ts, severity) at channels (channel, enabled, days, from_hour, to_hour, per_hour, and cooldown in minutes if there is one): sent, throttled or skipped.
 
-    The hourly cap counts what would be sent. Weekdays are 1 (Monday) to 7.
+    The hourly cap counts what would be sent. An alert within the cooldown after one that was sent is skipped. Weekdays are 1 (Monday) to 7.
+    Every alert goes to each channel; up to `bound` channels are broadcast.
     """
-    joined = alerts.join(F.broadcast(channels.limit(10_000)), F.lit(True))  # channels: bounded by the limit; every alert goes to each
+    joined = alerts.crossJoin(F.broadcast(channels) if _small(channels, bound) else channels)
     hour, day = F.hour("ts"), F.weekday("ts") + 1
     open_ = F.col("enabled") & F.array_contains("days", day) & (hour >= F.col("from_hour")) & (hour < F.col("to_hour"))
     marked = joined.withColumn("_open", open_)
+    template = F.when(F.col("severity") == "critical", "critical_template").otherwise("generic_template").alias("template")
+    if "cooldown" in channels.columns:
+        return _gated(marked.select("id", "channel", "_open", "per_hour", "cooldown", template, F.unix_micros(F.col("ts").cast("timestamp")).alias("_micros"), F.unix_micros(F.date_trunc("hour", F.col("ts")).cast("timestamp")).alias("_hour")))
     order = Window.partitionBy("channel", F.date_trunc("hour", "ts"), "_open").orderBy("ts", "id")
     ranked = marked.withColumn("_n", F.row_number().over(order))
     decision = F.when(~F.col("_open"), "skipped").when(F.col("_n") > F.col("per_hour"), "throttled").otherwise("sent")
-    return ranked.select("id", "channel", decision.alias("decision"), F.when(F.col("severity") == "critical", "critical_template").otherwise("generic_template").alias("template"))
+    return ranked.select("id", "channel", decision.alias("decision"), template)
+
+
+def _gated(rows: DataFrame) -> DataFrame:
+    """Decisions in the order of time, per channel: what counts in an hour and when a cooldown starts depends on what was sent."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, hour, sent, last = None, None, 0, None
+        for b in batches:
+            decided = []
+            for channel, open_, most, cooldown, ts, h in zip(b["channel"], b["_open"], b["per_hour"], b["cooldown"], b["_micros"], b["_hour"], strict=True):
+                if channel != current:
+                    current, hour, sent, last = channel, None, 0, None
+                if h != hour:
+                    hour, sent = h, 0
+                if pd.isna(open_) or not open_:
+                    decided.append("skipped")
+                elif sent >= most:  # never where there is no cap
+                    decided.append("throttled")
+                elif last is not None and ts - last < cooldown * 60_000_000:
+                    decided.append("skipped")
+                else:
+                    decided.append("sent")
+                    sent, last = sent + 1, ts
+            yield pd.DataFrame({"id": b["id"], "channel": b["channel"], "decision": decided, "template": b["template"]})
+
+    kinds = dict(rows.dtypes)
+    exact = rows.withColumns({"per_hour": F.col("per_hour").cast("double"), "cooldown": F.col("cooldown").cast("double")})
+    return exact.repartition("channel").sortWithinPartitions("channel", "_micros", "id").mapInPandas(run, f"id {kinds['id']}, channel {kinds['channel']}, decision string, template string")
 
 
 def flood_step(state: tuple | None, ts: float, most: int, period: float, escalate: int) -> tuple[tuple, bool, bool]:

@@ -98,6 +98,13 @@ def channel_decisions(spark, sf_dir):
     return op.channel_decisions(_alerts(spark, sf_dir), channels)
 
 
+@query()
+def channel_cooldowns(spark, sf_dir):
+    """Channels with a cooldown, which depends on what was sent before."""
+    channels = spark.createDataFrame([("mail", True, [1, 2, 3, 4, 5, 6, 7], 0, 24, 1, 30), ("chat", True, [1, 2, 3, 4, 5], 8, 18, 2, 240)], "channel string, enabled boolean, days array<int>, from_hour int, to_hour int, per_hour int, cooldown int")
+    return op.channel_decisions(_alerts(spark, sf_dir), channels)
+
+
 @query()
 def flood_control(spark, sf_dir):
     """Order-dependent per metric: tested against a brute-force version."""

@@ -156,6 +156,31 @@ def test_flood_control(spark):
     assert [r.allowed for r in got] == [True, True, True, False, False, True, True] and [r.escalates for r in got] == [False] * 4 + [True, False, False]
 
 
+@pytest.mark.parametrize("bound", [1, 10_000])
+def test_all_rules_match(spark, bound):
+    rows = [(0, "info", "m0"), (1, "critical", "m7"), (2, None, "m2"), (3, "warning", None)]
+    some = [(f"r{i}", *x) for i, x in enumerate([(None, None), (["critical", "critical", "info"], None), (["warning"], ["m1"]), (None, ["m2", "m7"]), ([], None), (["critical", None], ["m7"]), (["warning"], None)])]
+    many = some + [(f"x{i}", ["none"], None) for i in range(11_000)] + [("last", ["info"], ["m0"])]
+    rules = spark.createDataFrame(many, "rule string, severities array<string>, metrics array<string>")
+    got = alerts.matching(spark.createDataFrame(rows, "id int, severity string, metric string"), rules, {"severity": "severities", "metric": "metrics"}, bound)
+    holds = lambda array, x: array is None or (x is not None and x in array)
+    assert sorted((r.id, r.rule) for r in got.collect()) == sorted((i, r) for i, s, m in rows for r, a, b in many if holds(a, s) and holds(b, m))
+
+
+def test_channels_cool_down(spark):
+    every = [1, 2, 3, 4, 5, 6, 7]
+    channels = spark.createDataFrame([("a", True, every, 0, 24, 2, 10), ("b", True, every, 0, 24, 2, None), ("c", False, every, 0, 24, 2, 10)], "channel string, enabled boolean, days array<int>, from_hour int, to_hour int, per_hour int, cooldown int")
+    rows = stamps(spark, [0, 5, 10, 30, 60, 61, 75]).withColumn("severity", F.lit("critical"))
+    got = {(r.channel, r.id): r.decision for r in alerts.channel_decisions(rows, channels, bound=1).collect()}
+    assert [got["a", i] for i in range(7)] == ["sent", "skipped", "sent", "throttled", "sent", "skipped", "sent"]
+    assert [got["b", i] for i in range(7)] == ["sent", "sent", "throttled", "throttled", "sent", "sent", "throttled"] and {got["c", i] for i in range(7)} == {"skipped"}
+
+
+def test_all_channels_decide(spark):
+    channels = spark.range(10_001).select(F.col("id").cast("string").alias("channel"), F.lit(True).alias("enabled"), F.array(F.lit(1)).alias("days"), F.lit(0).alias("from_hour"), F.lit(24).alias("to_hour"), F.lit(1).alias("per_hour"))
+    assert alerts.channel_decisions(stamps(spark, [0]).withColumn("severity", F.lit("info")), channels).where("decision = 'sent'").count() == 10_001
+
+
 def test_throttle(spark):
     assert [r.allowed for r in alerts.throttle(stamps(spark, [0, 0.5, 1, 1.5, 2.2]), "metric").orderBy("id").collect()] == [True, False, True, False, True]
 
