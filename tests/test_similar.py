@@ -95,7 +95,29 @@ def test_whole_conflict_feed(spark, rows, folder):
     assert {r.a for r in got if r.feed == "contradiccion_registrada"} == {r[0] for r in rows if r[5] == 1}
 
 
-@pytest.mark.parametrize("name", ["near_duplicates", "conflict_feed"])
+def consensus(row):
+    return {1: "confirmed", 0: "disputed"}.get(row[4])
+
+
+def test_whole_conflicts_of_both_kinds(spark, rows, folder):
+    groups = classes(rows, verdict, consensus)
+    items = [(min(r[0] for r in members), key) for key, members in groups.items()]
+    want = set()
+    for a, x in items:
+        for b, y in items:
+            s = alike(x[0], y[0]) if x[2] == y[2] else 0
+            if (x[3] == "verified" and y[3] == "false" and s > 0.4) or (x[4] == "confirmed" and y[4] == "disputed" and s > 0.3):
+                want.add((a, b))
+    got = [(r.a, r.b) for r in registry.QUERIES["whole_conflict_feed"](spark, folder).collect() if r.feed == "conflicto_editorial"]
+    assert sorted(got) == sorted(want)
+    verdicts = {r[0]: verdict(r) for r in rows}
+    assert any(verdicts[a] != "verified" or verdicts[b] != "false" for a, b in got)  # by consensus alone
+    members = {(r.id, r.item) for r in registry.QUERIES["whole_verdict_membership"](spark, folder).collect()}
+    assert members == {(r[0], min(m[0] for m in group)) for group in groups.values() for r in group}
+    assert (62, 61) in members and (61, 60) in got and {i for pair in got for i in pair} <= {item for _, item in members}
+
+
+@pytest.mark.parametrize("name", ["verdict_membership", "near_duplicates", "conflict_feed"])
 def test_slow_queries_are_their_sql(spark, folder, name):
     con = duckdb.connect()
     for t in ("documents", "labels"):
