@@ -7,8 +7,10 @@ by the text's length, and the length's own effect on both go through a logistic
 fitted on labelled texts that the dictionaries haven't seen.
 
 The fit uses a bounded sample: at most `sample_rows` texts of each label, in the order of a
-hash of their ids, and at most `sample_bytes` of them. Scoring reads every whole text and
-shuffles nothing.
+hash of their ids, and at most `sample_bytes` of them: a text that doesn't fit what is left is
+skipped, and later ones that fit are taken. Each dictionary is trained on half of these, on at
+most `sample_pieces` of their pieces (picked at random; 8000 of 256 bytes are 2 MB). Scoring
+reads every whole text and shuffles nothing.
 
 Defined results: null texts count as empty and empty texts have a score as well; without
 labelled rows of both kinds every score is 0.5; labels other than 0 and 1 are passed over;
@@ -26,6 +28,8 @@ from . import common
 
 #: Fits use at most so many texts of each label, and so many bytes of them.
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 16 << 20
+#: Each dictionary is trained on at most so many pieces.
+SAMPLE_PIECES = 8000
 PIECE, DICTIONARY, LEVEL = 256, 32768, 3
 THRESHOLD = 0.3
 
@@ -69,22 +73,22 @@ def _tool(dictionary: bytes):
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def _dictionary(texts: list[str]) -> bytes:
+def _dictionary(texts: list[str], sample_pieces: int) -> bytes:
     import zstandard
 
     parts = [p for t in texts for p in _pieces(t.encode()) if p]
-    parts = [parts[i] for i in np.random.default_rng(0).permutation(len(parts))[:8000]]
+    parts = [parts[i] for i in np.random.default_rng(0).permutation(len(parts))[:sample_pieces]]
     if len(parts) > 300:
         return zstandard.train_dictionary(DICTIONARY, parts).as_bytes()
     return b"".join(parts)[-DICTIONARY:]  # too few to train on: their own bytes
 
 
-def fit_texts(good: list[str], bad: list[str]) -> Compressed | None:
+def fit_texts(good: list[str], bad: list[str], sample_pieces: int = SAMPLE_PIECES) -> Compressed | None:
     if not good or not bad:
         return None
     cut = lambda x: (x[: len(x) // 2], x[len(x) // 2 :]) if len(x) > 20 else (x, x)
     (good_dict, good_fit), (bad_dict, bad_fit) = cut(good), cut(bad)
-    model = Compressed(_dictionary(good_dict), _dictionary(bad_dict), np.zeros(4), np.zeros(3), np.ones(3))
+    model = Compressed(_dictionary(good_dict, sample_pieces), _dictionary(bad_dict, sample_pieces), np.zeros(4), np.zeros(3), np.ones(3))
     x = model.features(good_fit + bad_fit)
     y = np.repeat([1.0, 0.0], [len(good_fit), len(bad_fit)])
     model.centre, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -104,7 +108,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Compressed | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, sample_pieces: int = SAMPLE_PIECES) -> Compressed | None:
     """A model from labelled rows that aren't held out. labels has id_col and label_col."""
     marked = common.take(labels, doc_id=id_col, label=label_col).select(F.col("doc_id").cast("long").alias("_id"), F.col("label").cast("int").alias("label"))
     marked = marked.where(F.col("label").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id"))).withColumn("_h", F.xxhash64("_id"))
@@ -113,9 +117,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = common.take(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     texts = texts.join(sample, F.col("doc_id") == F.col("_id")).select("label", "_h", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     grown = Window.partitionBy("label").orderBy("_h", "doc_id", F.xxhash64("text"))
-    bounded = texts.withColumn("_n", F.row_number().over(grown)).withColumn("_b", F.sum(F.octet_length("text").cast("long")).over(grown))
-    rows = bounded.where((F.col("_n") <= sample_rows) & (F.col("_b") <= sample_bytes)).orderBy("label", "_n").select("label", "text").collect()
-    return fit_texts([r.text for r in rows if r.label == 1], [r.text for r in rows if r.label == 0])
+    fitting = texts.withColumn("_size", F.octet_length("text").cast("long")).where(F.col("_size") <= sample_bytes)
+    numbered = common.settle(fitting.withColumn("_n", F.row_number().over(grown)))  # read for its sizes, then for the texts that fit
+    left, kept = {k: (sample_rows, sample_bytes) for k in (0, 1)}, []
+    for r in numbered.select("label", "_n", "_size").orderBy("label", "_n").collect():
+        n, room = left[r.label]
+        if n and r["_size"] <= room:
+            left[r.label] = n - 1, room - r["_size"]
+            kept.append((r.label, r["_n"]))
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(kept, "label int, _n int"))  # 2 * sample_rows rows at most
+    rows = numbered.join(chosen, ["label", "_n"]).orderBy("label", "_n").select("label", "text").collect()
+    return fit_texts([r.text for r in rows if r.label == 1], [r.text for r in rows if r.label == 0], sample_pieces)
 
 
 def score(docs: DataFrame, model: Compressed | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

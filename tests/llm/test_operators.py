@@ -320,6 +320,28 @@ def test_alignment_is_increasing_and_equal():
 # 9
 
 
+def test_quality_sample_skips_what_does_not_fit(spark):
+    """The first text of each label is over the bound, and one in the middle over what is left: the others are still fitted on."""
+    ids = [r.id for r in spark.range(200).where(~quality.held_out(F.col("id"))).orderBy(F.xxhash64("id")).collect()]
+    size = lambda k: 9000 if k < 2 else 4000 if k in (20, 21) else 40
+    rows = [(i, ("good " if k % 2 else "poor ") * (size(k) // 5)) for k, i in enumerate(ids)]
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int")
+    seen = []
+    original, quality.fit_texts = quality.fit_texts, lambda good, bad, *more: seen.append((good, bad)) or original(good, bad, *more)
+    try:
+        assert quality.fit(docs(spark, rows), labels, sample_bytes=4100) is not None
+    finally:
+        quality.fit_texts = original
+    for got, first in zip(seen[0], (1, 0), strict=True):
+        want, room = [], 4100
+        for k, (_, t) in enumerate(rows):
+            if k % 2 == first and len(t) <= room:
+                want, room = [*want, t], room - len(t)
+        assert got == want and len(want) > 50
+    few, many = (quality.fit_texts(["good " * 4000], ["poor " * 4000], n) for n in (2, 50))
+    assert len(few.good) < len(many.good)
+
+
 def test_quality(spark):
     r = random.Random(7)
     word = lambda: "".join(r.choice(["th", "er", "on", "an", "re", "in", "ti"]) for _ in range(r.randint(1, 4)))
