@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,10 @@ from newsgraph.session import settle, shared_dir  # noqa: F401
 WORD = r"[^\x20\x09-\x0D]+"
 #: 10,000 rows of a page or document table are some 30 MB; longer batches are cut to this many bytes.
 CHUNK_BYTES = 12 << 20
+#: Tables of keys (a few numbers or a digest a row) are broadcast up to so many rows.
+BROADCAST_ROWS = 200_000
+#: Keys of more than 1/HOT of all rows are joined apart from the others.
+HOT = 1024
 _A = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -30,6 +36,46 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def short(keys: DataFrame) -> DataFrame:
+    """A stored table of keys, to be broadcast if it is counted to have BROADCAST_ROWS at most; else it is joined by a shuffle."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """Stored rows with the columns of table (_key once each, _n: how many of `rows` have it), which has all their keys.
+
+    Keys of more than total/HOT rows (HOT at most) are joined by broadcast, wherever their rows are; only the others are
+    shuffled by key.
+    """
+    columns = [c for c in table.columns if c not in ("_key", "_n")]
+    hot = F.broadcast(table.where(F.col("_n") * HOT > total))
+    easy = rows.join(hot, F.col(key) == F.col("_key")).select(*rows.columns, *columns)
+    rest = rows.join(hot.select("_key"), F.col(key) == F.col("_key"), "left_anti")
+    rest = rest.join(table.where(F.col("_n") * HOT <= total), F.col(key) == F.col("_key")).select(*rows.columns, *columns)
+    return easy.unionByName(rest)
+
+
+def identity(doc_id: Column, key: Column) -> list[Column]:
+    """What tells rows apart by id and key; a null id is a value of its own."""
+    own = doc_id.cast("long")
+    return [F.coalesce(own, F.lit(0)).alias("_id"), own.isNull().alias("_none"), key.alias("_key")]
+
+
+def prune(docs: DataFrame, gone: DataFrame, twins: DataFrame, id_col: str, key: Callable[[list[Column]], Column], keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """docs, all columns, without rows whose identity is in gone, and one row of each identity in twins.
+
+    key makes a row's key of its columns, in order. keep may let go of rows where they are read (by _id, _none, _key).
+    """
+    flat, on = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))]), ["_id", "_none", "_key"]
+    columns = [F.col(c) for c in flat.columns]
+    left = keep(flat.select(*columns, *identity(columns[docs.columns.index(id_col)], key(columns)))).join(short(settle(gone.select(*on).distinct())), on, "left_anti")
+    twins = settle(twins.select(*on).distinct())
+    if not twins.isEmpty():
+        twins = short(twins)
+        left = left.join(twins, on, "left_anti").unionByName(left.join(twins, on, "left_semi").dropDuplicates(on))
+    return left.select(*columns).toDF(*docs.columns)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

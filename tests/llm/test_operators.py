@@ -163,19 +163,42 @@ def test_fingerprint_is_the_stated_one():
     assert near_dedup.fingerprint(" \n") == near_dedup.fingerprint(None) == 0
 
 
-@pytest.mark.parametrize("block", [1 << 16, 50])
-def test_links_lose_nothing(spark, block):
+@pytest.mark.parametrize("longest", [4096, 50, 12])
+def test_links_lose_nothing(spark, longest):
+    """Lists of fingerprints that share three, five and more bytes, whole and split."""
     r = np.random.default_rng(3)
     seeds = [int(x) for x in r.integers(0, 1 << 63, 5)]
     fps = {s ^ sum(1 << int(b) for b in r.choice(64, r.integers(0, 4), replace=False)) for s in seeds for _ in range(60)} | {0, 7, 15}
+    fps |= {seeds[0] ^ int(x) for x in r.integers(0, 1 << 24, 60)} | {seeds[1] ^ sum(1 << int(b) for b in r.choice(24, 3, replace=False)) for _ in range(60)}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    edges = near_dedup.links(spark.createDataFrame([(f,) for f in signed], "fp long"), block=block)
+    edges = near_dedup.links(spark.createDataFrame([(f,) for f in signed], "fp long"), longest=longest)
     got = {r.node: r.root for r in components.components(edges).collect()}
     near = [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3]
     assert near and all(got[a] == got[b] for a, b in near)
     assert all(((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 3 for r in edges.collect())
 
 
+def test_the_tally_comes_before_the_bits(monkeypatch):
+    """Of fingerprints that share three positional bytes, only pairs that share five are verified."""
+    r = np.random.default_rng(4)
+    fps = np.concatenate([r.integers(0, 1 << 40, 300, dtype=np.uint64), np.uint64(12345) ^ (np.uint64(1) << r.permutation(40)[:20].astype(np.uint64))])
+    verified, count = [], np.bitwise_count
+    monkeypatch.setattr(near_dedup.np, "bitwise_count", lambda x: verified.append(len(x)) or count(x))
+    i, j = near_dedup.matches(fps[:, None], fps[None, :], 3)
+    differing = fps[:, None] ^ fps[None, :]
+    tally = sum(((differing >> np.uint64(8 * p)) & np.uint64(255)) == 0 for p in range(8))
+    assert sum(verified) == int((tally >= 5).sum()) < len(fps) ** 2 // 20
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(count(differing) <= 3)), strict=True))
+
+
+def test_one_document_of_each_group_stays(spark):
+    """Rows that repeat an id, with one text or several, and rows without an id."""
+    rows = [(1, "a b c d"), (0, "a b c d"), (1, "q r s t u"), (1, "q r s t u"), (None, "q r s t u"), (None, "only here x"), (None, "only here x"), (4, None), (3, ""), (9, "v w x y z")]
+    left = near_dedup.deduplicate(docs(spark, rows))
+    assert left.columns == docs(spark, rows).columns
+    assert sorted(((r[0], r[1]) for r in left.collect()), key=repr) == sorted([(0, "a b c d"), (1, "q r s t u"), (None, "only here x"), (3, ""), (9, "v w x y z")], key=repr)
+
+
 def test_long_chains_are_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     assert {r.node: r.root for r in components.components(edges).collect()} == {i: 0 for i in range(51)} | {100: 100, 101: 100}
