@@ -41,18 +41,20 @@ def short(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
-    """Stored rows with the columns of table (_key once each, _n: how many of `rows` have it), which has all their keys.
+def join_hot(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """Stored rows with the columns of a stored table (_key once each, _n: how many of `rows` have it).
 
-    Keys of more than total/HOT rows (HOT at most) are joined by broadcast, wherever their rows are; only the others are
-    shuffled by key.
+    how: inner or left. A table that is short is broadcast as a whole. Of a longer one, keys of more than total/HOT rows
+    (HOT at most) are joined by broadcast, wherever their rows are; only the others are shuffled by key.
     """
-    columns = [c for c in table.columns if c not in ("_key", "_n")]
+    columns = [*rows.columns, *[c for c in table.columns if c not in ("_key", "_n")]]
+    met = F.col(key) == F.col("_key")
+    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), met, how).select(*columns)
     hot = F.broadcast(table.where(F.col("_n") * HOT > total))
-    easy = rows.join(hot, F.col(key) == F.col("_key")).select(*rows.columns, *columns)
-    rest = rows.join(hot.select("_key"), F.col(key) == F.col("_key"), "left_anti")
-    rest = rest.join(table.where(F.col("_n") * HOT <= total), F.col(key) == F.col("_key")).select(*rows.columns, *columns)
-    return easy.unionByName(rest)
+    easy = rows.join(hot, met).select(*columns)
+    rest = rows.join(hot.select("_key"), met, "left_anti")
+    return easy.unionByName(rest.join(table.where(F.col("_n") * HOT <= total), met, how).select(*columns))
 
 
 def identity(doc_id: Column, key: Column) -> list[Column]:

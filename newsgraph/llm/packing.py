@@ -7,7 +7,8 @@ best. The plan is a list of ranges "the r-th piece of this length goes to that p
 Pieces are numbered within their length by shard (a count per shard and length, a running
 sum, and a row number within each), so no task holds all pieces of one length.
 
-Defined results: a null or empty text is its closing id alone; an empty table gives an
+Defined results: a null or empty text is its closing id alone; texts of any length are cut
+whole, and encoded a bounded chunk of texts at a time (one longer text is a chunk); an empty table gives an
 empty table; repeated rows are packed once each; a null id packs like any other. Other
 columns are not looked at. Special tokens' strings in a text get the ids that the tokenizer
 library gives them.
@@ -15,6 +16,7 @@ library gives them.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -43,6 +45,8 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closing[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = "(?i)" + ("|".join(map(re.escape, added)) or "$^")  # a word like that in any case isn't lower-cased here
         self.forget()
 
     def forget(self) -> None:
@@ -83,9 +87,10 @@ class Encoder:
 
         if self.count > REMEMBERED:
             self.forget()
-        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))  # the tokenizer lower-cases as well
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary
+        # The tokenizer looks for added tokens first, in their own case only, and lower-cases the rest.
+        words = pc.if_else(pc.match_substring_regex(coded.dictionary, self.added), coded.dictionary, pc.ascii_lower(coded.dictionary))
         # Letters and then ASCII marks without an apostrophe: the two are encoded apart, as the tokenizer's split does.
         # Only scripts whose letters stay letters when normalised and lower-cased (U+0130 doesn't).
         letters = pc.match_substring_regex(words, r"^\p{L}+[!-&(-/:-@\[-`{-~]*$")

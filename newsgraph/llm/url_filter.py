@@ -1,12 +1,13 @@
 """URL filters: rules, and a list of canonical URLs behind a blocked Bloom filter.
 
 The filter is a table of blocks: a URL's hash names one block of eight 32-bit words and one
-bit in each. It is broadcast only when the list is short enough for `filter_bytes`; URLs
-that it passes go to an exact hash join with the list, which removes its false positives. A
-longer list skips the filter and joins every URL: the same result by the ordinary way.
+bit in each. URLs that it passes go to an exact hash join with the list, which removes its
+false positives. The filter grows with the list: blocks are counted, and where they are too
+many to be broadcast, URLs and blocks meet by a shuffle on the block's number, so the exact
+join still gets possible hits only.
 
 Defined results: a null URL, or one without ://, has an empty host and path, fits no rule
-and has an empty canonical form, which is never listed; null entries of the list are passed
+and has an empty canonical form, which is never listed; URLs of any length are judged whole; null entries of the list are passed
 over; equal rule lengths are decided by the rule's text; repeated rows are judged once each;
 an empty table gives an empty table. Other columns are not looked at.
 """
@@ -22,8 +23,6 @@ from . import common
 
 #: (host, path start, verdict); the longest that fits wins.
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
-#: A broadcast filter takes at most so many bytes.
-FILTER_BYTES = 32 << 20
 #: 256-bit blocks hold so many URLs each: about one false positive in a hundred.
 PER_BLOCK = 24
 TRACKED = r"[?&](utm_[a-z]+|ref)="
@@ -67,30 +66,29 @@ def bloom_blocks(listed: DataFrame, blocks: int) -> DataFrame:
     return listed.select(block.alias("block"), *[w.alias(f"w{i}") for i, w in enumerate(words)]).groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(8)])
 
 
-def listed_hits(urls: DataFrame, listed: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+def listed_hits(urls: DataFrame, listed: DataFrame, broadcast_blocks: int = common.BROADCAST_ROWS) -> DataFrame:
     """urls (with a column key) and whether the key is listed (listed: key), as column hit."""
     listed = common.settle(listed.where("key is not null and key <> ''").select("key").distinct())
-    marked = listed.select(F.col("key").alias("_key"), F.lit(True).alias("_listed"))
+    marked = listed.select(F.col("key").alias("_key"))
     blocks = max(1, -(-listed.count() // PER_BLOCK))
-    if blocks * 72 > filter_bytes:
-        return urls.join(marked, F.col("key") == F.col("_key"), "left").withColumn("hit", F.coalesce("_listed", F.lit(False))).drop("_key", "_listed")
-    table = bloom_blocks(listed, blocks)
+    table = common.settle(bloom_blocks(listed, blocks))
+    if blocks <= broadcast_blocks:
+        table = F.broadcast(table)
+    kept = [F.col(c) for c in urls.columns]
+    named = F.coalesce(F.col("key"), F.lit("")) != ""
     block, words = _place(F.col("key"), blocks)
-    kept = urls.columns
-    tagged = urls.withColumn("_block", block).join(F.broadcast(table), F.col("_block") == F.col("block"), "left")  # checked above
-    possible = reduce(lambda a, b: a & b, [F.col(f"w{i}").bitwiseAND(w) != 0 for i, w in enumerate(words)])
-    tagged = tagged.withColumn("_possible", F.coalesce(possible, F.lit(False)))
-    sure = tagged.where(~F.col("_possible")).select(*kept, F.lit(False).alias("hit"))
-    maybe = tagged.where("_possible").select(*kept)
-    exact = maybe.join(marked, F.col("key") == F.col("_key"), "left").select(*kept, F.coalesce("_listed", F.lit(False)).alias("hit"))
+    tagged = urls.where(named).withColumn("_block", block).join(table, F.col("_block") == F.col("block"), "left")
+    possible = F.coalesce(reduce(lambda a, b: a & b, [F.col(f"w{i}").bitwiseAND(w) != 0 for i, w in enumerate(words)]), F.lit(False))
+    sure = tagged.where(~possible).select(*kept).unionByName(urls.where(~named)).withColumn("hit", F.lit(False))
+    exact = tagged.where(possible).select(*kept).join(marked, F.col("key") == F.col("_key"), "left").select(*kept, F.col("_key").isNotNull().alias("hit"))
     return sure.unionByName(exact)
 
 
-def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, broadcast_blocks: int = common.BROADCAST_ROWS) -> DataFrame:
     """For each row: page_id, host, path, rule, listed, verdict. listed has a column key of canonical URLs."""
     parts = split(pages, id_col, url_col)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    hits = listed_hits(parts.withColumn("rule", rule).withColumn("_by_rule", verdict), listed, filter_bytes)
+    hits = listed_hits(parts.withColumn("rule", rule).withColumn("_by_rule", verdict), listed, broadcast_blocks)
     method = F.when(F.col("hit"), "block").otherwise("allow")
     return hits.select("page_id", "host", "path", "rule", F.col("hit").alias("listed"), F.coalesce("_by_rule", method).alias("verdict"))
 

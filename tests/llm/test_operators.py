@@ -222,6 +222,7 @@ def test_exact_groups(spark, summary):
     assert sorted(r.text_sha256 for r in kept) == sorted({w[3] for w in want}) and all(r.doc_id == r.keep_id for r in kept)
     assert any(r.heavy for r in got)
     left = exact_dedup.deduplicate(docs(spark, rows), summary=summary)
+    assert sorted(((r[0], r[1] or "") for r in left.collect()), key=repr) == sorted(((best.get(t), t) for t in size), key=repr)
     assert left.columns == docs(spark, rows).columns and sorted((r[1] or "") for r in left.collect()) == sorted(size)
 
 
@@ -231,25 +232,45 @@ def test_exact_groups(spark, summary):
 def test_mixing(spark):
     rows = corpus(200)
     topics = spark.createDataFrame([(i, str(i % 2)) for i in range(100)], "doc_id long, topic string")
-    got = mixing.weigh(docs(spark, rows), topics, budget=0.5, rounds=40).collect()
+    got = mixing.weigh(docs(spark, rows), topics, budget=0.9).collect()
     assert len(got) == len(rows) and all(0 <= r.probability <= 1 and r.sampled == (r.draw < r.probability) for r in got)
-    total, by_source = sum(r.n_tokens for r in got), defaultdict(float)
+    total = sum(r.n_tokens for r in got)
     assert total == sum(len((t or "").encode().split()) for _, t in rows)
-    share, expected = Counter(), defaultdict(float)
-    for r in got:
-        share[r.topic] += r.n_tokens
-        by_source[r.source] += r.n_tokens * r.probability
-        expected[r.topic] += r.n_tokens * r.probability
-    weight = sum(n**0.5 for n in share.values())
-    for topic, n in share.items():  # the last marginal that was raked; values whose documents are all taken stay below
-        want = 0.5 * total * n**0.5 / weight
-        assert expected[topic] <= want * 1.001 and (expected[topic] > want * 0.999 or all(r.probability == 1 for r in got if r.topic == topic) or expected[topic] > 0)
-    again = mixing.weigh(docs(spark, rows), topics, budget=0.5, rounds=40)
+    (budget,) = {r.budget for r in got}
+    assert 0 < budget < 0.9  # the largest that the targets allow
+    for m in mixing.MARGINALS:  # the shares of every value of every marginal
+        share, expected = Counter(), defaultdict(float)
+        for r in got:
+            share[r[m]] += r.n_tokens
+            expected[r[m]] += r.n_tokens * r.probability
+        weight = sum(n**0.5 for n in share.values())
+        for value, n in share.items():
+            assert expected[value] == pytest.approx(budget * total * n**0.5 / weight, rel=0.0101), (m, value)
+    cells = mixing.rake(mixing.weigh(docs(spark, rows)).groupBy("source", "lang").agg(F.sum("n_tokens").alias("n_tokens")), marginals=("source", "lang"))
+    residuals = mixing.marginals_of(cells, marginals=("source", "lang")).collect()
+    assert {r.marginal for r in residuals} == {"source", "lang"} and all(abs(r.residual) <= 0.0101 for r in residuals)
+    again = mixing.weigh(docs(spark, rows), topics, budget=0.9)
     assert rows_of(again, "doc_id", "sampled") == sorted(((r.doc_id, r.sampled) for r in got), key=repr)
-    kept = mixing.sample(docs(spark, rows), topics, budget=0.5, rounds=40)
+    kept = mixing.sample(docs(spark, rows), topics, budget=0.9)
     assert kept.columns == docs(spark, rows).columns and kept.count() == sum(r.sampled for r in got)
 
 
+def test_mixing_without_tokens_and_with_clashing_topics(spark):
+    got = mixing.weigh(docs(spark, [(1, None), (2, ""), (None, " ")])).collect()
+    assert [(r.n_tokens, r.probability) for r in got] == [(0, pytest.approx(0.7))] * 3
+    vectors = spark.createDataFrame([(1, [0.5], 3, "x", 1), (1, [0.5], 2, "x", 1), (None, [0.5], 9, "x", 1)], "vec_id long, embedding array<float>, label int, LABEL string, topic int")
+    assert rows_of(mixing.embedding_topics(vectors), "doc_id", "topic") == [(1, "2")]
+
+
+def test_mixing_raises_small_values_as_far_as_they_go(spark):
+    """Half of the sample is to be French, but only a tenth of the tokens is: the budget falls to a fifth."""
+    rows = [(i, "w " * 10, "s", "fr" if i % 10 == 0 else "en") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    targets = {"lang": spark.createDataFrame([("en", 0.5), ("fr", 0.5), ("de", 3.0)], "value string, share double")}
+    got = {r.lang: (round(r.p, 3), round(r.b, 3)) for r in mixing.weigh(df, None, targets).groupBy("lang").agg(F.max("probability").alias("p"), F.max("budget").alias("b")).collect()}
+    assert got == {"fr": (1.0, 0.2), "en": (0.111, 0.2)}
+
+
 def test_mixing_meets_given_targets(spark):
     rows = [(i, "w " * 10, f"s{i % 2}", "en" if i % 4 < 3 else "fr") for i in range(4000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
@@ -273,12 +294,12 @@ def test_url_rules(spark):
     assert None in got
 
 
-@pytest.mark.parametrize("filter_bytes", [32 << 20, 0])
-def test_listed_urls_are_found_exactly(spark, filter_bytes):
+@pytest.mark.parametrize("broadcast_blocks", [200_000, 0])
+def test_listed_urls_are_found_exactly(spark, broadcast_blocks):
     listed = spark.createDataFrame([(f"h{i}/p{i}",) for i in range(0, 2000, 2)], "key string")
-    urls = spark.createDataFrame([(f"h{i}/p{i}", i) for i in range(2000)] + [("h0/p0", -2)], "key string, n int")
-    got = url_filter.listed_hits(urls, listed, filter_bytes)
-    assert got.columns == ["key", "n", "hit"] and got.count() == 2001 and got.where("hit <> (n % 2 = 0)").count() == 0
+    urls = spark.createDataFrame([(f"h{i}/p{i}", i) for i in range(2000)] + [("h0/p0", -2), ("", 1), (None, 3), ("x" * 300_000, 5)], "key string, n int")
+    got = url_filter.listed_hits(urls, listed, broadcast_blocks)
+    assert got.columns == ["key", "n", "hit"] and got.count() == 2004 and got.where("hit <> (n % 2 = 0)").count() == 0
 
 
 # 8
@@ -395,7 +416,7 @@ def test_encoder_is_the_tokenizer():
 
     own, whole = packing.Encoder(packing.vocabulary()), Tokenizer.from_file(packing.vocabulary())
     r = random.Random(8)
-    alphabet = list("abcXYZ 'sStTdm0123.,!&$#*|\n\t-éÉßñİıſ\u0301\u0338\u00a0\u2028中文ﬁ①٣<>Ⅷªक़שׁДκΐ") + ["<|endoftext|>", "<|startoftext|>", "it's", "'ll", "don't"]
+    alphabet = list("abcXYZ 'sStTdm0123.,!&$#*|\n\t-éÉßñİıſ\u0301\u0338\u00a0\u2028中文ﬁ①٣<>Ⅷªक़שׁДκΐ") + ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|endofTEXT|>X", "it's", "'ll", "don't"]
     texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(800)] + [None, "", "word " * 5000]
     ids, counts = own.encode(pa.array(texts))
     ends = np.cumsum(counts)
