@@ -14,7 +14,7 @@ _shipped: set[str] = set()
 
 def session(cores: str = "*", partitions: int = 8, **more: str) -> SparkSession:
     """A local session as tests and benchmarks use it."""
-    conf = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "8g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"} | more
+    conf = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "8g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.cleaner.referenceTracking.cleanCheckpoints": "true"} | more
     spark = SparkSession.builder.master(f"local[{cores}]").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -35,9 +35,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine only where the cluster names none."""
+    """The folder that driver and executors share, spark.checkpoint.dir; a local session that names none gets one of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -49,3 +51,10 @@ def settle(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage; the rows are in the shared folder, so lost executors lose nothing."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
