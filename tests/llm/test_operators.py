@@ -98,6 +98,51 @@ def test_top_k(spark, shard_rows, query_rows):
     assert rows_of(got, "query_id", "rank", "vec_id", "score") == brute_top(vectors, 5, 10)
 
 
+def clusters(n: int, dimensions: int, seed: int) -> np.ndarray:
+    """Clusters within clusters."""
+    r = np.random.default_rng(seed)
+    x = 100 * r.normal(size=(8, dimensions))[r.integers(0, 8, n)] + 10 * r.normal(size=(8, dimensions))[r.integers(0, 8, n)] + r.normal(size=(n, dimensions))
+    return np.floor(256 * x).astype(np.int64)
+
+
+def test_cover_trees_hold_their_invariants():
+    for x in (clusters(1500, 6, 1), np.zeros((100, 3), np.int64), np.random.default_rng(2).integers(-99, 99, (700, 64)), clusters(1, 4, 3)):
+        tree = vector_search.CoverTree(x)
+        whole = {}
+        for node in range(len(tree.centre) - 1, -1, -1):
+            below = [tree.rows[node]] if tree.rows[node] is not None else [whole[c] for c in tree.children[node]]
+            whole[node] = np.concatenate(below)
+            far = np.sqrt(((x[whole[node]] - x[tree.centre[node]]) ** 2).sum(axis=1))
+            assert far.max() <= tree.radius[node] and (tree.level[node] is None or tree.radius[node] <= 2.0 ** tree.level[node] * (1 + 1e-8))
+            net = tree.nets[node]
+            if net is not None:
+                assert net[0] == tree.centre[node]  # nesting
+                apart = np.sqrt(((x[net][:, None] - x[net][None]) ** 2).sum(axis=2)) + 1e30 * np.eye(len(net))
+                assert apart.min() > 2.0 ** (tree.level[node] - 1)  # separation
+                assert np.sqrt(((x[whole[node]][:, None] - x[net][None]) ** 2).sum(axis=2)).min(axis=1).max() <= 2.0 ** (tree.level[node] - 1)  # covering
+        assert sorted(whole[0].tolist()) == list(range(len(x)))
+        assert len(x) < 1500 or len(tree.centre) > 50
+
+
+def test_dual_search_prunes_clusters_and_finds_all():
+    for x, most in ((clusters(3000, 6, 4), 0.3), (np.random.default_rng(5).integers(-99, 99, (600, 32)), 1.0)):
+        ids, q = np.arange(len(x)), np.arange(0, len(x), 5)
+        row, names, scores, scored = vector_search.dual_search(q, x[q], np.full(len(q), -np.inf), ids, x, 5)
+        product = x[q] @ x.T
+        product[np.arange(len(q)), q] = np.iinfo(np.int64).min
+        for i in range(len(q)):
+            best = np.lexsort((ids, ~product[i]))[:5]  # ~: descending, without overflow
+            assert names[row == i].tolist() == best.tolist() and scores[row == i].tolist() == product[i][best].tolist()
+        assert scored <= most * len(q) * len(x)
+
+
+def test_top_k_of_wide_vectors_over_many_shards(spark):
+    x = clusters(900, 300, 6) / 256
+    vectors = [(i, v) for i, v in enumerate(x.tolist())]
+    got = vector_search.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, shard_rows=60, query_rows=20)
+    assert rows_of(got, "query_id", "rank", "vec_id", "score") == brute_top(vectors, 5, 10)
+
+
 # 3
 
 
