@@ -7,14 +7,18 @@ always meet, and words are sent about three times instead of once per window. In
 the windows are sorted by hash and equal hashes are verified by their bytes, so counting is
 exact; every window but the earliest of its kind marks its words for removal.
 
-Skew: runs of words that make up more than 1/summary of all runs (a mergeable Misra-Gries
+Skew: runs of words that make up 2/summary of all runs or more (a mergeable Misra-Gries
 summary finds them; at most `summary` hashes, whatever the input) come last in the order of
 minimisers, so a frequent line or phrase attracts no windows with a context of their own.
-Super-k-mers that repeat within a task are settled there, and only the first travels.
+Super-k-mers that repeat within a task are settled there, and only the first travels. The
+number of buckets follows the bytes of all texts, and so does the summary up to a bound, so
+that a run that is no frequent one stays small against a bucket. A bucket's windows are
+sorted in as many passes as its words ask for, each over the windows of some hashes.
 
 Order of documents: by id (null first), then by a hash of the text. Rows that repeat an id
 and a text are one document and all get its result; equal ids with different texts are
-different documents. Defined results: null or empty texts have no words (0, 0, the hash of
+different documents. Texts of any length are read whole (a longer one is a chunk of its own).
+Defined results: null or empty texts have no words (0, 0, the hash of
 the empty string); texts of fewer words than a window keep all; an empty table gives an
 empty table. Other columns are not looked at.
 """
@@ -34,6 +38,10 @@ WINDOW = 20
 MINIMISER = 3
 #: Texts of about so many bytes are taken apart at a time; strings are packed at this zstandard level.
 CHUNK, LEVEL = 8 << 20, 6
+#: Bytes of text for which there is a bucket, entries of the summary at most, and words of a bucket that are sorted in one pass.
+BUCKET_BYTES, SUMMARY, PASS_WORDS = 4 << 20, 1 << 17, 1 << 22
+#: Slices of fewer bytes aren't worth compressing.
+SMALL = 512
 _NULL_ID = -(1 << 63)
 _HOT = np.uint64(1 << 63)
 _BLANKS = bytes(32 if 9 <= b <= 13 else b for b in range(256))
@@ -67,7 +75,11 @@ def _runs(words: _Words, m: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def frequent_runs(texts: DataFrame, m: int, size: int) -> np.ndarray:
-    """Hashes of the m-word runs that make up more than 1/size of all, sorted; at most `size` (texts: a column text)."""
+    """Hashes of frequent m-word runs, sorted; at most `size` (texts: a column text).
+
+    A task's counts fall short by up to 1/size of its runs, and 1/size of all is asked of what is left, so a run that makes
+    up 2/size of all is always found.
+    """
 
     def summarise(batches):
         import pyarrow as pa
@@ -96,13 +108,14 @@ def _pack(ids, keys, starts, counts, text: bytes) -> bytes:
     import zstandard
 
     head = b"".join(np.ascontiguousarray(x, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for x in (ids, keys, starts, counts))
-    return zstandard.ZstdCompressor(level=LEVEL).compress(struct.pack("<qq", len(ids), len(text)) + head + text)
+    raw = struct.pack("<qq", len(ids), len(text)) + head + text
+    return b"\0" + raw if len(raw) < SMALL else b"\1" + zstandard.ZstdCompressor(level=LEVEL).compress(raw)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
     import zstandard
 
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+    raw = blob[1:] if blob[0] == 0 else zstandard.ZstdDecompressor().decompress(blob[1:])
     n, size = struct.unpack_from("<qq", raw)
     head = [np.frombuffer(raw, np.uint8, 8 * n, 16 + 8 * n * i).reshape(8, n).T.copy().view(np.int64).ravel() for i in range(4)]
     return np.stack(head), raw[len(raw) - size :]
@@ -181,20 +194,51 @@ def super_kmers(docs: DataFrame, window: int, m: int, hot: np.ndarray, buckets:
             home = (common.mix(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             rows = {"bucket": [], "kmers": [], "done": []}
             by, at_home = travel[np.argsort(bucket[travel], kind="stable")], settled[np.argsort(home[settled], kind="stable")]
-            b_edges, h_edges = (np.searchsorted(x, np.arange(buckets + 1)) for x in (bucket[by], home[at_home]))
-            for b in range(buckets):
-                own, gone = by[b_edges[b] : b_edges[b + 1]], at_home[h_edges[b] : h_edges[b + 1]]
-                if len(own) or len(gone):
-                    text = words.buf[common.ranges(begin[own], size[own] + 1) % len(words.buf)].copy()  # and the byte behind, a word's end
-                    text[np.cumsum(size[own] + 1) - 1] = 32
-                    rows["bucket"].append(b)
-                    rows["kmers"].append(_pack(ids[own], keys[own], place[own], count[own], text.tobytes()) if len(own) else None)
-                    rows["done"].append(_pack(ids[gone], keys[gone], place[gone], count[gone], b"") if len(gone) else None)
+            met = np.union1d(bucket[by], home[at_home])
+            b_edges, h_edges = (np.stack([np.searchsorted(x, met), np.searchsorted(x, met, "right")], 1).tolist() for x in (bucket[by], home[at_home]))
+            for b, (b_first, b_end), (h_first, h_end) in zip(met.tolist(), b_edges, h_edges, strict=True):
+                own, gone = by[b_first:b_end], at_home[h_first:h_end]
+                text = words.buf[common.ranges(begin[own], size[own] + 1) % len(words.buf)].copy()  # and the byte behind, a word's end
+                text[np.cumsum(size[own] + 1) - 1] = 32
+                rows["bucket"].append(b)
+                rows["kmers"].append(_pack(ids[own], keys[own], place[own], count[own], text.tobytes()) if len(own) else None)
+                rows["done"].append(_pack(ids[gone], keys[gone], place[gone], count[gone], b"") if len(gone) else None)
             yield pa.record_batch({"bucket": pa.array(rows["bucket"], pa.int32()), "kmers": pa.array(rows["kmers"], pa.binary()), "done": pa.array(rows["done"], pa.binary())})
 
     return docs.mapInArrow(pack, "bucket int, kmers binary, done binary")
 
 
+def _later(ids, keys, place, offset, buf, starts, ends, hashed, at, owner, window: int) -> list:
+    """Of windows (first words at, of super-k-mers owner): runs covered by those that aren't the earliest of their kind."""
+    h = hashed[at]
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    twice = np.zeros(len(h), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    pick = np.flatnonzero(twice)
+    if not len(pick):
+        return []
+    own, where, h = owner[pick], at[pick], h[pick]
+    start = place[own] + where - offset[own]
+    begin = starts[where]
+    size = ends[where + window - 1] - begin
+    order = np.lexsort((start, keys[own], ids[own], h))
+    own, start, begin, size, h = own[order], start[order], begin[order], size[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    group = np.cumsum(new) - 1
+    squeezed = _squeezed(buf, begin, size)
+    lead = np.flatnonzero(new)[group]
+    off = np.ones(len(h), bool)
+    off[size == size[lead]] = ~_same(buf, begin[size == size[lead]], begin[lead][size == size[lead]], size[size == size[lead]])
+    if off.any():  # other white space, or one hash for different words: group by the words themselves
+        seen: dict = {}
+        for i in np.flatnonzero(np.isin(group, group[off])).tolist():
+            lead[i] = seen.setdefault(squeezed(i), i)
+    later = (ids[own] != ids[own[lead]]) | (keys[own] != keys[own[lead]]) | (start != start[lead])
+    return [_intervals(ids[own[later]], keys[own[later]], start[later], window)] if later.any() else []
+
+
 def repeated(packed: DataFrame, window: int) -> DataFrame:
     """Packed super-k-mers to (doc_id, key, first, last): runs of words covered by windows that also start earlier."""
 
@@ -213,35 +257,14 @@ def repeated(packed: DataFrame, window: int) -> DataFrame:
             hashed = common.rolled(common.word_hashes(buf, starts, ends), window)
             offset = np.cumsum(counts) - counts
             n = counts - window + 1
-            at = common.ranges(offset, n)  # first word of each window
-            owner = np.repeat(np.arange(len(ids)), n)
-            h = hashed[at]
-            order = np.argsort(h, kind="stable")
-            same = h[order][1:] == h[order][:-1]
-            twice = np.zeros(len(h), bool)
-            twice[order[1:][same]] = twice[order[:-1][same]] = True
-            pick = np.flatnonzero(twice)
-            if len(pick):
-                own, where, h = owner[pick], at[pick], h[pick]
-                start = place[own] + where - offset[own]
-                begin = starts[where]
-                size = ends[where + window - 1] - begin
-                order = np.lexsort((start, keys[own], ids[own], h))
-                own, start, begin, size, h = own[order], start[order], begin[order], size[order], h[order]
-                new = np.ones(len(h), bool)
-                new[1:] = h[1:] != h[:-1]
-                group = np.cumsum(new) - 1
-                squeezed = _squeezed(buf, begin, size)
-                lead = np.flatnonzero(new)[group]
-                off = np.ones(len(h), bool)
-                off[size == size[lead]] = ~_same(buf, begin[size == size[lead]], begin[lead][size == size[lead]], size[size == size[lead]])
-                if off.any():  # other white space, or one hash for different words: group by the words themselves
-                    seen: dict = {}
-                    for i in np.flatnonzero(np.isin(group, group[off])).tolist():
-                        lead[i] = seen.setdefault(squeezed(i), i)
-                later = (ids[own] != ids[own[lead]]) | (keys[own] != keys[own[lead]]) | (start != start[lead])
-                if later.any():
-                    found.append(_intervals(ids[own[later]], keys[own[later]], start[later], window))
+            passes = -(-len(starts) // PASS_WORDS)
+            for k in range(passes):  # windows of equal words have equal hashes
+                at = common.ranges(offset, n)  # first word of each window
+                owner = np.repeat(np.arange(len(ids)), n)
+                if passes > 1:
+                    mine = hashed[at] % np.uint64(passes) == k
+                    at, owner = at[mine], owner[mine]
+                found += _later(ids, keys, place, offset, buf, starts, ends, hashed, at, owner, window)
         ids, keys, first, last = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(4))
         return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=ids == _NULL_ID), "key": keys, "first": first, "last": last})
 
@@ -256,9 +279,11 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     """(doc_id, key, first, last): word runs to remove, possibly overlapping. key is xxhash64 of the text."""
     if not 1 <= minimiser <= window:
         raise ValueError("a minimiser is 1 to `window` words")
-    buckets = buckets or 4 * common.partitions(docs.sparkSession)
     picked = _picked(docs, id_col, text_col).where("text is not null")
-    hot = frequent_runs(picked.select("text"), minimiser, summary or max(1024, 2 * buckets))
+    if not buckets:
+        size = picked.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first().n
+        buckets = max(4 * common.partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
+    hot = frequent_runs(picked.select("text"), minimiser, summary or min(SUMMARY, max(1024, 2 * buckets)))
     return repeated(super_kmers(picked, window, minimiser, hot, buckets), window)
 
 

@@ -1,17 +1,22 @@
 """WARC archives with an index first.
 
 Pages of equal payload are found by digest; the one with the largest id is written as a
-response, the others as revisits without payload. Each task writes gzip-per-record .warc.gz
-files to the shared folder and returns one index row per record: file, offset, length, URL,
-digest. The index is kept as a table, so a lost executor costs a task, whose new files get
-new names and whose old ones are in no index. Readers select records in the index, sort
-them by file and offset, coalesce neighbouring byte ranges and read only those.
+response, the others as revisits without payload. Only digests and ids are shuffled for
+that; payloads stay where they are read unless repeats are too many to be broadcast, and
+short ones always. Each task writes gzip-per-record .warc.gz files to the shared folder and
+returns one index row per record: file, offset, length, URL, digest. The index is kept as a
+table, so a lost executor costs a task, whose new files get new names and whose old ones are
+in no index. Readers select records in the index, sort them by file and offset, coalesce
+neighbouring byte ranges and read only those. The archives are the operator's product and
+stay until their owner removes the folder.
 
 Payloads below `least` bytes are always responses. Defined results: a null payload is
-empty; a null URL is written as an empty target; rows that repeat an id and a payload get a
-response each if they have the largest id, else revisits; a null id is below all others and
-never a response while another row has the payload; an empty table gives an empty table.
-Other columns are not looked at.
+empty; payloads of any length are one record each; a null URL is written as an empty target;
+white space, controls and percent signs of a URL that holds any white space or control are
+percent-encoded in its header, and a header of its own says so, so it is read back as it
+was; rows that repeat an id and a payload get a response each if they have the largest id,
+else revisits; a null id is below all others and never a response while another row has the
+payload; an empty table gives an empty table. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,28 +36,38 @@ LEAST = 1000
 #: Archive files are closed at this size; reads join ranges with gaps up to GAP, up to RANGE bytes.
 FILE_BYTES, GAP, RANGE = 256 << 20, 64 << 10, 8 << 20
 _DATE = "2024-01-01T00:00:00Z"
+#: What stays in an encoded URL: all of ASCII that is printed, but the percent sign.
+_SAFE = "".join(chr(c) for c in range(33, 127) if chr(c) != "%")
 
 
 def assign(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST) -> DataFrame:
     """page_id, url, payload (binary), payload_digest, refers_to (null: a response)."""
     picked = common.take(pages, page_id=id_col, url=url_col, payload=payload_col)
     rows = picked.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce(F.col("payload").cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("_same", F.when(F.octet_length("payload") >= least, F.unhex(F.sha2("payload", 256))))
-    groups = rows.where("_same is not null").groupBy("_same").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    groups = groups.select(F.col("_same").alias("_key"), "_first")
-    joined = rows.join(groups, F.col("_same") == F.col("_key"), "left")
-    refers = F.when(F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first"))
-    return joined.select("page_id", "url", "payload", F.sha1("payload").alias("payload_digest"), refers.alias("refers_to"))
+    rows = rows.withColumn("_same", F.unhex(F.sha2("payload", 256)))
+    long, short = rows.where(F.octet_length("payload") >= least), rows.where(F.octet_length("payload") < least)
+    narrow = common.settle(long.select("page_id", "_same"))
+    groups = narrow.groupBy("_same").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    groups = common.settle(groups.select(F.col("_same").alias("_key"), "_first", "_n"))
+    refers = F.when(F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("refers_to")
+    columns = ("page_id", "url", "payload", F.sha1("payload").alias("payload_digest"))
+    if groups.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS:  # short payloads go along in one pass over the table
+        return rows.join(F.broadcast(groups), (F.col("_same") == F.col("_key")) & (F.octet_length("payload") >= least), "left").select(*columns, refers)
+    joined = common.join_hot(long, groups, "_same", narrow.count(), "left").select(*columns, refers)
+    return joined.unionByName(short.select(*columns, F.lit(None).cast("long").alias("refers_to")))
 
 
 def _record(kind: str, page_id, url: str, payload: bytes, digest: str, refers_to) -> bytes:
-    target = "".join(url.split())  # a header line can't hold white space of its own
+    odd = any(c.isspace() or ord(c) < 32 for c in url)  # a header line can't hold these
+    target = quote(url, safe=_SAFE) if odd else url
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if kind == "response" else b"")
     head = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {_DATE}", f"WARC-Target-URI: {target}",
         f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
+    if odd:
+        head += ["X-Target-Encoding: percent"]
     if kind == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -110,6 +126,20 @@ def write(assigned: DataFrame, folder: str | None = None, file_bytes: int = FILE
     return spark.read.parquet(f"{folder}/index").withColumn("file", F.concat(F.lit(folder + "/"), "file"))
 
 
+def coalesce(rows, gap: int = GAP, most: int = RANGE):
+    """Sorted (file, offset, length) to byte ranges (file, start, [(begin, end) of each record]): neighbours with gaps up to `gap` in one range of `most` bytes."""
+    name, start, ends = None, 0, []
+    for file, offset, length in rows:
+        if name is not None and (file != name or offset > ends[-1][1] + gap or offset + length - start > most):
+            yield name, start, ends
+            name = None
+        if name is None:
+            name, start, ends = file, offset, []
+        ends.append((offset, offset + length))
+    if name is not None:
+        yield name, start, ends
+
+
 def read(selected: DataFrame, gap: int = GAP, most: int = RANGE, keep_payload: bool = True) -> DataFrame:
     """Selected index rows to records: page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload."""
     ordered = selected.select("file", "offset", "length").sortWithinPartitions("file", "offset")
@@ -132,21 +162,14 @@ def read(selected: DataFrame, gap: int = GAP, most: int = RANGE, keep_payload: b
                 digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
                 if headers["WARC-Type"] == "response" and hashlib.sha1(payload).hexdigest() != digest:
                     raise ValueError(f"damaged record {headers['WARC-Record-ID']}")
-                rows.append((own("WARC-Record-ID"), headers["WARC-Target-URI"], headers["WARC-Type"], own("WARC-Refers-To") if "WARC-Refers-To" in headers else None, int(headers["X-Payload-Length"]), digest, payload if keep_payload else None))
+                url = unquote(headers["WARC-Target-URI"]) if "X-Target-Encoding" in headers else headers["WARC-Target-URI"]
+                rows.append((own("WARC-Record-ID"), url, headers["WARC-Type"], own("WARC-Refers-To") if "WARC-Refers-To" in headers else None, int(headers["X-Payload-Length"]), digest, payload if keep_payload else None))
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             names = ("page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload")
             return pa.record_batch({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
 
         for batch in batches:
-            name, start, ends = None, 0, []
-            for file, offset, length in zip(*(batch[c].to_pylist() for c in ("file", "offset", "length")), strict=True):
-                if name is not None and (file != name or offset > ends[-1][1] + gap or offset + length - start > most):
-                    yield table(records(name, start, ends))
-                    name = None
-                if name is None:
-                    name, start, ends = file, offset, []
-                ends.append((offset, offset + length))
-            if name is not None:
+            for name, start, ends in coalesce(zip(*(batch[c].to_pylist() for c in ("file", "offset", "length")), strict=True), gap, most):
                 yield table(records(name, start, ends))
 
     return ordered.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")

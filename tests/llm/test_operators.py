@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsgraph.llm import components, exact_dedup, licenses, mixing, near_dedup, packing, quality, substring_dedup, url_filter, vector_search, warc
+from newsgraph.llm import common, components, exact_dedup, licenses, mixing, near_dedup, packing, quality, substring_dedup, url_filter, vector_search, warc
 
 SCHEMA = T.StructType([T.StructField(n, k) for n, k in (("doc_id", T.LongType()), ("text", T.StringType()), ("source", T.StringType()), ("lang", T.StringType()), ("digest", T.StringType()), ("key", T.LongType()), ("fp", T.LongType()), ("TEXT", T.StringType()), ("score", T.DoubleType()), ("_id", T.LongType()), ("row", T.LongType()))])
 WORDS = ["alpha", "beta", "gamma", "delta", "the", "of", "é", "ñandú", "Δ", "zeta", "eta,", "theta.", "iota!"]
@@ -66,6 +66,26 @@ def test_substrings(spark, window, minimiser, summary):
     assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_substrings(rows, window)
 
 
+def test_substrings_in_several_passes_and_many_buckets(monkeypatch):
+    """A bucket's windows sorted in passes give what one pass gives; buckets follow the bytes."""
+    import pyarrow as pa
+
+    r = random.Random(4)
+    line = [f"w{i}" for i in range(60)]
+    texts = [" ".join(r.choice(WORDS) + str(r.randint(0, 99)) for _ in range(50)) + " " + " ".join(line[a : a + 40]) for a in range(20)]
+    words = substring_dedup._Words(pa.array(texts))
+    counts = words.counts
+    ids, zero = np.arange(len(texts)), np.zeros(len(texts), np.int64)
+    offset = np.cumsum(counts) - counts
+    hashed = common.rolled(words.hashes, 8)
+    at = common.ranges(offset, counts - 7)
+    owner = np.repeat(ids, counts - 7)
+    whole = substring_dedup._later(ids, zero, zero, offset, words.buf, words.starts, words.ends, hashed, at, owner, 8)
+    parts = [substring_dedup._later(ids, zero, zero, offset, words.buf, words.starts, words.ends, hashed, at[m], owner[m], 8) for k in range(5) for m in [hashed[at] % np.uint64(5) == k]]
+    covered = lambda runs: {(i, w) for run in runs for i, _, a, b in zip(*(x.tolist() for x in run), strict=True) for w in range(a, b)}
+    assert covered(whole) == covered([run for p in parts for run in p]) and len(covered(whole)) > 500
+
+
 def test_substrings_split_by_other_white_space(spark):
     words = [f"w{i}" for i in range(25)]
     rows = [(1, " ".join(words)), (2, "  \n".join(words)), (3, "x " + "\t".join(words) + " y")]
@@ -166,6 +186,29 @@ def test_warc(spark):
     assert (8, huge.encode()) not in kept and (9, huge.encode()) in kept and (6, b"") in kept
     one = warc.read(index.where("page_id = 2"))
     assert [bytes(r.payload) for r in one.collect()] == [b"short"]
+    assert rows_of(got, "page_id", "url") == sorted(((i, u or "") for i, u, _ in pages), key=repr)
+    some = warc.read(index.where("page_id in (1, 7, 9)"), gap=0)
+    assert rows_of(some, "page_id", "payload_bytes") == [(1, 1000), (7, 0), (9, 600_000)]
+
+
+def test_many_repeats_are_joined_by_a_shuffle(spark, monkeypatch):
+    pages = [(i, "u\r\n%20 \u00e9" if i % 2 else "http://a/%20", ("x" * 1200 + str(i % 40)) if i % 3 else "s") for i in range(300)] + [(1000 + i, None, "hot" * 500) for i in range(50)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    whole = rows_of(warc.assign(df), "page_id", "url", "payload_digest", "refers_to")
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(common, "HOT", 10)
+    split = warc.assign(df)
+    assert rows_of(split, "page_id", "url", "payload_digest", "refers_to") == whole and len(whole) == 350
+    assert rows_of(warc.read(warc.write(split)), "page_id", "url") == sorted(((i, u or "") for i, u, _ in pages), key=repr)
+
+
+def test_ranges_are_coalesced():
+    """Neighbours are read at once, up to a size; what lies between selected records only where the gap is small."""
+    rows = [("a", 100 * i, 100) for i in range(10)] + [("b", 100 * i, 50) for i in (0, 1, 5, 6)]
+    ranges = list(warc.coalesce(rows, gap=60, most=500))
+    assert [(f, start, ends[-1][1] - start, len(ends)) for f, start, ends in ranges] == [("a", 0, 500, 5), ("a", 500, 500, 5), ("b", 0, 150, 2), ("b", 500, 150, 2)]
+    assert [len(ends) for _, _, ends in warc.coalesce(rows, gap=0, most=10**9)] == [10, 1, 1, 1, 1]
+    assert sum(ends[-1][1] - start for _, start, ends in warc.coalesce([("a", 0, 10), ("a", 10**9, 10)], gap=1000)) == 20
 
 
 # 4
