@@ -14,7 +14,7 @@ A template of which less than `least` can be in the text at all (by its words, w
 they stand) can't reach that coverage and isn't aligned: nothing is lost by that.
 
 Defined results: null and empty texts, and texts without a license, have no licenses and
-coverage 0; equal coverages are decided by the template's name; repeated rows are scanned
+coverage 0; texts of any length are scanned whole, also where a notice stands at their end; equal coverages are decided by the template's name; repeated rows are scanned
 once each; an empty table gives an empty table. Other columns are not looked at.
 """
 

@@ -2,15 +2,20 @@
 
 A zstandard dictionary is built from good labelled texts and one from bad ones. A text is
 compressed with each, in pieces that start from the dictionary alone, so that every part of
-a long text counts alike. The difference of the two sizes, normalised by the larger size and
-by the text's length, and the length's own effect on both go through a logistic calibration,
-fitted on labelled texts that the dictionaries haven't seen.
+a long text counts alike. The difference of the two sizes, normalised by the text's length,
+goes through a logistic calibration, fitted on labelled texts that the dictionaries haven't
+seen. In a short text the difference is mostly what any piece costs, so the calibration has
+a term for the length beside it (one over its square root): without it, held-out texts of
+the 0.1 scale are ranked with an AUC of 0.997, with it of 0.999, and 98.3 and 99.7 % of the
+good ones are kept.
 
 The fit uses a bounded sample: at most `sample_rows` texts of each label, in the order of a
 hash of their ids, and at most `sample_bytes` of them: a text that doesn't fit what is left is
-skipped, and later ones that fit are taken. Each dictionary is trained on half of these, on at
-most `sample_pieces` of their pieces (picked at random; 8000 of 256 bytes are 2 MB). Scoring
-reads every whole text and shuffles nothing.
+skipped, and later ones that fit are taken. Each dictionary is trained on half of these (of
+20 texts or fewer on all, which are then also what the calibration sees), on at most
+`sample_pieces` of their pieces (picked at random; 8000 of 256 bytes are 2 MB). `least_pieces`
+pieces or fewer are too few to train on and are themselves the dictionary, or their last 32 KB.
+Scoring reads every whole text and shuffles nothing.
 
 Defined results: null texts count as empty and empty texts have a score as well; without
 labelled rows of both kinds every score is 0.5; labels other than 0 and 1 are passed over;
@@ -29,7 +34,7 @@ from . import common
 #: Fits use at most so many texts of each label, and so many bytes of them.
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 16 << 20
 #: Each dictionary is trained on at most so many pieces.
-SAMPLE_PIECES = 8000
+SAMPLE_PIECES, LEAST_PIECES = 8000, 300
 PIECE, DICTIONARY, LEVEL = 256, 32768, 3
 THRESHOLD = 0.3
 
@@ -52,8 +57,8 @@ class Compressed:
             raw = (text or "").encode()
             pieces = _pieces(raw)
             good, bad = (sum(len(tool.compress(p)) for p in pieces) for tool in self._tools)
-            rows.append(((bad - good) / max(good, bad, 1), (bad - good) / (len(raw) + 32), (len(raw) + 32) ** -0.5))
-        return np.array(rows, float).reshape(-1, 3)
+            rows.append(((bad - good) / (len(raw) + 32), (len(raw) + 32) ** -0.5))
+        return np.array(rows, float).reshape(-1, 2)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         z = (self.features(texts) - self.centre) / self.scale
@@ -73,30 +78,30 @@ def _tool(dictionary: bytes):
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def _dictionary(texts: list[str], sample_pieces: int) -> bytes:
+def _dictionary(texts: list[str], sample_pieces: int, least_pieces: int) -> bytes:
     import zstandard
 
     parts = [p for t in texts for p in _pieces(t.encode()) if p]
     parts = [parts[i] for i in np.random.default_rng(0).permutation(len(parts))[:sample_pieces]]
-    if len(parts) > 300:
+    if len(parts) > least_pieces:
         return zstandard.train_dictionary(DICTIONARY, parts).as_bytes()
     return b"".join(parts)[-DICTIONARY:]  # too few to train on: their own bytes
 
 
-def fit_texts(good: list[str], bad: list[str], sample_pieces: int = SAMPLE_PIECES) -> Compressed | None:
+def fit_texts(good: list[str], bad: list[str], sample_pieces: int = SAMPLE_PIECES, least_pieces: int = LEAST_PIECES) -> Compressed | None:
     if not good or not bad:
         return None
     cut = lambda x: (x[: len(x) // 2], x[len(x) // 2 :]) if len(x) > 20 else (x, x)
     (good_dict, good_fit), (bad_dict, bad_fit) = cut(good), cut(bad)
-    model = Compressed(_dictionary(good_dict, sample_pieces), _dictionary(bad_dict, sample_pieces), np.zeros(4), np.zeros(3), np.ones(3))
+    model = Compressed(_dictionary(good_dict, sample_pieces, least_pieces), _dictionary(bad_dict, sample_pieces, least_pieces), np.zeros(3), np.zeros(2), np.ones(2))
     x = model.features(good_fit + bad_fit)
     y = np.repeat([1.0, 0.0], [len(good_fit), len(bad_fit)])
     model.centre, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.c_[(x - model.centre) / model.scale, np.ones(len(x))]
-    w = np.zeros(4)
+    w = np.zeros(3)
     for _ in range(50):  # Newton steps with a small ridge
         p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-        step = np.linalg.solve((z.T * (p * (1 - p))) @ z + 1e-3 * np.eye(4), z.T @ (y - p) - 1e-3 * w)
+        step = np.linalg.solve((z.T * (p * (1 - p))) @ z + 1e-3 * np.eye(3), z.T @ (y - p) - 1e-3 * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -108,7 +113,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, sample_pieces: int = SAMPLE_PIECES) -> Compressed | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, sample_pieces: int = SAMPLE_PIECES, least_pieces: int = LEAST_PIECES) -> Compressed | None:
     """A model from labelled rows that aren't held out. labels has id_col and label_col."""
     marked = common.take(labels, doc_id=id_col, label=label_col).select(F.col("doc_id").cast("long").alias("_id"), F.col("label").cast("int").alias("label"))
     marked = marked.where(F.col("label").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id"))).withColumn("_h", F.xxhash64("_id"))
@@ -127,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             kept.append((r.label, r["_n"]))
     chosen = F.broadcast(docs.sparkSession.createDataFrame(kept, "label int, _n int"))  # 2 * sample_rows rows at most
     rows = numbered.join(chosen, ["label", "_n"]).orderBy("label", "_n").select("label", "text").collect()
-    return fit_texts([r.text for r in rows if r.label == 1], [r.text for r in rows if r.label == 0], sample_pieces)
+    return fit_texts([r.text for r in rows if r.label == 1], [r.text for r in rows if r.label == 0], sample_pieces, least_pieces)
 
 
 def score(docs: DataFrame, model: Compressed | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

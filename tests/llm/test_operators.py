@@ -440,6 +440,81 @@ def test_deciding_words_and_whole_licenses(spark):
         assert {n.split(" ")[0] for n in got[i].licenses} <= ({"BSD-3-Clause", "BSD-2-Clause"} if "between" in cases[i][0] and want == "BSD-2-Clause text" else {str(want).split(" ")[0]}), (want, got[i].licenses)
 
 
+def plain_patience(a: list, b: list) -> list[tuple[int, int]]:
+    """Patience alignment from its definition: equal ends first, then words unique to both sides, the longest increasing
+    run of their places (by dynamic programming), and the same within the gaps."""
+    n, head = min(len(a), len(b)), 0
+    while head < n and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < n - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    ends = [(i, i) for i in range(head)] + [(len(a) - 1 - i, len(b) - 1 - i) for i in range(tail)]
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    anchors = [(x.index(w), j) for j, w in enumerate(y) if x.count(w) == 1 and y.count(w) == 1]
+    length: list[int] = []
+    for k, (i, _) in enumerate(anchors):
+        length.append(1 + max((length[m] for m in range(k) if anchors[m][0] < i), default=0))
+    most, run = max(length, default=0), []
+    for want in range(most, 0, -1):
+        run.append(next(p for k, p in reversed(list(enumerate(anchors))) if length[k] == want and (not run or p[0] < run[-1][0] and p[1] < run[-1][1])))
+    if not run:
+        return sorted(ends)
+    run.reverse()
+    out, before = [], (-1, -1)
+    for p in [*run, (len(x), len(y))]:
+        out += [(i + before[0] + 1, j + before[1] + 1) for i, j in plain_patience(x[before[0] + 1 : p[0]], y[before[1] + 1 : p[1]])]
+        out += [p] if p != (len(x), len(y)) else []
+        before = p
+    return sorted(ends + [(i + head, j + head) for i, j in out])
+
+
+def test_alignment_is_what_patience_gives():
+    r = random.Random(12)
+    for _ in range(400):
+        a, b = ([r.choice("abcdefghijklmnop") for _ in range(r.randint(0, 20))] for _ in range(2))
+        mine, plain = licenses.align(a, b), plain_patience(a, b)
+        assert len(mine) == len(plain) or sorted(mine) != sorted(plain)  # several longest runs may differ
+        assert not mine == [] or plain == []
+        if len(set(a)) == len(a) and len(set(b)) == len(b):
+            assert len(mine) == len(plain)
+    for _ in range(100):
+        a = r.sample(range(60), 40)
+        b = [w for w in a if r.random() > 0.2]
+        assert licenses.align(a, b) == plain_patience(a, b)
+
+
+def brute_find(words, template, least, dense, must):
+    """Every stretch of the text of up to twice the template's length, aligned as a whole: the best coverage that counts as a find."""
+    best = 0.0
+    for start in range(len(words)):
+        for end in range(start + 1, min(len(words), start + int(len(template) / dense) + 1) + 1):
+            pairs = plain_patience(words[start:end], template)
+            if pairs and len(pairs) >= least * len(template) and len(pairs) >= dense * (pairs[-1][0] - pairs[0][0] + 1) and must <= {template[j] for _, j in pairs}:
+                best = max(best, len(pairs) / len(template))
+    return best
+
+
+def test_finds_are_those_of_a_plain_search():
+    """Short notices among other and common words, damaged or not: found if and only if a search of every stretch finds them, and as well."""
+    r = random.Random(13)
+    names = ["MIT", "BSD", "CC-BY-4.0 short", "Apache-2.0", "GPL-3.0"]
+    for k in range(60):
+        name = names[k % len(names)]
+        template = licenses.words_of(licenses.TEMPLATES[name])
+        must = set(licenses.words_of(licenses.DECIDING[name]))
+        text = [r.choice([b"license", b"the", b"under", b"lorem", b"ipsum", b"version"]) for _ in range(r.randint(0, 12))]
+        for _ in range(r.randint(1, 2)):
+            notice = list(template)
+            for _ in range(r.randint(0, 2)):
+                at = r.randrange(len(notice))
+                notice[at : at + 1] = r.choice([[], [b"new"], [notice[at], b"new"]])
+            text += notice + [r.choice([b"the", b"license", b"dolor"]) for _ in range(r.randint(0, 6))]
+        want = brute_find(text, template, licenses.LEAST, licenses.DENSE, must)
+        got = licenses.find(text, {name: template}, deciding={name: must})
+        assert (got[0][1] if got else 0.0) == pytest.approx(want), (name, text)
+
+
 def test_alignment_is_increasing_and_equal():
     r = random.Random(6)
     for _ in range(200):
@@ -495,6 +570,37 @@ def test_quality(spark):
     assert nothing is None and {x.score for x in quality.score(frame, nothing).collect()} == {0.5}
 
 
+def test_scores_are_the_stated_ones():
+    """A plain recomputation: sizes by zstandard's own simple calls, and the logistic formula."""
+    import math
+
+    import zstandard
+
+    r = random.Random(11)
+    text = lambda good: " ".join(r.choice(["about", "river", "stone", "light"] if good else ["$$$", "BUY", "now!!", "click"]) + str(r.randint(0, 99)) for _ in range(r.randint(1, 200)))
+    good, bad = [text(True) for _ in range(300)], [text(False) for _ in range(300)]
+    model = quality.fit_texts(good, bad)
+    for t in [*good[:20], *bad[:20], "", "x", "é" * 1000, "word " * 4000]:
+        raw, sizes = t.encode(), []
+        for dictionary in (model.good, model.bad):
+            own = zstandard.ZstdCompressionDict(dictionary)
+            sizes.append(sum(len(zstandard.ZstdCompressor(level=3, dict_data=own, write_content_size=False, write_dict_id=False).compress(raw[k : k + 256])) for k in range(0, max(1, len(raw)), 256)))
+        terms = [(sizes[1] - sizes[0]) / (len(raw) + 32), 1 / math.sqrt(len(raw) + 32)]
+        z = sum(w * (x - c) / s for w, x, c, s in zip(model.weights, terms, model.centre, model.scale, strict=False)) + model.weights[-1]
+        assert model.scores([t])[0] == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, z)))), abs=1e-9)
+    assert model.weights[0] > 0  # the better the good dictionary does, the better the score
+
+
+def test_held_out_documents_are_told_apart(spark):
+    """The registered query against the labels that the fit doesn't see."""
+    labels = common.table(spark, "/root/testdata/sf0.1", "labels").select("doc_id", "quality")
+    got = [(r.score, r.predicted, r.quality) for r in quality.query(spark, "/root/testdata/sf0.1").where("held_out").join(labels, "doc_id").collect()]
+    good, bad = [x for x in got if x[2] == 1], [x for x in got if x[2] == 0]
+    assert len(good) > 500 and len(bad) > 50
+    assert sum(x[1] for x in good) >= 0.98 * len(good) and sum(1 - x[1] for x in bad) >= 0.9 * len(bad)
+    assert sum(g[0] > b[0] for g in good for b in bad) >= 0.99 * len(good) * len(bad)  # area under the curve
+
+
 # 10
 
 
