@@ -8,9 +8,6 @@ import pytest
 from newsgraph import registry
 from tools_verify import TABLES, frame
 
-SLOW = {"near_duplicates", "conflict_feed"}  # their SQL compares all pairs: checked on a smaller table in test_similar.py
-
-
 @pytest.fixture(scope="module")
 def con(sf):
     con = duckdb.connect()
@@ -19,7 +16,7 @@ def con(sf):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, sf, con, name):
     got = frame(registry.QUERIES[name](spark, sf).toPandas())
     if name in registry.ORACLES:
