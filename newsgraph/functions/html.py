@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -12,7 +14,9 @@ from pyspark.sql.types import StringType
 from newsgraph.functions.text import collapse
 
 _DROPPED = {"script", "style", "iframe", "noscript", "svg"}
-_KEPT_ATTRIBUTES = {"href", "src", "alt", "title"}
+_KEPT_ATTRIBUTES = {"a": {"href", "title"}, "img": {"src", "alt", "title"}, "blockquote": {"cite"}, "q": {"cite"}}
+_BARE = {"img", "br", "hr"}  # tags that may be empty
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 
 
@@ -35,8 +39,37 @@ def paragraph_length(html: Column) -> Column:
 
 
 def meta(html: Column, name: str) -> Column:
-    """Content of a meta tag by name or property; null if there is none."""
-    return F.nullif(F.regexp_extract(html, rf"(?is)<meta\s+[^>]*(?:name|property)=[\"']{name}[\"'][^>]*content=[\"']([^\"']*)", 1), F.lit(""))
+    """Content of the first meta tag of that name or property, whichever attribute comes first; null if there is none."""
+    name = name.replace(".", r"\.")
+    after = F.regexp_extract(html, rf"(?is)<meta\s[^>]*?(?:name|property)\s*=\s*[\"']{name}[\"'][^>]*?content\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", 1)
+    before = F.regexp_extract(html, rf"(?is)<meta\s[^>]*?content\s*=\s*\"([^\"]*)\"[^>]*?(?:name|property)\s*=\s*[\"']{name}[\"']", 1)
+    single = F.regexp_extract(html, rf"(?is)<meta\s[^>]*?(?:name|property)\s*=\s*[\"']{name}[\"'][^>]*?content\s*=\s*'([^']*)'", 1)
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in (after, single, before)])
+
+
+#: Meta tags of an article, and where its date may stand.
+META = {
+    "og_title": "og:title", "og_description": "og:description", "og_url": "og:url", "og_image": "og:image", "og_type": "og:type", "og_site_name": "og:site_name",
+    "twitter_card": "twitter:card", "twitter_title": "twitter:title", "twitter_description": "twitter:description", "twitter_image": "twitter:image", "twitter_site": "twitter:site",
+    "description": "description", "keywords": "keywords", "author": "author",
+}
+PUBLISHED = ["article:published_time", "pubdate", "sailthru.date", "date"]
+
+
+def metadata(html: Column) -> Column:
+    """The meta fields of META, publication_date (a timestamp: by the whole value, else by its day) and language."""
+    written = F.coalesce(*[meta(html, name) for name in PUBLISHED])
+    moment = F.coalesce(*[F.try_to_timestamp(written, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")], F.try_to_timestamp(F.substring_index(written, "T", 1), F.lit("yyyy-MM-dd")))
+    language = F.nullif(F.regexp_extract(html, r"(?is)<html[^>]*\blang=[\"']?([A-Za-z-]+)", 1), F.lit(""))
+    return F.struct(*[meta(html, name).alias(field) for field, name in META.items()], moment.alias("publication_date"), language.alias("language"))
+
+
+def by_site(html: Column, site: Column, rules: dict[str, list[str]], other: list[str]) -> Column:
+    """A field by the ordered patterns of the page's site (the first that isn't empty), by `other` on sites without rules."""
+    out = first_of(html, *other)
+    for name, patterns in rules.items():
+        out = F.when(site == name, first_of(html, *patterns)).otherwise(out)
+    return out
 
 
 def first_of(html: Column, *patterns: str) -> Column:
@@ -55,31 +88,50 @@ def fields(html: Column) -> Column:
     )
 
 
-def is_article(url: Column, html: Column, url_pattern: str, least: int = 500) -> Column:
+def is_article(url: Column, html: Column, by_url: Callable[[Column], Column], least: int = 500) -> Column:
     marked = html.rlike(r"(?is)schema\.org/(News)?Article|property=[\"']article:|og:type[\"'][^>]*content=[\"']article")
-    return url.rlike(url_pattern) | marked | (paragraph_length(html) > least)
+    return by_url(url) | marked | (paragraph_length(html) > least)
 
 
 class _Sanitiser(HTMLParser):
+    """Keeps open elements as [tag, what to write, whether there is text in it]; one without text is dropped when it closes."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=False)
-        self.out, self.skipped = [], 0
+        self.open, self.skipped = [["", [], False]], 0
 
     def handle_starttag(self, tag, attrs):
         if tag in _DROPPED:
             self.skipped += 1
         elif not self.skipped:
-            self.out.append("<" + tag + "".join(f' {k}="{v or ""}"' for k, v in attrs if k in _KEPT_ATTRIBUTES) + ">")
+            head = "<" + tag + "".join(f' {k}="{v or ""}"' for k, v in attrs if k in _KEPT_ATTRIBUTES.get(tag, ())) + ">"
+            if tag not in _VOID:
+                self.open.append([tag, [head], False])
+            elif tag in _BARE:
+                self.open[-1][1].append(head)
+
+    def handle_startendtag(self, tag, attrs):
+        if tag not in _DROPPED:
+            self.handle_starttag(tag, attrs)
+
+    def _close(self):
+        tag, parts, told = self.open.pop()
+        if told:
+            self.open[-1][1].append("".join(parts) + f"</{tag}>")
+            self.open[-1][2] = True
 
     def handle_endtag(self, tag):
         if tag in _DROPPED:
             self.skipped = max(0, self.skipped - 1)
-        elif not self.skipped:
-            self.out.append(f"</{tag}>")
+        elif not self.skipped and any(o[0] == tag for o in self.open[1:]):
+            while self.open[-1][0] != tag:
+                self._close()
+            self._close()
 
     def handle_data(self, data):
         if not self.skipped:
-            self.out.append(data)
+            self.open[-1][1].append(data)
+            self.open[-1][2] |= bool(data.strip())
 
     def handle_entityref(self, name):
         self.handle_data(f"&{name};")
@@ -89,13 +141,15 @@ class _Sanitiser(HTMLParser):
 
 
 def sanitised(html: str | None) -> str | None:
-    """Without scripts, styles, frames and comments; only harmless attributes stay."""
+    """Without scripts, styles, frames, comments and elements without text; only listed attributes stay, and white space is collapsed."""
     if html is None:
         return None
     parser = _Sanitiser()
     parser.feed(html)
     parser.close()
-    return "".join(parser.out)
+    while len(parser.open) > 1:
+        parser._close()
+    return re.sub(r"\s+", " ", re.sub(r">\s+<", "><", "".join(parser.open[0][1])))
 
 
 @F.pandas_udf(StringType())

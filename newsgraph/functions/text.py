@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Sequences of wrongly decoded UTF-8 and what they stand for.
 MOJIBAKE = {"Ã¡": "á", "Ã©": "é", "Ã­": "í", "Ã³": "ó", "Ãº": "ú", "Ã±": "ñ"}
-#: Names of languages and kinds of media.
-LANGUAGES = {"english": "en", "inglés": "en", "ingles": "en", "spanish": "es", "español": "es", "espanol": "es", "french": "fr", "francés": "fr", "frances": "fr", "german": "de", "alemán": "de", "aleman": "de", "portuguese": "pt", "portugués": "pt", "portugues": "pt", "italian": "it", "italiano": "it"}
-MEDIA = {"newspaper": "diario", "periódico": "diario", "periodico": "diario", "news agency": "agencia", "agency": "agencia", "tv": "televisión", "television": "televisión", "radio station": "radio", "website": "digital", "web": "digital", "online": "digital", "magazine": "revista"}
+#: Names of languages and of media, and the kinds of media that are allowed.
+LANGUAGES = {"español": "es", "spanish": "es", "english": "en", "inglés": "en", "portugués": "pt", "portuguese": "pt", "français": "fr", "french": "fr", "francés": "fr"}
+MEDIA = {"newspaper": "diario", "periodico": "diario", "periódico": "diario", "tv": "televisión", "television": "televisión", "agency": "agencia", "web": "digital", "website": "digital", "government": "oficial", "gobierno": "oficial"}
+MEDIA_KINDS = ("diario", "agencia", "televisión", "radio", "digital", "oficial", "blog", "otro")
+#: Characters that a form of normalisation may change, by itself or with its neighbours (tests try all below U+0300).
+_CHANGED = {
+    "NFC": r"[^\x{0}-\x{2FF}]",
+    "NFKC": r"[\x{A0}\x{A8}\x{AA}\x{AF}\x{B2}-\x{B5}\x{B8}-\x{BA}\x{BC}-\x{BE}\x{132}\x{133}\x{13F}\x{140}\x{149}\x{17F}\x{1C4}-\x{1CC}\x{1F1}-\x{1F3}\x{2B0}-\x{2B8}\x{2D8}-\x{2DD}\x{2E0}-\x{2E4}]|[^\x{0}-\x{2FF}]",
+    "NFKD": r"[^\x{0}-\x{9F}]",
+}
+
+
+def normal(c: Column, form: str) -> Column:
+    """Unicode normalisation. Spark has no function for it, so texts that it may change, and no others, go through Arrow."""
+    import unicodedata
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize(form, t))
+
+    return F.coalesce(run(F.when(c.rlike(_CHANGED[form]), c)), c)
 
 
 def collapse(c: Column) -> Column:
@@ -18,12 +37,13 @@ def collapse(c: Column) -> Column:
 
 
 def clean_loaded(c: Column) -> Column:
-    """As fields are loaded: without escape characters, white space collapsed."""
-    return collapse(F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""))
+    """As fields are loaded: composed (NFC), without escape characters, white space collapsed."""
+    return collapse(F.regexp_replace(normal(c, "NFC"), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""))
 
 
 def clean_stored(c: Column) -> Column:
-    """As fields are cleaned: quotes made plain, zero-width characters out, wrongly decoded letters put right."""
+    """As fields are cleaned: compatible forms (NFKC), quotes made plain, zero-width characters out, wrongly decoded letters put right."""
+    c = normal(c, "NFKC")
     for wrong, right in MOJIBAKE.items():
         c = F.replace(c, F.lit(wrong), F.lit(right))
     c = F.regexp_replace(F.regexp_replace(c, "[“”„«»]", '"'), "[‘’‚]", "'")
@@ -45,15 +65,25 @@ def tidy_marks(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
-def first_author(c: Column) -> Column:
-    """Without a leading 'by' or 'por', at most 200 characters."""
-    return F.substring(collapse(F.regexp_replace(c, r"(?i)^\s*(by|por|de|autor|author|escrito por|written by)\s*:?\s+", "")), 1, 200)
+def first_author(c: Column, most: int = 200) -> Column:
+    """Cleaned, without a leading word like 'by' or 'por', at most 200 characters, of which the last three are dots if it was cut."""
+    bare = collapse(clean_loaded(c))
+    for word in (r"Por\b", r"By\b", r"De\b", r"From\b", "Autor:", "Author:"):
+        bare = F.trim(F.regexp_replace(bare, f"^{word}", ""))
+    return F.when(F.length(bare) > most, F.concat(F.substring(bare, 1, most - 3), F.lit("..."))).otherwise(bare)
+
+
+def title_case(c: Column) -> Column:
+    """Every run of letters with a capital first, whatever stands before it (initcap looks for blanks only)."""
+    parts = F.split(c, r"(?<=[^\p{L}])(?=\p{L})|(?<=\p{L})(?=[^\p{L}])")
+    return F.array_join(F.transform(parts, lambda p: F.initcap(p)), "")
 
 
 def authors(c: Column) -> Column:
-    """Several authors in one field: split, titles, mail addresses and handles out, in title case, joined by commas."""
-    parts = F.split(c, r"(?i)\s+y\s+|\s+and\s+|\s*[&,/;]\s*")
-    bare = lambda p: F.initcap(collapse(F.regexp_replace(F.regexp_replace(p, r"\S+@\S+|@\w+", ""), r"(?i)\b(dr|dra|lic|ing|prof|sr|sra|mr|mrs|ms)\.\s*", "")))
+    """Several authors in one field: a leading word out, split, titles, mail addresses and handles out, in title case, joined by commas."""
+    c = F.regexp_replace(c, r"^(Por|By|De|From)\s", "")
+    parts = F.split(c, r"\s+y\s+|\s+and\s+|\s*&\s*|,\s*|;\s*")
+    bare = lambda p: title_case(collapse(F.regexp_replace(F.regexp_replace(p, r"(Dr|Prof|Sr|Sra|Mr|Mrs|Ms)\. ?", ""), r"\S+@\S+|@\w+", "")))
     return F.array_join(F.filter(F.transform(parts, bare), lambda p: p != ""), ", ")
 
 
@@ -69,15 +99,15 @@ def _mapped(c: Column, table: dict[str, str]) -> Column:
 
 
 def language_code(c: Column) -> Column:
-    """Two letters for a language's name or code; null if neither."""
+    """Two letters for a language: by its name, else the first two of its code (es-ES, spa); Spanish where there is none."""
     code = F.lower(F.trim(c))
-    return F.coalesce(_mapped(c, LANGUAGES), F.when(code.rlike("^[a-z]{2}$"), code).when(code.rlike("^[a-z]{2}[-_]"), F.substring(code, 1, 2)))
+    return F.coalesce(_mapped(c, LANGUAGES), F.when(F.length(code) >= 2, F.substring(code, 1, 2)), F.lit("es"))
 
 
 def media_type(c: Column) -> Column:
     """A known kind of media; 'otro' for others."""
     kind = F.lower(F.trim(c))
-    return F.coalesce(_mapped(c, MEDIA), F.when(kind.isin("diario", "agencia", "televisión", "radio", "digital", "oficial", "blog", "revista"), kind), F.lit("otro"))
+    return F.coalesce(_mapped(c, MEDIA), F.when(kind.isin(*MEDIA_KINDS), kind), F.lit("otro"))
 
 
 def slug(c: Column, most: int = 100) -> Column:
@@ -107,9 +137,25 @@ def escape_html(c: Column) -> Column:
 
 
 def entity_name(c: Column) -> Column:
-    """Letters, digits, blanks and . - ' of a name, accents off."""
-    plain = F.translate(c, "áàâäéèêëíìîïóòôöúùûüñçÁÀÂÄÉÈÊËÍÌÎÏÓÒÔÖÚÙÛÜÑÇ", "aaaaeeeeiiiioooouuuuncAAAAEEEEIIIIOOOOUUUUNC")
-    return collapse(F.regexp_replace(plain, r"[^A-Za-z0-9 .'-]", ""))
+    """Letters, digits, white space and - _ . , ' " of a decomposed name (NFKD: accents go), collapsed and escaped."""
+    return escape_html(collapse(F.regexp_replace(normal(c, "NFKD"), r"""[^\p{L}\p{N}\s\-_.,'"]""", "")))
+
+
+#: Which fields of a table are joined for its vector, with what stands before each.
+COMBINED = {
+    "entidades": (("nombre", ""), ("tipo", "Tipo: "), ("descripcion", ""), ("alias", "También conocido como: ")),
+    "hilos_narrativos": (("titulo", ""), ("descripcion", ""), ("descripcion_hilo_curada", "Enfoque editorial: "), ("puntos_clave_novedades", "Novedades: "), ("etiquetas_principales", "Temas: ")),
+    "citas_textuales": (("cita", ""), ("contexto", "Contexto: "), ("etiquetas", "Etiquetas: ")),
+    "fragmentos_extensos": (("titulo_seccion", "Sección: "), ("contenido", "")),
+    "datos_cuantitativos": (("indicador", ""), ("categoria", "Categoría: "), ("valor", "Valor: "), ("ambito_geografico", "Ámbito: "), ("fuente_especifica", "Fuente: "), ("notas", "Notas: ")),
+    "hechos": (("contenido", ""), ("tipo_hecho", "Tipo: "), ("paises", "Países: "), ("pais", "País: "), ("etiquetas", "Etiquetas: ")),
+}
+
+
+def combined(table: str, values: dict[str, Column]) -> Column:
+    """The text of a row for its vector: fields that have a value, in order, between bars. Lists are columns already joined by commas."""
+    parts = [F.when(F.coalesce(values[f], F.lit("")) != "", F.concat(F.lit(before), values[f])) for f, before in COMBINED[table] if f in values]
+    return F.concat_ws(" | ", *parts)
 
 
 def fill(template: Column, values: dict[str, Column]) -> Column:
@@ -140,6 +186,11 @@ def valid_fields(confidence: Column, start: Column, end: Column, url: Column, da
     )
 
 
-def checksum(*parts: Column) -> Column:
-    """MD5 of the parts as JSON with sorted keys."""
-    return F.md5(F.to_json(F.struct(*parts)))
+def checksum(**parts: Column) -> Column:
+    """MD5 of the parts as JSON with sorted keys, nulls among them."""
+    return F.md5(F.to_json(F.struct(*[parts[k].alias(k) for k in sorted(parts)]), {"ignoreNullFields": "false"}))
+
+
+def message(kind: Column, value: Column, limit: Column, most: int = 200) -> Column:
+    """An alert's line: kind, value and limit with two places, and the share of the limit in percent; at most 200 characters."""
+    return F.left(F.format_string("%s: %.2f (límite %.2f, %s%%)", kind, value, limit, F.coalesce(F.bround(F.try_divide(value * 100, limit)).cast("int").cast("string"), F.lit("-"))), F.lit(most))

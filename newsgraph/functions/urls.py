@@ -7,10 +7,21 @@ from pyspark.sql import functions as F
 
 #: Query parameters that only track.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref", "source"]
-EXCLUDED = r"(?i)\.(jpg|jpeg|png|gif|pdf|zip|mp3|mp4|css|js)(\?|#|$)|/(login|register|search|tag|author|cart)(/|\?|$)"
-ARTICLE = r"(?i)/(\d{4})/(\d{1,2})/|/(article|articulo|noticia|news|story)/|/[a-z]{2}/\d+|\.html(\?|#|$)|-\d{5,}"
-ARCHIVE = r"(?i)/(archive|archivo|hemeroteca)(/|\?|$)"
-CATEGORY = r"(?i)/(category|categoria|seccion|section)/"
+#: Patterns of the classes of a news site's URLs. What is excluded is no article whatever else it fits.
+EXCLUDED = ["/search", "/login", "/register", "/signup", "/signin", "/logout", "/admin", "/wp-admin", "/feed", "/rss", "/print/", r"\.pdf$", r"\.(jpg|jpeg|png|gif|webp|svg)$", r"\.(mp3|mp4|avi|mov)$", r"\.(zip|rar|gz|tar)$"]
+ARTICLE = [r"/\d{4}/\d{2}/\d{2}/", "/article/", "/articles/", "/news/", "/story/", "/post/", "/blog/", r"-\d+\.html$", r"/p/[\w-]+"]
+CATEGORY = ["/category/", "/categories/", "/section/", "/sections/", "/topic/", "/tag/", "/tags/"]
+ARCHIVE = ["/archive/", "/archives/", r"/\d{4}/$", r"/\d{4}/\d{2}/$"]
+
+
+def fits(url: Column, patterns: list[str]) -> Column:
+    """Whether any pattern is found, whatever the case; one alternation for all."""
+    return F.coalesce(url.rlike("(?i)" + "|".join(patterns)), F.lit(False))
+
+
+def is_article(url: Column, *more: str) -> Column:
+    """Not excluded, and like an article by the patterns or by the given ones."""
+    return ~fits(url, EXCLUDED) & fits(url, [*ARTICLE, *more])
 
 
 def without_parameters(url: Column, pattern: str) -> Column:
@@ -37,4 +48,4 @@ def domain(url: Column) -> Column:
 
 
 def url_class(url: Column) -> Column:
-    return F.when(url.rlike(EXCLUDED), "excluded").when(url.rlike(ARCHIVE), "archive").when(url.rlike(CATEGORY), "category").when(url.rlike(ARTICLE), "article").otherwise("other")
+    return F.when(fits(url, EXCLUDED), "excluded").when(fits(url, ARTICLE), "article").when(fits(url, CATEGORY), "category").when(fits(url, ARCHIVE), "archive").otherwise("other")

@@ -13,14 +13,14 @@ def _sql_collapse(c: str) -> str:
     return rf"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
 
 
-_SWAPS = "text"
+_SWAPS = "text"  # no text of the tables changes in NFKC but by NFC, which DuckDB has
 for _a, _b in text.MOJIBAKE.items():
     _SWAPS = f"replace({_SWAPS}, '{_a}', '{_b}')"
 _QUOTES = f"""regexp_replace(regexp_replace({_SWAPS}, '[“”„«»]', '"', 'g'), '[‘’‚]', '''', 'g')"""
 
 
 @query(rf"""SELECT doc_id, md5({_sql_collapse("regexp_replace(" + _QUOTES + ", '[​‌‍﻿]', '', 'g')")}) AS stored,
-  md5({_sql_collapse(r"regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g')")}) AS loaded,
+  md5({_sql_collapse(r"regexp_replace(nfc_normalize(text), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g')")}) AS loaded,
   greatest(1, round_even(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) / 200.0, 0)::INTEGER) AS minutes FROM documents""")
 def clean_articles(spark, sf_dir):
     t = F.col("text")
@@ -36,10 +36,21 @@ def url_normalise(spark, sf_dir):
     return model.table(spark, sf_dir, "pages").select("page_id", urls.normal_loaded(u).alias("loaded"), urls.normal_cleaned(u).alias("cleaned"), urls.domain(u).alias("domain"))
 
 
-@query(rf"""SELECT page_id, CASE WHEN regexp_matches(url, '{urls.EXCLUDED}') THEN 'excluded' WHEN regexp_matches(url, '{urls.ARCHIVE}') THEN 'archive' WHEN regexp_matches(url, '{urls.CATEGORY}') THEN 'category'
-  WHEN regexp_matches(url, '{urls.ARTICLE}') THEN 'article' ELSE 'other' END AS class FROM pages""")
+@query("""WITH v AS (SELECT page_id * 20 + k AS visit, regexp_extract(lower(url), '^[^?#]*') || s AS u FROM pages,
+  (SELECT * FROM (VALUES (0, ''), (1, '/feed'), (2, '/wp-admin/x'), (3, '/a.webp'), (4, '/2024/05/07/x'), (5, '/2024/05/'), (6, '/2024/'), (7, '/blog/x'), (8, '/topic/x'), (9, '/tags/x/news/y'), (10, '/archives/x'), (11, '-12345.html'), (12, '/p/a-b'), (13, '/print/story/1'))) t(k, s)),
+f AS (SELECT *, string_split(u, '/') AS parts FROM v),
+g AS (SELECT *, list_has_any(['pdf', 'jpg', 'jpeg', 'png', 'gif', 'webp', 'svg', 'mp3', 'mp4', 'avi', 'mov', 'zip', 'rar', 'gz', 'tar'], [list_last(string_split(u, '.'))]) AND contains(u, '.') OR contains(u, '/print/')
+    OR len(list_filter(['search', 'login', 'register', 'signup', 'signin', 'logout', 'admin', 'wp-admin', 'feed', 'rss'], lambda w: contains(u, '/' || w))) > 0 AS out,
+  len(list_filter(['article', 'articles', 'news', 'story', 'post', 'blog'], lambda w: contains(u, '/' || w || '/'))) > 0 OR u SIMILAR TO '.*/[0-9]{4}/[0-9]{2}/[0-9]{2}/.*' OR u SIMILAR TO '.*-[0-9]+[.]html' OR u SIMILAR TO '.*/p/[a-z0-9_-]+.*' AS art,
+  len(list_filter(['category', 'categories', 'section', 'sections', 'topic', 'tag', 'tags'], lambda w: contains(u, '/' || w || '/'))) > 0 AS cat,
+  contains(u, '/archive/') OR contains(u, '/archives/') OR u SIMILAR TO '.*/[0-9]{4}/([0-9]{2}/)?' AS arc FROM f)
+SELECT visit, CASE WHEN out THEN 'excluded' WHEN art THEN 'article' WHEN cat THEN 'category' WHEN arc THEN 'archive' ELSE 'other' END AS class FROM g""")
 def url_class(spark, sf_dir):
-    return model.table(spark, sf_dir, "pages").select("page_id", urls.url_class(F.col("url")).alias("class"))
+    """Every page's address, and it with endings that other classes have."""
+    endings = ["", "/feed", "/wp-admin/x", "/a.webp", "/2024/05/07/x", "/2024/05/", "/2024/", "/blog/x", "/topic/x", "/tags/x/news/y", "/archives/x", "-12345.html", "/p/a-b", "/print/story/1"]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(e).alias("e")) for k, e in enumerate(endings)]))
+    visits = model.table(spark, sf_dir, "pages").select("page_id", "url", each.alias("x"))
+    return visits.select((F.col("page_id") * 20 + F.col("x.k")).alias("visit"), urls.url_class(F.concat(F.regexp_extract("url", r"^[^?#]*", 0), F.col("x.e"))).alias("class"))
 
 
 def _sql_unescape(c: str) -> str:
@@ -56,10 +67,11 @@ def page_fields(spark, sf_dir):
     return model.table(spark, sf_dir, "pages").select("page_id", f["title"].alias("title"), f["language"].alias("language"), f["links"].alias("links"), f["images"].alias("images"), F.md5(html.to_text(F.col("html"))).alias("text_md5"))
 
 
-@query(rf"""SELECT page_id, regexp_matches(url, '{urls.ARTICLE}') OR regexp_matches(html, '(?is)schema\.org/(News)?Article|property=["'']article:|og:type["''][^>]*content=["'']article')
+@query(r"""SELECT page_id, (NOT regexp_matches(url, '(?i)/(search|login|register|signup|signin|logout|admin|wp-admin|feed|rss|print/)|\.(pdf|jpg|jpeg|png|gif|webp|svg|mp3|mp4|avi|mov|zip|rar|gz|tar)$')
+    AND regexp_matches(url, '(?i)/\d{4}/\d{2}/\d{2}/|/(articles?|news|story|post|blog)/|-\d+\.html$|/p/[\w-]+')) OR regexp_matches(html, '(?is)schema\.org/(News)?Article|property=["'']article:|og:type["''][^>]*content=["'']article')
   OR coalesce(list_sum(list_transform(regexp_extract_all(html, '(?is)<p\b[^>]*>(.*?)</p>', 1), lambda p: length(regexp_replace(p, '(?s)<[^>]*>', '', 'g')))), 0) > 500 AS is_article FROM pages""")
 def page_is_article(spark, sf_dir):
-    return model.table(spark, sf_dir, "pages").select("page_id", html.is_article(F.col("url"), F.col("html"), urls.ARTICLE).alias("is_article"))
+    return model.table(spark, sf_dir, "pages").select("page_id", html.is_article(F.col("url"), F.col("html"), urls.is_article).alias("is_article"))
 
 
 @query()
@@ -69,15 +81,81 @@ def html_exact(spark, sf_dir):
     return clean.select("page_id", F.length("html").alias("characters"), F.sha2("html", 256).alias("sha256"))
 
 
-@query("""WITH t AS (SELECT o_orderkey, o_orderdate AS d, o_orderkey % 6 AS form FROM orders)
-SELECT o_orderkey, strftime(CASE form WHEN 5 THEN date_trunc('day', d) - INTERVAL 2 DAY ELSE date_trunc('day', d) END, '%Y-%m-%dT%H:%M:%SZ') AS parsed FROM t""")
+@query("""WITH t AS (SELECT o_orderkey, o_orderdate::TIMESTAMP AS d, o_orderkey % 30 AS form FROM orders),
+u AS (SELECT *, date_trunc('day', d) AS day, 3600 * (o_orderkey % 12 + 1) AS h FROM t)
+SELECT o_orderkey, strftime(CASE WHEN form = 29 THEN day - INTERVAL 2 DAY WHEN form IN (0, 1, 2, 3, 5, 8, 11, 14, 17, 20, 23, 26) THEN day + to_seconds(h) ELSE day END, '%Y-%m-%dT%H:%M:%SZ') AS parsed FROM u""")
 def date_parsing(spark, sf_dir):
-    """Order dates written in six ways and read again; a relative one counts from the date itself."""
-    d, k = F.col("o_orderdate").cast("timestamp"), F.pmod("o_orderkey", F.lit(6))
-    names = F.element_at(F.array(*[F.lit(m) for m in dates.MONTHS]), F.month(d))
-    written = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "dd/MM/yyyy")).when(k == 2, F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss")).when(k == 3, F.concat(F.dayofmonth(d), F.lit(" de "), names, F.lit(" de "), F.year(d)))
-    written = written.when(k == 4, F.date_format(d, "dd.MM.yyyy")).otherwise("hace 2 días")
-    return model.table(spark, sf_dir, "orders").select("o_orderkey", dates.iso(dates.parse(written, d)).alias("parsed"))
+    """Order dates written in thirty ways and read again; a relative one counts from the date itself."""
+    orders = model.table(spark, sf_dir, "orders").select("o_orderkey", F.date_trunc("day", F.col("o_orderdate").cast("timestamp")).alias("day"))
+    t = F.col("day") + F.make_dt_interval(F.lit(0), (F.pmod("o_orderkey", F.lit(12)) + 1).cast("int"))
+    form, month = (lambda p: F.date_format(t, p)), (lambda names: F.element_at(F.array(*[F.lit(m) for m in names]), F.month(t)))
+    day = F.dayofmonth(t)
+    spanish = F.concat_ws(" de ", day, month(dates.MONTHS), F.year(t))
+    written = {
+        0: form("yyyy-MM-dd'T'HH:mm:ss'Z'"), 1: form("yyyy-MM-dd'T'HH:mm:ss'+0000'"), 2: form("yyyy-MM-dd'T'HH:mm:ss"), 3: form("yyyy-MM-dd HH:mm:ss"), 4: form("yyyy-MM-dd"), 5: form("dd/MM/yyyy HH:mm:ss"), 6: form("dd/MM/yyyy"), 7: form("d/M/yyyy"), 8: form("dd/MM/yyyy HH:mm"),
+        9: form("dd-MM-yyyy"), 10: form("dd.MM.yyyy"), 11: form("dd-MM-yyyy HH:mm:ss"), 12: spanish, 13: F.concat(F.lit("lunes, "), spanish), 14: F.concat(spanish, F.lit(" "), form("HH:mm")), 15: F.concat_ws(" ", day, month(dates.MONTHS), F.year(t)), 16: form("dd/MM/yy"), 17: form("dd/MM/yy HH:mm"),
+        18: F.concat(month(dates.ENGLISH), F.lit(" "), day, F.lit(", "), F.year(t)), 19: F.concat(F.substring(month(dates.ENGLISH), 1, 3), F.lit(" "), day, F.lit(", "), F.year(t)), 20: F.concat(month(dates.ENGLISH), F.lit(" "), day, F.lit(", "), F.year(t), F.lit(" "), form("hh:mm"), F.when(F.hour(t) < 12, " AM").otherwise(" PM")),
+        21: F.concat_ws("/", F.year(t), form("MM"), form("dd")), 22: F.concat(F.lit("Mon, "), day, F.lit(" "), F.substring(month(dates.ENGLISH), 1, 3), F.lit(" "), F.year(t)), 23: F.concat(F.lit("Mon, "), day, F.lit(" "), F.substring(month(dates.ENGLISH), 1, 3), F.lit(" "), F.year(t), F.lit(" "), form("HH:mm:ss"), F.lit(" +0000")),
+        24: F.concat(F.lit("viernes, "), spanish), 25: form("yyyy-M-d"), 26: F.concat(spanish, F.lit(" "), form("HH:mm:ss")), 27: form("d-M-yyyy"), 28: F.concat(F.lit("  "), form("dd/MM/yyyy"), F.lit(" ")), 29: F.lit("hace 2 días"),
+    }
+    text_of = F.coalesce(*[F.when(F.pmod("o_orderkey", F.lit(30)) == k, c) for k, c in written.items()])
+    return orders.select("o_orderkey", dates.iso(dates.parse(text_of, F.col("day"))).alias("parsed"))
+
+
+@query(r"""SELECT doc_id, md5(trim(regexp_replace(text, '\pC|\s+', ' ', 'g').regexp_replace('\s+', ' ', 'g'))) AS plain,
+  md5(trim(regexp_replace(regexp_replace(text.regexp_replace('!{2,}', '!', 'g').regexp_replace('[?]{2,}', '?', 'g').regexp_replace('[.]{2,}', '.', 'g').regexp_replace(',{2,}', ',', 'g').regexp_replace(';{2,}', ';', 'g').regexp_replace(':{2,}', ':', 'g'), '[ \t]*\n[ \t]*', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ')) AS tidy,
+  list_distinct(list_filter(list_transform(regexp_split_to_array(left(text, 400), '[,;|]'), lambda x: lower(trim(regexp_replace(x, '["'']', '', 'g'), ' '))), lambda x: x <> '')).len() AS items FROM documents""")
+def text_forms(spark, sf_dir):
+    """Cleaned as the pipeline does, marks made single, and the items of a list (here: of a text's first 400 characters, as such fields are short)."""
+    t = F.col("text")
+    return model.table(spark, sf_dir, "documents").select("doc_id", F.md5(text.clean_piped(t)).alias("plain"), F.md5(text.tidy_marks(t)).alias("tidy"), F.size(text.list_items(F.left(t, F.lit(400)))).cast("long").alias("items"))
+
+
+@query("""SELECT s_suppkey, s_name || ', Ana Del-Río, O''Neil' AS authors, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE left(repeat(s_name || ' ', 20), 197) || '...' END AS first_author,
+  CASE s_suppkey % 5 WHEN 0 THEN 'oficial' WHEN 1 THEN 'diario' WHEN 2 THEN 'otro' WHEN 3 THEN 'televisión' ELSE 'blog' END AS media, CASE s_suppkey % 5 WHEN 0 THEN 'es' WHEN 1 THEN 'fr' WHEN 2 THEN 'sp' WHEN 3 THEN 'pt' ELSE 'es' END AS language FROM supplier""")
+def byline_fields(spark, sf_dir):
+    """Bylines with titles, addresses and several names; kinds of media and languages under other names."""
+    s, k = model.table(spark, sf_dir, "supplier"), F.col("s_suppkey") % 5
+    line = F.concat(F.lit("Por Dr. "), F.upper("s_name"), F.lit(" y ana DEL-río @ana, x@y.org o'neil"))
+    one = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("Author: "), "s_name")).otherwise(F.concat(F.lit("By "), F.repeat(F.concat("s_name", F.lit(" ")), F.lit(20))))
+    media, language = F.array(*map(F.lit, ("Government", "newspaper", "zine", "TV", " blog"))), F.array(*map(F.lit, (" ", "français", "spa", "pt-BR", "Español")))
+    return s.select("s_suppkey", text.authors(line).alias("authors"), text.first_author(one).alias("first_author"), text.media_type(F.get(media, k.cast("int"))).alias("media"), text.language_code(F.get(language, k.cast("int"))).alias("language"))
+
+
+@query(r"""WITH m AS (SELECT page_id, url, '<html lang="es-ES"><head><meta property="og:title" content="T ' || page_id || '"><meta content="D" name="description"><meta name=''twitter:site'' content=''@s''>' ||
+  CASE page_id % 4 WHEN 0 THEN '<meta property="article:published_time" content="2024-01-05T10:00:00-05:00">' WHEN 1 THEN '<meta name="date" content="2024-02-03">' WHEN 2 THEN '<meta name="pubdate" content="2024-03-01T99">' ELSE '' END AS head FROM pages)
+SELECT page_id, 'T ' || page_id AS og_title, 'D' AS description, '@s' AS twitter_site, NULL::VARCHAR AS og_image, 'es-ES' AS language,
+  CASE page_id % 4 WHEN 0 THEN '2024-01-05 15:00:00' WHEN 1 THEN '2024-02-03 00:00:00' WHEN 2 THEN '2024-03-01 00:00:00' END AS published FROM m""")
+def page_metadata(spark, sf_dir):
+    """Meta tags, either attribute first, put before every stored page."""
+    k = F.col("page_id") % 4
+    date = F.when(k == 0, '<meta property="article:published_time" content="2024-01-05T10:00:00-05:00">').when(k == 1, '<meta name="date" content="2024-02-03">').when(k == 2, '<meta name="pubdate" content="2024-03-01T99">').otherwise("")
+    head = F.concat(F.lit('<html lang="es-ES"><head><meta property="og:title" content="T '), "page_id", F.lit("""\"><meta content="D" name="description"><meta name='twitter:site' content='@s'>"""), date, "html")
+    m = html.metadata(F.col("head"))
+    return model.table(spark, sf_dir, "pages").select("page_id", head.alias("head")).select("page_id", *[m[c].alias(c) for c in ("og_title", "description", "twitter_site", "og_image", "language")], F.date_format(m["publication_date"], "yyyy-MM-dd HH:mm:ss").alias("published"))
+
+
+@query("""SELECT doc_id, concat_ws(' | ', nullif(source, ''), 'Tipo: ' || lang, 'Etiquetas: a, b') AS facts, concat_ws(' | ', 'Sección: ' || source, text) = t AS fragment, source || '/2024/01/' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') || '/' || lang || '.html.gz' AS path,
+  'Medio ' || source || ': ' || printf('%.2f', n_chars::DOUBLE) || ' (límite ' || printf('%.2f', 1000.0) || ', ' || round_even(n_chars / 10.0, 0)::INTEGER || '%)' AS message, '&lt;' || lang || '&gt; &amp; &#x27;' || source AS escaped
+FROM (SELECT *, 'Sección: ' || source || ' | ' || text AS t FROM documents)""")
+def prepared_texts(spark, sf_dir):
+    """Texts for vectors of two tables, storage paths, alert messages and escaped texts."""
+    docs = model.table(spark, sf_dir, "documents")
+    facts = text.combined("hechos", {"contenido": F.col("source"), "tipo_hecho": F.col("lang"), "etiquetas": F.lit("a, b"), "pais": F.lit(None).cast("string")})
+    fragment = text.combined("fragmentos_extensos", {"titulo_seccion": F.col("source"), "contenido": F.col("text")})
+    day = F.make_date(F.lit(2024), F.lit(1), (F.pmod("doc_id", F.lit(28)) + 1).cast("int"))
+    return docs.select(
+        "doc_id", facts.alias("facts"), (fragment == F.concat(F.lit("Sección: "), "source", F.lit(" | "), "text")).alias("fragment"), text.storage_path(F.col("source"), day, F.col("lang")).alias("path"),
+        text.message(F.concat(F.lit("Medio "), "source"), F.col("n_chars").cast("double"), F.lit(1000.0)).alias("message"), text.escape_html(F.concat(F.lit("<"), "lang", F.lit("> & '"), "source")).alias("escaped"),
+    )
+
+
+@query("""SELECT event_id, (props->>'k')::BIGINT AS k, json_array_length(('[' || event_id % 7 || ',' || user_id || ']')::JSON)::INTEGER AS n, '{"kind":"' || event_type || '","at":[' || event_id || ',' || user_id || ']}' AS built FROM events""")
+def json_access(spark, sf_dir):
+    """JSON read by path and by length, and built."""
+    events = model.table(spark, sf_dir, "events")
+    listed = F.to_json(F.array(F.col("event_id") % 7, F.col("user_id")))
+    return events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.json_array_length(listed).alias("n"), F.to_json(F.struct(F.col("event_type").alias("kind"), F.array("event_id", "user_id").alias("at"))).alias("built"))
 
 
 @query(r"""SELECT doc_id, lower(coalesce(nullif(regexp_replace(left(ltrim(regexp_replace(translate(lower(source || ' ' || lang), 'áàâäéèêëíìîïóòôöúùûüñç', 'aaaaeeeeiiiioooouuuunc'), '[^a-z0-9]+', '-', 'g'), '-'), 100), '-+$', ''), ''), '')) AS slug,

@@ -29,13 +29,16 @@ def test_clean_urls(spark, url, want):
 
 def test_domain_and_class(spark):
     assert one(spark, "HTTP://u@Host.Com:80/x", urls.domain) == "host.com:80" and one(spark, "nothing", urls.domain) is None
-    assert [one(spark, u, urls.url_class) for u in ("http://h/a.pdf", "http://h/archivo/1", "http://h/seccion/x", "http://h/2024/01/x", "http://h/")] == ["excluded", "archive", "category", "article", "other"]
+    assert [one(spark, u, urls.url_class) for u in ("http://h/a.pdf", "http://h/archive/1", "http://h/section/x", "http://h/2024/01/15/x", "http://h/", "http://h/news/x?feed=/rss", "http://h/2024/05/", "http://h/TAG/x", "http://h/p/a-b", "http://h/Blog/post.webp", None)] == ["excluded", "archive", "category", "article", "other", "excluded", "archive", "category", "article", "excluded", "other"]
+    assert [one(spark, u, urls.is_article) for u in ("http://h/story/1", "http://h/login/story/1", "http://h/x-12.html", None)] == [True, False, True, False]
 
 
 @pytest.mark.parametrize(
     ("written", "want"),
     [("hace 2 días", "2024-01-13T00:00:00Z"), ("15/01/2024", "2024-01-15T00:00:00Z"), ("junk", None), ("", None), (None, None), ("ayer", "2024-01-14T00:00:00Z"), ("Hace 3 horas", "2024-01-15T07:00:00Z"), ("hace 90 minutos", "2024-01-15T08:30:00Z"),
-     ("2024-01-05T10:00:00-05:00", "2024-01-05T15:00:00Z"), ("5 de enero de 2024", "2024-01-05T00:00:00Z"), ("Mon, 15 Jan 2024 10:30:00 GMT", "2024-01-15T10:30:00Z"), ("2024-02-30", None)],
+     ("2024-01-05T10:00:00-05:00", "2024-01-05T15:00:00Z"), ("5 de enero de 2024", "2024-01-05T00:00:00Z"), ("Mon, 15 Jan 2024 10:30:00 GMT", "2024-01-15T10:30:00Z"), ("2024-02-30", None),
+     ("05/01/69", "1969-01-05T00:00:00Z"), ("5/1/68", "2068-01-05T00:00:00Z"), ("13/14/2024", None), ("01/15/2024", "2024-01-15T00:00:00Z"), ("01/15/2024 02:30 PM", "2024-01-15T14:30:00Z"), ("January 5, 2024 2:30 p.m.", "2024-01-05T14:30:00Z"), ("Jan 5, 2024", "2024-01-05T00:00:00Z"), ("05-01-2024 10:20:30", "2024-01-05T10:20:30Z"),
+     ("5 de Enero de 2024 10:20", "2024-01-05T10:20:00Z"), ("viernes, 5 de enero de 2024 10:20:30", "2024-01-05T10:20:30Z"), ("5 enero 2024", "2024-01-05T00:00:00Z"), ("Fri, 05 Jan 2024 10:00:00 +0200", "2024-01-05T08:00:00Z"), ("2024-01-05T10:00:00+0200", "2024-01-05T08:00:00Z"), ("xhace 2 días", None), ("01-15-2024", "2024-01-15T00:00:00Z")],
 )
 def test_dates(spark, written, want):
     now = F.lit("2024-01-15 10:00:00").cast("timestamp")
@@ -53,10 +56,11 @@ def test_text_functions(spark):
     assert one(spark, " a​b  “c”\tÃ© ", text.clean_stored) == 'ab "c" é'
     assert one(spark, "a\x07b  c\r\n d ", lambda c: text.clean_piped(c, True)) == "a b c\nd"
     assert one(spark, "What?!! Yes... \n\n\n\n no", text.tidy_marks) == "What?! Yes.\n\nno"
-    assert one(spark, "dr. ana díaz y JUAN PÉREZ, x@y.z", text.authors) == "Ana Díaz, Juan Pérez"
+    assert one(spark, "Por Dr. ana díaz y JUAN PÉREZ-o'neil @x, x@y.z; Sra.Eva", text.authors) == "Ana Díaz, Juan Pérez-O'Neil, Eva"
+    assert one(spark, "Autor: " + "x" * 300, text.first_author) == "x" * 197 + "..." and one(spark, "Derek Porter", text.first_author) == "Derek Porter"
     assert one(spark, 'Uno; "dos"|uno,', text.list_items) == ["uno", "dos"]
-    assert [one(spark, x, text.language_code) for x in ("Español", "EN", "pt-BR", "klingon")] == ["es", "en", "pt", None]
-    assert [one(spark, x, text.media_type) for x in ("TV", "blog", "zine", None)] == ["televisión", "blog", "otro", "otro"]
+    assert [one(spark, x, text.language_code) for x in ("Español", "EN", "pt-BR", "spa", "français", "x", "", None)] == ["es", "en", "pt", "sp", "fr", "es", "es", "es"]
+    assert [one(spark, x, text.media_type) for x in ("TV", "blog", "zine", None, "government", "Gobierno", "revista")] == ["televisión", "blog", "otro", "otro", "oficial", "oficial", "otro"]
     assert one(spark, "¡Año Nuevo, vida nueva!", text.slug) == "ano-nuevo-vida-nueva"
     assert one(spark, "w " * 500, text.reading_minutes) == 2 and one(spark, "", text.reading_minutes) == 1
     assert one(spark, '<a href="x">&\'', text.escape_html) == "&lt;a href=&quot;x&quot;&gt;&amp;&#x27;"
@@ -68,7 +72,41 @@ def test_html(spark):
     assert one(spark, page, html.to_text) == "T & t Uno dos" and one(spark, page, html.paragraph_length) == 7
     f = one(spark, page, html.fields)
     assert (f.title, f.language, f.images, f.links, f.author) == ("T & t", "es", 1, 0, None)
-    assert html.sanitised('<p onclick="x" title="t">a<script>b</script><svg><path/></svg>&amp;</p>') == '<p title="t">a&amp;</p>' and html.sanitised(None) is None
+    assert html.sanitised('<p onclick="x" title="t">a<script>b</script><svg><path/></svg>&amp;</p>') == "<p>a&amp;</p>" and html.sanitised(None) is None
+    assert html.sanitised('<div> <p class="x"></p> <a href="h" rel="n" title="t">l <img src="i" onload="e"></a><a href="h"><img src="i"></a><br/><input><span> </span><em>u</div>') == '<div><a href="h" title="t">l <img src="i"></a><br><em>u</em></div>'
+
+
+def test_meta_tags(spark):
+    page = """<html lang="fr"><meta content="it's" property="og:title"/><meta name='author' content='A "B"'><meta name="dateless" content="x"><meta name="sailthru.date" content="2024-05-06 07:08:09"><meta property="og:type" content="">"""
+    m = one(spark, page, html.metadata)
+    assert (m.og_title, m.author, m.og_type, m.description, m.language, str(m.publication_date)) == ("it's", 'A "B"', None, None, "fr", "2024-05-06 07:08:09") and len(m) == 16
+    df = spark.createDataFrame([("s1", "<h2>a</h2><h3>b</h3>"), ("s1", "<h3>b</h3>"), ("s2", "<h2>a</h2><h3>b</h3>"), (None, "<h3></h3>")], "site string, html string")
+    rules = {"s1": [r"(?is)<h2>(.*?)</h2>", r"(?is)<h3>(.*?)</h3>"]}
+    assert [r.v for r in df.select(html.by_site(F.col("html"), F.col("site"), rules, [r"(?is)<h3>(.*?)</h3>"]).alias("v")).collect()] == ["a", "b", "b", None]
+
+
+def test_normal_forms(spark):
+    """What Spark sends to Python, and no more, is what Python changes."""
+    import unicodedata
+
+    letters = [chr(c) for c in range(1, 0x300)] + ["e\u0301", "\ufb01", "\u212b", "\uff21", "中", None]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(letters)], "i int, c string")
+    for form in ("NFC", "NFKC", "NFKD"):
+        got = [r.v for r in df.orderBy("i").select(text.normal(F.col("c"), form).alias("v")).collect()]
+        assert got == [c and unicodedata.normalize(form, c) for c in letters]
+    assert one(spark, "Ángel Ñúñez & Co. (S.A.) <x>, \"l'hôtel\"", text.entity_name) == "Angel Nunez Co. S.A. x, &quot;l&#x27;hotel&quot;"
+    assert one(spark, "e\u0301  x", text.clean_loaded) == "é x" and one(spark, "\ufb01n ², Ã¡", text.clean_stored) == "fin 2, á"
+
+
+def test_checksums_and_ids(spark):
+    import hashlib
+
+    df = spark.createDataFrame([("b", None, 3)], "x string, a string, m int")
+    got = df.select(text.checksum(x=F.col("x"), a=F.col("a"), m=F.col("m")).alias("p"), text.checksum(m=F.col("m"), x=F.col("x"), a=F.col("a")).alias("q"), text.stable_id(F.col("x")).alias("i"), text.stable_id(F.lit("b")).alias("j")).first()
+    assert got.p == got.q == hashlib.md5(b'{"a":null,"m":3,"x":"b"}').hexdigest() and got.i == got.j and 0 <= got.i < 1_000_000
+    checks = df.select(text.valid_fields(F.lit(1.5), F.lit(3), F.lit(2), F.lit("ftp://x"), F.lit("2024-02-30"), F.lit("https://www.wikidata.org/wiki/Q42")).alias("v")).first().v
+    assert tuple(checks) == (False, False, False, False, True)
+    assert one(spark, "x", lambda c: text.message(F.lit("k" * 300), F.lit(1.0), F.lit(0.0))) == "k" * 200
 
 
 def test_centrality_score(spark):
