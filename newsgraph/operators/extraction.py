@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgraph.functions.dates import ordered_range
-from newsgraph.session import settle
 
 ENTITIES = "array<struct<id:int,nombre:string,tipo:string,alias:array<string>,descripcion:string,relevancia:string>>"
 FACTS = "array<struct<id:int,contenido:string,fecha:struct<inicio:string,fin:string>,precision_temporal:string,tipo_hecho:string,pais:array<string>,confianza:string,es_futuro:boolean>>"
 QUOTES = "array<struct<id:int,cita:string,entidad_id:int,hecho_id:int,fecha:string,relevancia:int>>"
-FIGURES = "array<struct<id:int,hecho_id:int,indicador:string,valor:string,unidad:string,periodo:struct<inicio:string,fin:string>>>"
+FIGURES = "array<struct<id:int,hecho_id:int,indicador:string,valor:string,unidad:string,periodo:struct<inicio:string,fin:string>,tendencia:string,variacion_absoluta:string,variacion_porcentual:string>>"
 RELATIONS = (
     "hecho_entidad:array<struct<hecho_id:int,entidad_id:int,tipo_relacion:string,relevancia_en_hecho:int,relevancia:int>>,hecho_relacionado:array<struct<hecho_origen_id:int,hecho_destino_id:int,tipo_relacion:string,fuerza_relacion:int,fuerza:int>>,"
     "entidad_relacion:array<struct<entidad_origen_id:int,entidad_destino_id:int,tipo_relacion:string,fuerza_relacion:int,fuerza:int>>,contradicciones:array<struct<hecho_principal_id:int,hecho_contradictorio_id:int,tipo_contradiccion:string,tipo:string,grado_contradiccion:int,grado:int>>"
@@ -83,28 +82,36 @@ def quotes(df: DataFrame, key: str, response: str) -> DataFrame:
 def figures(df: DataFrame, key: str, response: str) -> DataFrame:
     rows = first_of_id(_exploded(df, key, response, "datos_cuantitativos", FIGURES), key)
     span = ordered_range(F.try_to_date("x.periodo.inicio", "yyyy-MM-dd"), F.try_to_date("x.periodo.fin", "yyyy-MM-dd"))
-    return rows.select(key, F.col("x.id").alias("figure"), "number", F.col("x.hecho_id").alias("fact"), F.col("x.indicador").alias("name"), F.coalesce(F.col("x.valor").try_cast("double"), F.lit(0.0)).alias("value"), F.col("x.unidad").alias("unit"), span.alias("period"))
+    return rows.select(key, F.col("x.id").alias("figure"), "number", F.col("x.hecho_id").alias("fact"), F.col("x.indicador").alias("name"), F.coalesce(F.col("x.valor").try_cast("double"), F.lit(0.0)).alias("value"), F.col("x.unidad").alias("unit"), span.alias("period"), F.col("x.tendencia").alias("trend"), F.col("x.variacion_absoluta").try_cast("double").alias("change"), F.col("x.variacion_porcentual").try_cast("double").alias("change_percent"))
 
 
 def relations(df: DataFrame, key: str, response: str, facts: DataFrame, entities: DataFrame) -> DataFrame:
     """(key, relation, a, b, kind, weight): relations whose ends are known in their fragment, none with itself.
 
-    Replies have the four arrays at the top level; those below a key r, and the short names of fields, are read as well.
+    Replies have the four arrays at the top level; those below a key r, and the short names of fields, are read as well. A
+    reply is parsed once, and its fragment's ids, as many as it has facts and entities, are beside it in the row.
     """
     parsed = df.select(key, F.from_json(unfenced(F.col(response)), f"struct<{RELATIONS},r:struct<{RELATIONS}>>").alias("j"))
-    rows = lambda field: parsed.select(key, F.explode(F.concat(*[F.coalesce(c, F.array()) for c in (F.col(f"j.{field}"), F.col(f"j.r.{field}"))])).alias("x"))
+    for ids, name in ((facts, "fact"), (entities, "entity")):
+        parsed = parsed.join(ids.groupBy(key).agg(F.collect_set(name).alias(f"_{name}")), key, "left")
     weight = lambda c, low, high, default: F.when(c.between(low, high), c).otherwise(default)
-    fe = rows("hecho_entidad").select(key, F.lit("fact_entity").alias("relation"), F.col("x.hecho_id").alias("a"), F.col("x.entidad_id").alias("b"), F.when(F.col("x.tipo_relacion").isin(*FACT_ENTITY), F.col("x.tipo_relacion")).otherwise("otro").alias("kind"), weight(F.coalesce("x.relevancia_en_hecho", "x.relevancia"), 1, 10, 5).alias("weight"))
-    ff = rows("hecho_relacionado").where("x.tipo_relacion is not null").select(key, F.lit("fact_fact").alias("relation"), F.col("x.hecho_origen_id").alias("a"), F.col("x.hecho_destino_id").alias("b"), F.col("x.tipo_relacion").alias("kind"), weight(F.coalesce("x.fuerza_relacion", "x.fuerza"), 1, 10, 5).alias("weight"))
-    related = F.lower("x.tipo_relacion")
-    ee = rows("entidad_relacion").where(related.isin(*ENTITY_ENTITY)).select(key, F.lit("entity_entity").alias("relation"), F.col("x.entidad_origen_id").alias("a"), F.col("x.entidad_destino_id").alias("b"), related.alias("kind"), weight(F.coalesce("x.fuerza_relacion", "x.fuerza"), 1, 10, 5).alias("weight"))
-    kind = F.coalesce("x.tipo_contradiccion", "x.tipo")
-    co = rows("contradicciones").select(key, F.lit("contradiction").alias("relation"), F.col("x.hecho_principal_id").alias("a"), F.col("x.hecho_contradictorio_id").alias("b"), F.when(kind.isin(*CONTRADICTION), kind).otherwise("contenido").alias("kind"), weight(F.coalesce("x.grado_contradiccion", "x.grado"), 1, 5, 3).alias("weight"))
-    f, e = settle(facts.select(key, "fact").distinct()), settle(entities.select(key, "entity").distinct())  # ids alone, read several times
-    known = lambda rows, side, ids, name: rows.join(ids.withColumnRenamed(name, side), [key, side], "left_semi")
-    among_facts = known(known(ff.unionByName(co).where("a <> b"), "a", f, "fact"), "b", f, "fact")
-    among_entities = known(known(ee.where("a <> b"), "a", e, "entity"), "b", e, "entity")
-    return known(known(fe, "a", f, "fact"), "b", e, "entity").unionByName(among_facts).unionByName(among_entities).select(key, "relation", "a", "b", "kind", "weight")
+
+    def rows(field: str, relation: str, a: str, b: str, sides: tuple[str, str], kind, strength) -> Column:
+        both = F.concat(*[F.coalesce(c, F.array()) for c in (F.col(f"j.{field}"), F.col(f"j.r.{field}"))])
+        known = lambda x: F.array_contains(F.col(f"_{sides[0]}"), x[a]) & F.array_contains(F.col(f"_{sides[1]}"), x[b])
+        apart = (lambda x: x[a] != x[b]) if sides[0] == sides[1] else (lambda x: F.lit(True))
+        kept = F.filter(both, lambda x: F.coalesce(known(x) & apart(x) & kind(x).isNotNull(), F.lit(False)))
+        return F.transform(kept, lambda x: F.struct(F.lit(relation).alias("relation"), x[a].alias("a"), x[b].alias("b"), kind(x).alias("kind"), strength(x).alias("weight")))
+
+    among = lambda c, names, other: F.when(c.isin(*names), c).otherwise(other)
+    one_of = lambda x, *names: F.coalesce(*[x[n] for n in names])
+    found = F.concat(
+        rows("hecho_entidad", "fact_entity", "hecho_id", "entidad_id", ("fact", "entity"), lambda x: among(x["tipo_relacion"], FACT_ENTITY, "otro"), lambda x: weight(one_of(x, "relevancia_en_hecho", "relevancia"), 1, 10, 5)),
+        rows("hecho_relacionado", "fact_fact", "hecho_origen_id", "hecho_destino_id", ("fact", "fact"), lambda x: x["tipo_relacion"], lambda x: weight(one_of(x, "fuerza_relacion", "fuerza"), 1, 10, 5)),
+        rows("entidad_relacion", "entity_entity", "entidad_origen_id", "entidad_destino_id", ("entity", "entity"), lambda x: among(F.lower(x["tipo_relacion"]), ENTITY_ENTITY, F.lit(None)), lambda x: weight(one_of(x, "fuerza_relacion", "fuerza"), 1, 10, 5)),
+        rows("contradicciones", "contradiction", "hecho_principal_id", "hecho_contradictorio_id", ("fact", "fact"), lambda x: among(one_of(x, "tipo_contradiccion", "tipo"), CONTRADICTION, "contenido"), lambda x: weight(one_of(x, "grado_contradiccion", "grado"), 1, 5, 3)),
+    )
+    return parsed.select(key, F.inline(found))
 
 
 def relation_index(relations: DataFrame, key: str) -> DataFrame:
@@ -139,10 +146,31 @@ def reconcile(sent: DataFrame, stored: DataFrame, key: str) -> DataFrame:
 
 def with_fallback(facts: DataFrame, fragments: DataFrame, key: str, title: str) -> DataFrame:
     """(key, content, is_fallback): facts, and for fragments without any the title as one."""
-    lost = fragments.join(facts.select(key).distinct(), key, "left_anti").select(key, F.col(title).alias("content"), F.lit(True).alias("is_fallback"))
+    lost = fragments.join(facts.select(key).distinct(), key, "left_anti").select(key, F.coalesce(title, F.lit("[Sin título disponible]")).alias("content"), F.lit(True).alias("is_fallback"))
     return facts.select(key, "content", F.lit(False).alias("is_fallback")).unionByName(lost)
 
 
+def entities_with_fallback(entities: DataFrame, facts: DataFrame, fragments: DataFrame, key: str, outlet: str) -> DataFrame:
+    """(key, name, kind, is_fallback): entities, and for fragments without any fact the outlet as an organisation."""
+    lost = fragments.join(facts.select(key).distinct(), key, "left_anti").select(key, F.coalesce(outlet, F.lit("[Medio desconocido]")).alias("name"), F.lit("ORGANIZACION").alias("kind"), F.lit(True).alias("is_fallback"))
+    return entities.select(key, "name", "kind", F.lit(False).alias("is_fallback")).unionByName(lost)
+
+
+def degraded(df: DataFrame, key: str, response: str) -> DataFrame:
+    """(key, warnings): what a fragment's reply lacks, phase by phase: without facts it has those of the fallback, without quotes or figures
+    none, without relations all its entities are new and there are none."""
+    body = F.from_json(unfenced(F.col(response)), f"hechos {FACTS}, citas_textuales {QUOTES}, datos_cuantitativos {FIGURES}, {RELATIONS.replace(':array', ' array')}")
+    parsed = df.select(key, body.alias("j"))
+    none = lambda *fields: F.coalesce(*[F.when(F.size(f"j.{f}") > 0, False) for f in fields], F.lit(True))
+    names = {"extraccion": none("hechos"), "citas": none("citas_textuales", "datos_cuantitativos"), "normalizacion": none("hecho_entidad", "hecho_relacionado", "entidad_relacion", "contradicciones")}
+    return parsed.select(key, F.array_compact(F.array(*[F.when(lost, F.lit(f"{n}_degradada")) for n, lost in names.items()])).alias("warnings"))
+
+
+def as_new(entities: DataFrame) -> DataFrame:
+    """Entities as they are stored when they can't be looked up: all new, like nothing."""
+    return entities.withColumns({"stored": F.lit(None).cast("long"), "similarity": F.lit(0.0), "is_new": F.lit(True)})
+
+
 def phase_status(triaged: DataFrame, counted: DataFrame, key: str) -> DataFrame:
     """(key, status): stopped after triage, complete (facts and entities), partial (one of them) or failed."""
     some = lambda c: F.coalesce(c, F.lit(0)) > 0
@@ -151,7 +179,7 @@ def phase_status(triaged: DataFrame, counted: DataFrame, key: str) -> DataFrame:
 
 
 def payload_errors(df: DataFrame) -> Column:
-    """Type errors of fact payload rows (day, countries, vector, relevance, value, wikidata: any of them)."""
+    """Type errors of fact payload rows (day, relevance, value, wikidata, tags, categories, keywords, vector: any of them)."""
     have, rules = set(df.columns), {}
     if "day" in have:
         rules["bad_day"] = F.try_to_date("day", "yyyy-MM-dd").isNull() & F.col("day").isNotNull()
@@ -161,4 +189,11 @@ def payload_errors(df: DataFrame) -> Column:
         rules["bad_value"] = F.abs("value") > 1e15
     if "wikidata" in have:
         rules["bad_wikidata"] = ~F.col("wikidata").rlike(r"^https?://www\.wikidata\.org/")
+    for c, kind in df.dtypes:
+        if c in ("tags", "categories", "keywords"):  # arrays of texts alone; as JSON they are read before they are judged
+            texts = F.from_json(c, "array<string>") if kind == "string" else F.col(c) if kind == "array<string>" else None
+            rules[f"bad_{c}"] = F.lit(True) if texts is None else (texts.isNull() & F.col(c).isNotNull()) | F.exists(texts, lambda x: x.isNull())
+        if c == "vector":
+            numbers = F.from_json(c, "array<double>") if kind == "string" else F.col(c).cast("array<double>") if kind.startswith("array<") else None
+            rules["bad_vector"] = F.lit(True) if numbers is None else (numbers.isNull() & F.col(c).isNotNull()) | F.exists(numbers, lambda x: x.isNull() | F.isnan(x))
     return F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()]))

@@ -33,7 +33,7 @@ def _reply(spark, sf_dir):
     n = F.col("l_linenumber")
     fact = F.struct(n.alias("id"), F.concat(F.lit("part "), "part").alias("contenido"), F.struct(F.col("day").alias("inicio"), F.when(n % 2 == 0, F.lit("1990-01-01")).otherwise(F.col("day")).alias("fin")).alias("fecha"), (F.col("quantity") / 40).cast("string").alias("confianza"))
     entity = F.struct(F.col("part").cast("int").alias("id"), F.concat(F.lit("P"), "part").alias("nombre"), F.array(F.lit(" a "), F.lit("")).alias("alias"))
-    figure = F.struct(n.alias("id"), n.alias("hecho_id"), F.lit("cantidad").alias("indicador"), F.when(n == 3, "mucho").otherwise(F.col("quantity").cast("string")).alias("valor"))
+    figure = F.struct(n.alias("id"), n.alias("hecho_id"), F.lit("cantidad").alias("indicador"), F.when(n == 3, "mucho").otherwise(F.col("quantity").cast("string")).alias("valor"), F.when(n == 1, "sube").alias("tendencia"), F.when(n == 2, "x").otherwise((n * 2).cast("string")).alias("variacion_porcentual"))
     quote = F.struct(n.alias("id"), F.when(n == 2, " ").otherwise(F.concat(F.lit("dijo "), n)).alias("cita"), (n + 1).alias("hecho_id"), (n + 2).alias("relevancia"))
     pair = F.struct(n.alias("hecho_id"), F.col("part").cast("int").alias("entidad_id"), F.when(n == 1, "protagonista").otherwise("raro").alias("tipo_relacion"), (n * 3).alias("relevancia"))
     link = F.struct(n.alias("hecho_origen_id"), F.when(n == 1, 1).otherwise(n + 1).alias("hecho_destino_id"), F.lit("causa").alias("tipo_relacion"), (n * 2).alias("fuerza"))
@@ -64,9 +64,9 @@ def explode_quotes(spark, sf_dir):
     return op.quotes(_reply(spark, sf_dir), "fragment", "reply").select("fragment", "quote", "text", "fact", "relevance")
 
 
-@query(f"WITH {_LINES} SELECT fragment, n AS figure, CASE WHEN n = 3 THEN 0.0 ELSE quantity END AS value FROM x")
+@query(f"WITH {_LINES} SELECT fragment, n AS figure, CASE WHEN n = 3 THEN 0.0 ELSE quantity END AS value, CASE WHEN n = 1 THEN 'sube' END AS trend, CASE WHEN n <> 2 THEN n * 2.0::DOUBLE END AS change_percent FROM x")
 def explode_figures(spark, sf_dir):
-    return op.figures(_reply(spark, sf_dir), "fragment", "reply").select("fragment", "figure", "value")
+    return op.figures(_reply(spark, sf_dir), "fragment", "reply").select("fragment", "figure", "value", "trend", "change_percent")
 
 
 @query(f"""WITH {_LINES} SELECT fragment, 'fact_entity' AS relation, n AS a, part::INTEGER AS b, CASE WHEN n = 1 THEN 'protagonista' ELSE 'otro' END AS kind, CASE WHEN n * 3 <= 10 THEN n * 3 ELSE 5 END AS weight FROM x
@@ -97,11 +97,13 @@ def reconciliation(spark, sf_dir):
     return op.reconcile(sent, stored, "fragment")
 
 
-@query(f"""WITH {_LINES} SELECT fragment, 'fact' AS side, n AS id, 1 + (CASE WHEN n > 1 AND EXISTS (SELECT 1 FROM x y WHERE y.fragment = x.fragment AND y.n = x.n + 1) THEN 1 ELSE 0 END)
-  + (CASE WHEN n > 2 AND EXISTS (SELECT 1 FROM x y WHERE y.fragment = x.fragment AND y.n = x.n - 1) THEN 1 ELSE 0 END) AS related FROM x
-UNION ALL SELECT fragment, 'entity', part::INTEGER, count(*) FROM x GROUP BY 1, 3""")
+@query(f"""WITH {_LINES}, r AS (SELECT fragment, 'fact' AS side, n AS id, 'fact_entity' AS relation, part::INTEGER AS other FROM x UNION ALL SELECT fragment, 'entity', part::INTEGER, 'fact_entity', n FROM x
+  UNION ALL SELECT x.fragment, 'fact', x.n, 'fact_fact', y.n FROM x JOIN x y ON x.fragment = y.fragment AND y.n = x.n + 1 WHERE x.n > 1 UNION ALL SELECT x.fragment, 'fact', y.n, 'fact_fact', x.n FROM x JOIN x y ON x.fragment = y.fragment AND y.n = x.n + 1 WHERE x.n > 1)
+SELECT fragment, side, id, string_agg(relation || ':' || other, ',' ORDER BY relation, other) AS related FROM r GROUP BY 1, 2, 3""")
 def relation_index(spark, sf_dir):
-    return op.relation_index(relations_valid(spark, sf_dir), "fragment").withColumn("related", F.size("related").cast("long"))
+    index = op.relation_index(relations_valid(spark, sf_dir), "fragment")
+    others = F.array_join(F.transform(F.array_sort("related"), lambda x: F.concat_ws(":", x["relation"], x["other"].cast("string"))), ",")
+    return index.withColumn("related", others)
 
 
 @query("""SELECT o_orderkey AS fragment, CASE WHEN o_orderstatus = 'F' THEN 'Descartado' WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem) THEN 'Completo' ELSE 'Fallido' END AS status FROM orders""")
@@ -117,3 +119,33 @@ def fallback_facts(spark, sf_dir):
     fragments = model.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fragment"), F.col("o_orderpriority").alias("title"))
     rows = op.with_fallback(op.facts(_reply(spark, sf_dir), "fragment", "reply"), fragments, "fragment", "title")
     return rows.groupBy("fragment").agg(F.count("*").alias("facts"), F.first("is_fallback").alias("is_fallback"))
+
+
+@query("""SELECT o_orderkey AS fragment, 'cliente ' || o_custkey AS name FROM (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem))""")
+def fallback_entities(spark, sf_dir):
+    """Fragments (orders) without facts have their outlet (here: the customer) as an entity."""
+    r = _reply(spark, sf_dir)
+    fragments = model.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fragment"), F.concat(F.lit("cliente "), "o_custkey").alias("outlet"))
+    named = op.entities(r, "fragment", "reply").withColumn("kind", F.lit("PERSONA"))
+    rows = op.entities_with_fallback(named, op.facts(r, "fragment", "reply"), fragments, "fragment", "outlet")
+    return rows.where("is_fallback and kind = 'ORGANIZACION'").select("fragment", "name")
+
+
+@query("""SELECT o_orderkey AS fragment, CASE o_orderkey % 4 WHEN 0 THEN 'extraccion_degradada,citas_degradada,normalizacion_degradada' WHEN 1 THEN 'normalizacion_degradada' WHEN 2 THEN 'citas_degradada' ELSE '' END AS warnings FROM orders""")
+def degraded_replies(spark, sf_dir):
+    """Replies that are broken, lack relations, lack quotes and figures, or lack nothing."""
+    orders, k = model.table(spark, sf_dir, "orders"), F.col("o_orderkey") % 4
+    facts, quotes, pairs = '"hechos":[{"id":1,"contenido":"x"}]', '"citas_textuales":[{"id":1,"cita":"y"}]', '"hecho_entidad":[{"hecho_id":1,"entidad_id":1}]'
+    reply = F.when(k == 0, "{ broken").when(k == 1, f"{{{facts},{quotes}}}").when(k == 2, f"{{{facts},{pairs}}}").otherwise(f"```json\n{{{facts},{quotes},{pairs}}}\n```")
+    return op.degraded(orders.select(F.col("o_orderkey").alias("fragment"), reply.alias("reply")), "fragment", "reply").withColumn("warnings", F.array_join("warnings", ","))
+
+
+@query("""SELECT o_orderkey AS fragment, concat_ws(',', CASE WHEN o_orderkey % 2 = 0 THEN 'bad_day' END, CASE WHEN o_orderkey % 3 = 0 THEN 'bad_relevance' END, CASE WHEN o_orderkey % 5 = 0 THEN 'bad_value' END, CASE WHEN o_orderkey % 7 = 0 THEN 'bad_wikidata' END,
+  CASE WHEN o_orderkey % 11 = 0 THEN 'bad_tags' END, CASE WHEN o_orderkey % 13 = 0 THEN 'bad_vector' END) AS errors FROM orders""")
+def payload_checks(spark, sf_dir):
+    k = lambda n: F.col("o_orderkey") % n == 0
+    rows = model.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("fragment"), F.when(k(2), "2024-02-30").otherwise("2024-02-29").alias("day"), F.when(k(3), 11).otherwise(10).alias("relevance"), F.when(k(5), -1e16).otherwise(1e15).alias("value"),
+        F.when(k(7), "http://x/Q1").otherwise("https://www.wikidata.org/wiki/Q1").alias("wikidata"), F.when(k(11), '["a",null]').otherwise('["a","b"]').alias("tags"), F.when(k(13), F.array(F.lit(1.0), F.lit(None))).otherwise(F.array(F.lit(1.0))).alias("vector"),
+    )
+    return rows.select("fragment", F.array_join(op.payload_errors(rows), ",").alias("errors"))
