@@ -105,9 +105,21 @@ def latency_alarms(events: DataFrame, limit: float = 30.0) -> DataFrame:
     return events.where(F.coalesce("elapsed", "duration", "span") > limit)
 
 
-def failure_alarms(logs: DataFrame, pattern: str = r"timeout|connection|api error|rate limit|unavailable") -> DataFrame:
-    """Log rows (level, message) that tell of a dependency that failed."""
-    return logs.where(F.col("level").isin("ERROR", "CRITICAL") & F.lower("message").rlike(pattern))
+#: Services that a log may tell of: words of which one must be in the message, the word that names the service, and the type of its errors.
+SERVICES = {"groq_api_failure": (("groq", "api"), "groq", "groq_api_error"), "supabase_failure": (("supabase", "rpc", "database"), "supabase", "supabase_error")}
+
+
+def failure_alarms(logs: DataFrame, services: dict[str, tuple] = SERVICES) -> DataFrame:
+    """Log rows (level, message, error_type) of errors with an alarm for each service that failed: alarm, severity, description.
+
+    A service's words must be in the message, and its error's type on the row or its name in the message.
+    """
+    said = F.lower("message")
+    found = []
+    for alarm, (words, name, kind) in services.items():
+        failed = said.rlike("|".join(words)) & (F.coalesce(F.col("error_type") == kind, F.lit(False)) | said.contains(name))
+        found.append(F.when(failed, F.struct(F.lit(alarm).alias("alarm"), F.lit("critical").alias("severity"), F.concat(F.lit(f"Error en {name}: "), F.left("message", F.lit(200))).alias("description"))))
+    return logs.where(F.col("level").isin("ERROR", "CRITICAL")).select(*logs.columns, F.inline(F.array_compact(F.array(*found))))
 
 
 def health_alerts(jobs: DataFrame, active: DataFrame) -> DataFrame:

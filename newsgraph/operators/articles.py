@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from newsgraph.functions import text as tx
 
 STATES = ("pendiente", "procesando", "completado", "error")
-DEFAULTS = {"country": "desconocido", "media": "digital", "language": "es", "state": "pendiente"}
+DEFAULTS = {"country": "desconocido", "media": "digital", "language": "es", "state": "pendiente", "opinion": False}
 
 
 def coerce(df: DataFrame) -> DataFrame:
-    """Known kinds of media and states, comma lists to arrays, defaults for missing values; columns that are absent are passed over."""
+    """Known kinds of media and states, comma lists to arrays, JSON texts to maps, defaults for missing values; columns that are absent are passed over."""
     have, out = set(df.columns), df
     if "media" in have:
         out = out.withColumn("media", F.when(F.col("media").isNotNull(), tx.media_type(F.col("media"))))
@@ -22,6 +22,8 @@ def coerce(df: DataFrame) -> DataFrame:
         out = out.withColumn("state", F.when(F.col("state").isin(*STATES), F.col("state")).when(F.col("state").isNotNull(), "pendiente"))
     if "tags" in have and dict(df.dtypes)["tags"] == "string":
         out = out.withColumn("tags", tx.list_items(F.col("tags")))
+    if "metadata" in have and dict(df.dtypes)["metadata"] == "string":  # what is no JSON object becomes an empty map
+        out = out.withColumn("metadata", F.when(F.col("metadata").isNotNull(), F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>"))))
     return out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in DEFAULTS.items() if c in have})
 
 

@@ -171,6 +171,35 @@ def category(kind: Column) -> Column:
     return F.when(kind.isin("error", "signup"), "system").when(kind.like("p%"), "data").otherwise("service")
 
 
+def alert_category(metric: Column, kind: Column | None = None) -> Column:
+    """The category of an alert's metric; with its kind, alerts on views and on jobs are told apart first."""
+    limits = metric.isin("api_requests_limit", "storage_limit", "bandwidth_limit")
+    out = F.when(limits, "supabase_limit").when(metric.contains("edge_function"), "supabase_edge").when(metric.contains("api_"), "supabase_api")
+    out = out.when(metric.isin("cpu_usage_percent", "memory_usage_percent"), "system_resource").when(metric.isin("connection_usage_percent", "cache_hit_ratio"), "database_performance").otherwise("other")
+    return out if kind is None else F.when(kind.contains("materialized_view") | kind.contains("pg_cron"), "views_jobs").otherwise(out)
+
+
+def component(kind: Column) -> Column:
+    return F.when(kind.contains("materialized_view"), "materialized_view").when(kind.contains("pg_cron"), "pg_cron_job").otherwise("other")
+
+
+def job_class(name: Column) -> Column:
+    has = lambda *words: name.rlike("|".join(words))
+    return F.when(has("monitoring", "collect"), "monitoring").when(has("cleanup", "maintenance"), "maintenance").when(has("backup", "critical"), "critical").otherwise("regular")
+
+
+def recorded(requests: DataFrame, pipelines: DataFrame, phases: DataFrame) -> DataFrame:
+    """One append-only table of metric events (ts, kind, name, value, ok) of three kinds: request (path), pipeline (job) and phase (phase)."""
+    kinds = (("request", requests, "path"), ("pipeline", pipelines, "job"), ("phase", phases, "phase"))
+    return reduce(DataFrame.unionByName, [df.select("ts", F.lit(k).alias("kind"), F.col(name).cast("string").alias("name"), "value", "ok") for k, df, name in kinds])
+
+
+def window_metrics(events: DataFrame, now: DataFrame, hours: int = 24) -> DataFrame:
+    """(kind, n, mean, error_percent) over the last hours of recorded events; now: one row."""
+    recent = events.crossJoin(F.broadcast(now)).where(F.col("ts") > F.col("now") - F.make_dt_interval(F.lit(0), F.lit(hours)))
+    return recent.groupBy("kind").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), (F.count_if(~F.col("ok")) * 100.0 / F.count("*")).alias("error_percent"))
+
+
 def slow(df: DataFrame, name: str, value: str, least: float, n: int) -> DataFrame:
     """The n slowest of those that take `least` on average: calls, mean, most, deviation."""
     grouped = df.groupBy(name).agg(F.count("*").alias("calls"), F.avg(value).alias("mean"), F.max(value).alias("most"), F.stddev_samp(value).alias("deviation"))

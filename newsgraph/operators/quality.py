@@ -25,6 +25,27 @@ def violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     return df.select(key, broken.alias("broken")).where(F.size("broken") > 0)
 
 
+def domain_rules(**columns: str) -> dict[str, Column]:
+    """Rules of the model's domains, for the columns that stand for them: relevance, grade, confidence, url, country, vector, percent, importance."""
+    of = {
+        "relevance": lambda c: c.between(0, 10), "grade": lambda c: c.between(1, 5), "confidence": lambda c: c.between(0, 1), "url": lambda c: c.rlike(r"^https?://[^\s/$.?#].[^\s]*$"), "country": lambda c: c.rlike("^[A-Z]{2}$"),
+        "vector": lambda c: F.size(c) == 384, "percent": lambda c: c.between(0, 100), "importance": lambda c: c.between(1, 10),
+    }
+    return {name: of[name](F.col(column)) for name, column in columns.items()}
+
+
+def date_counters(moment: Column, now: Column, state: Column | None = None) -> dict[str, Column]:
+    """Conditions for counters: dates in the future and before 1990, the last 7, 30 and 90 days, and states that tell of an error."""
+    days = {f"last_{n}d": moment >= now - F.make_dt_interval(F.lit(n)) for n in (7, 30, 90)}
+    out = {"future": moment > now, "ancient": moment < F.lit("1990-01-01").cast("timestamp")} | days
+    return out | ({"with_errors": state.startswith("error"), "complete": state == "completado"} if state is not None else {})
+
+
+def overdue(end: Column, now: Column, state: Column) -> Column:
+    """A planned event that is over and neither done nor cancelled."""
+    return (end < now) & ~state.isin("realizado", "cancelado")
+
+
 def orphans(edges: dict[str, tuple[DataFrame, str, DataFrame, str]]) -> DataFrame:
     """(edge, orphans): per name, rows of a child table whose non-null reference has no parent: (child, column, parent, key)."""
 

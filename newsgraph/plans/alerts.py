@@ -77,10 +77,17 @@ def latency_alarms(spark, sf_dir):
     return op.latency_alarms(rows, 200).select("event_id")
 
 
-@query("SELECT event_id FROM events WHERE event_type = 'error' AND event_id % 2 = 0")
+@query("""WITH m AS (SELECT event_id, event_type = 'error' OR event_type = 'click' AS bad, event_id % 8 AS k FROM events),
+l AS (SELECT event_id, k, [['groq_api_failure', 'Groq API timeout'], ['groq_api_failure', 'bad API key'], ['', 'bad API key'], ['supabase_failure', 'Database down'], ['', 'database down'], ['supabase_failure', 'SUPABASE rpc'], ['', 'groceries'], ['groq_api_failure', 'supabase and groq api']][k + 1] AS x FROM m WHERE bad)
+SELECT event_id, x[1] AS alarm, 'Error en ' || split_part(x[1], '_', 1) || ': ' || x[2] AS description FROM l WHERE x[1] <> '' UNION ALL SELECT event_id, 'supabase_failure', 'Error en supabase: ' || x[2] FROM l WHERE k = 7""")
 def failure_alarms(spark, sf_dir):
-    rows = _events(spark, sf_dir).select("event_id", F.when(F.col("ok"), "INFO").otherwise("ERROR").alias("level"), F.when(F.col("event_id") % 2 == 0, "Connection refused").otherwise("bad value").alias("message"))
-    return op.failure_alarms(rows).select("event_id")
+    """Errors, and clicks as critical rows, with eight messages; some tell of a service by their type alone, some of none, one of two."""
+    k = F.pmod("event_id", F.lit(8)).cast("int")
+    messages = ["Groq API timeout", "bad API key", "bad API key", "Database down", "database down", "SUPABASE rpc", "groceries", "supabase and groq api"]
+    kinds = [None, "groq_api_error", "other", "supabase_error", None, None, "groq_api_error", None]
+    pick = lambda values: F.get(F.array(*[F.lit(v).cast("string") for v in values]), k)
+    level = F.when(F.col("kind") == "error", "ERROR").when(F.col("kind") == "click", "CRITICAL").otherwise("INFO")
+    return op.failure_alarms(_events(spark, sf_dir).select("event_id", level.alias("level"), pick(messages).alias("message"), pick(kinds).alias("error_type"))).select("event_id", "alarm", "description")
 
 
 @query("""WITH s AS (SELECT user_id AS job, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1) SELECT job, CASE WHEN failed > 3 THEN 'critical' ELSE 'warning' END AS severity FROM s WHERE failed > 0 AND job % 10 <> 0""")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
+from newsgraph.functions import dates
 from newsgraph.functions import text as tx
 from newsgraph.operators import articles as op
 from newsgraph.plans import model
@@ -56,23 +58,105 @@ def sitemap_filter(spark, sf_dir):
     return op.sitemap(model.table(spark, sf_dir, "pages").select("page_id", last.alias("lastmod")), "2024-01-15").select("page_id")
 
 
-@query("SELECT doc_id, source AS outlet, length(text) AS characters FROM documents")
-def feed_round_trip(spark, sf_dir):
-    """Documents written as a gzip JSON feed and read as one."""
+def _feed(spark, sf_dir):
     folder = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
-    rows = _rows(spark, sf_dir).select("url", "outlet", "title", "body")
-    rows.select(F.to_json(F.struct("*")).alias("value"), F.spark_partition_id().alias("p")).select("value").write.option("compression", "gzip").option("lineSep", "\n").text(folder)
-    read = spark.read.schema(feeds.ARTICLE).option("pathGlobFilter", "*.gz").json(folder)
-    return read.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("doc_id"), "outlet", F.length("body").cast("long").alias("characters"))
+    feeds.write_feed(_rows(spark, sf_dir).select("url", "outlet", "title", "body"), folder)
+    return folder
 
 
-@query("""SELECT source AS outlet, lang AS language, count(*) AS rows FROM documents GROUP BY ALL""")
+@query("SELECT doc_id, source AS outlet, length(text) AS characters, true AS from_feed FROM documents")
+def feed_round_trip(spark, sf_dir):
+    """Documents written as a feed of gzip JSON arrays and read by the feed's reader."""
+    read = feeds.read_articles(spark, _feed(spark, sf_dir))
+    return read.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("doc_id"), "outlet", F.length("body").cast("long").alias("characters"), F.col("file").endswith(".json.gz").alias("from_feed"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) < 100 THEN 'short_body' ELSE 'row' END AS result FROM documents")
+def feed_ingest(spark, sf_dir):
+    """The same feed as a stream that sets rows with short bodies apart, run twice: the second run finds nothing new."""
+    folder, target = _feed(spark, sf_dir), f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    for _ in range(2):
+        feeds.ingest(spark, folder, target, files=20, least=100)
+    rows, bad = spark.read.parquet(f"{target}/rows"), spark.read.parquet(f"{target}/errors")
+    number = lambda c: F.regexp_extract(c, r"(\d+)$", 1).cast("long").alias("doc_id")
+    return rows.select(number("url"), F.lit("row").alias("result")).unionByName(bad.select(number("row"), F.col("reason").alias("result")))
+
+
+@query("""SELECT doc_id, 'T ' || doc_id AS title, 'https://h/' || doc_id AS link, lang AS category, strftime(DATE '2024-01-01' + (doc_id % 60)::INTEGER, '%Y-%m-%d') AS day FROM documents""")
+def rss_items(spark, sf_dir):
+    """Documents as items of RSS files, read again."""
+    folder = f"{shared_dir(spark)}/rss-{uuid.uuid4().hex}"
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("doc_id", F.lit(60)).cast("int"))
+    item = F.format_string("<item><title>T %d</title><link>https://h/%d</link><category>%s</category><pubDate>%s</pubDate></item>", "doc_id", "doc_id", "lang", F.date_format(day, "EEE, dd MMM yyyy HH:mm:ss 'GMT'"))
+    channel = F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list("item"), ""), F.lit("</channel></rss>"))
+    grouped = model.table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 200).alias("part"), item.alias("item")).groupBy("part").agg(channel.alias("value"))  # a file of 200 items
+    grouped.write.partitionBy("part").text(folder)
+    items = feeds.read_rss(spark, folder)
+    return items.select(F.regexp_extract("link", r"(\d+)$", 1).cast("long").alias("doc_id"), "title", "link", F.col("category")[0].alias("category"), F.date_format(dates.absolute(F.regexp_replace("published", "GMT$", "+0000")), "yyyy-MM-dd").alias("day"))
+
+
+@query(r"""SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS outlet, nullif(regexp_extract(html, '(?is)<html[^>]*\blang=["'']?([A-Za-z-]+)', 1), '') AS language FROM pages""")
+def page_rows(spark, sf_dir):
+    """Stored pages as article rows."""
+    return feeds.read_pages(spark, f"{sf_dir}/pages.parquet").select("page_id", "outlet", "language")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'otro' ELSE 'diario' END AS media, CASE WHEN doc_id % 3 = 0 THEN 'error' ELSE 'pendiente' END AS state, CASE WHEN doc_id % 5 = 0 THEN 'k' END AS key, 'a,b' AS tags, 'es' AS language, 'desconocido' AS country, false AS opinion FROM documents""")
+def coerced_fields(spark, sf_dir):
+    """Unknown kinds and states, lists and JSON as texts, and missing values."""
+    k = F.col("doc_id")
+    none = F.lit(None).cast("string")
+    rows = model.table(spark, sf_dir, "documents").select("doc_id", F.when(k % 2 == 0, "zine").otherwise("Newspaper").alias("media"), F.when(k % 3 == 0, "error").otherwise("nonsense").alias("state"), F.when(k % 5 == 0, '{"x": "k"}').when(k % 5 == 1, "{broken").alias("metadata"), F.lit("a, B,a").alias("tags"), none.alias("language"), none.alias("country"), F.lit(None).cast("boolean").alias("opinion"))
+    return op.coerce(rows).select("doc_id", "media", "state", F.col("metadata")["x"].alias("key"), F.array_join("tags", ",").alias("tags"), "language", "country", "opinion")
+
+
+@query("""SELECT 'documents' AS name, 'SUCCESS' AS status, count(*) AS rows, 0::BIGINT AS change FROM documents UNION ALL SELECT 'events', 'SUCCESS', count(*), count(*) - 5 FROM events UNION ALL SELECT 'broken', 'ERROR', NULL, NULL""")
+def snapshot_refresh(spark, sf_dir):
+    """Snapshots written in their order and logged; one can't be computed, which stops no other."""
+    folder = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    docs, events = model.table(spark, sf_dir, "documents").select("doc_id"), model.table(spark, sf_dir, "events").select("event_id")
+    broken = events.select(F.raise_error(F.lit("no such view")).alias("x"))
+    log = sinks.refresh_all({"documents": docs, "broken": broken, "events": events}, folder, {"documents": docs.count(), "events": 5})
+    return spark.createDataFrame([(e["name"], e["status"], e["rows"], e["change"]) for e in log], "name string, status string, rows long, change long")  # a row a snapshot
+
+
+@query("""SELECT strftime(ts, '%Y-%m') AS month, count(*) AS rows FROM events GROUP BY 1 UNION ALL SELECT strftime(o_orderdate, '%Y'), count(*) FROM orders GROUP BY 1""")
+def period_layout(spark, sf_dir):
+    """Events laid out by month and orders by year, in two appends each, counted by period."""
+    folder = f"{shared_dir(spark)}/periods-{uuid.uuid4().hex}"
+    events, orders = model.table(spark, sf_dir, "events"), model.table(spark, sf_dir, "orders")
+    for half in (0, 1):
+        sinks.write_by_period(events.where(F.col("event_id") % 2 == half), f"{folder}/events", "ts", "month")
+        sinks.write_by_period(orders.where(F.col("o_orderkey") % 2 == half), f"{folder}/orders", "o_orderdate", "year")
+    count = lambda name, period: spark.read.parquet(f"{folder}/{name}").groupBy(F.col(period).cast("string").alias("month")).agg(F.count("*").alias("rows"))
+    return count("events", "month").unionByName(count("orders", "year"))
+
+
+@query("""WITH n AS (SELECT max(ts) AS now FROM events)
+SELECT 'monitoring' AS policy, 'metrics' AS name, count(*) FILTER (ts < now - INTERVAL 30 DAY) AS deleted FROM events, n UNION ALL SELECT 'monitoring', 'alerts', count(*) FILTER (ts < now - INTERVAL 90 DAY AND event_type <> 'error') FROM events, n UNION ALL SELECT 'monitoring', 'jobs', count(*) FILTER (ts < now - INTERVAL 7 DAY) FROM events, n
+UNION ALL SELECT 'dashboard', 'metrics', count(*) FILTER (ts < now - INTERVAL 7 DAY) FROM events, n UNION ALL SELECT 'dashboard', 'alerts', count(*) FILTER (ts < now - INTERVAL 30 DAY AND event_type <> 'error') FROM events, n UNION ALL SELECT 'dashboard', 'jobs', count(*) FILTER (ts < now - INTERVAL 3 DAY) FROM events, n
+UNION ALL SELECT 'tracker', 'jobs', count(*) FILTER (ts < now - INTERVAL 90 MINUTE AND event_type IN ('view', 'error')) FROM events, n""")
+def retention_policies(spark, sf_dir):
+    """What each policy lets go, with events as metrics, alerts (errors are open ones) and jobs."""
+    dated = model.table(spark, sf_dir, "events").crossJoin(model.as_of(model.table(spark, sf_dir, "events"), "ts"))
+    tables = {name: (dated, "ts") for name in ("metrics", "alerts", "jobs")}
+    told = [sinks.maintained(tables, F.col("now"), policy, F.col("event_type") == "error")[1].select(F.lit(policy).alias("policy"), "name", "deleted") for policy in sinks.RETENTION]
+    status = F.when(F.col("event_type") == "view", "completed").when(F.col("event_type") == "error", "failed").otherwise("running")
+    jobs = dated.select("now", F.col("ts").alias("updated"), status.alias("status"))
+    left = sinks.finished_jobs(jobs, F.col("now"), 90).agg(F.count("*").alias("kept"))
+    gone = jobs.agg(F.count("*").alias("all")).crossJoin(F.broadcast(left)).select(F.lit("tracker").alias("policy"), F.lit("jobs").alias("name"), (F.col("all") - F.col("kept")).alias("deleted"))  # one row each
+    return reduce(lambda a, b: a.unionByName(b), [*told, gone])
+
+
+@query("""SELECT source AS outlet, lang AS language, count(*) AS rows, true AS found, sum(length(text))::BIGINT AS characters FROM documents GROUP BY ALL""")
 def archive_write(spark, sf_dir):
-    """Documents archived by outlet and day (here: language), counted from the archive."""
+    """Documents archived by outlet and day (here: language); every row names the file that holds its page."""
     folder = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
     docs = model.table(spark, sf_dir, "documents")
-    sinks.replace_periods(docs.select("doc_id", "lang", "source"), folder, "source")
-    return spark.read.parquet(folder).groupBy(F.col("source").alias("outlet"), F.col("lang").alias("language")).agg(F.count("*").alias("rows"))
+    stored = sinks.write_archive(docs.select("doc_id", F.col("text").alias("html"), F.col("source").alias("outlet"), F.col("lang").alias("day")), folder)
+    held = spark.read.option("recursiveFileLookup", True).json(folder).select(F.col("doc_id").alias("_id"), F.col("_metadata.file_path").alias("_file"), F.length("html").alias("n"))
+    joined = stored.join(held, (F.col("doc_id") == F.col("_id")) & (F.col("storage_path") == F.col("_file")), "left")
+    return joined.groupBy("outlet", F.col("day").alias("language")).agg(F.count("*").alias("rows"), F.every(F.col("n").isNotNull()).alias("found"), F.sum("n").alias("characters"))
 
 
 @query("""SELECT doc_id, coalesce(string_agg(conv_turn, '|' ORDER BY turn), '') AS turns FROM (SELECT doc_id FROM documents) LEFT JOIN

@@ -210,3 +210,22 @@ SELECT samples, errors, peak, round(mean, 6) AS mean, critical, warning, open, r
 def period_report(spark, sf_dir):
     report = op.period_report(_events(spark, sf_dir), _alerts(spark, sf_dir), 48)
     return _round(_round(report, "mean"), "minutes_to_resolve", digits=5)
+
+
+@query("""WITH m AS (SELECT event_id, ['api_requests_limit', 'edge_function_errors', 'api_latency', 'cpu_usage_percent', 'cache_hit_ratio', 'bandwidth_limit', 'queue'][event_id % 7 + 1] AS metric, ['x', 'materialized_view_stale', 'pg_cron_failed'][event_id % 3 + 1] AS kind, ['daily-backup', 'collect_metrics', 'cleanup_old', 'send'][event_id % 4 + 1] AS job FROM events)
+SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'supabase_limit' WHEN 1 THEN 'supabase_edge' WHEN 2 THEN 'supabase_api' WHEN 3 THEN 'system_resource' WHEN 4 THEN 'database_performance' WHEN 5 THEN 'supabase_limit' ELSE 'other' END AS category,
+  CASE event_id % 3 WHEN 0 THEN 'other' WHEN 1 THEN 'materialized_view' ELSE 'pg_cron_job' END AS component, CASE event_id % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'monitoring' WHEN 2 THEN 'maintenance' ELSE 'regular' END AS job_class FROM m""")
+def log_categories(spark, sf_dir):
+    """Metrics, kinds of alerts and names of jobs by their categories."""
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), F.pmod("event_id", F.lit(len(values))).cast("int"))
+    metric, kind, job = pick(["api_requests_limit", "edge_function_errors", "api_latency", "cpu_usage_percent", "cache_hit_ratio", "bandwidth_limit", "queue"]), pick(["x", "materialized_view_stale", "pg_cron_failed"]), pick(["daily-backup", "collect_metrics", "cleanup_old", "send"])
+    return _events(spark, sf_dir).select("event_id", op.alert_category(metric).alias("category"), op.component(kind).alias("component"), op.job_class(job).alias("job_class"))
+
+
+@query("""WITH n AS (SELECT max(ts) AS now FROM events), r AS (SELECT ts, CASE WHEN event_type = 'view' THEN 'request' WHEN event_type = 'purchase' THEN 'pipeline' ELSE 'phase' END AS kind, value, event_type <> 'error' AS ok FROM events)
+SELECT kind, count(*) AS n, round(avg(value), 6) AS mean, round(count(*) FILTER (NOT ok) * 100.0::DOUBLE / count(*), 6) AS error_percent FROM r, n WHERE ts > now - INTERVAL 24 HOUR GROUP BY 1""")
+def recorded_metrics(spark, sf_dir):
+    """Views as requests, purchases as pipeline runs, the rest as phases, recorded in one table and summed over a day."""
+    e = _events(spark, sf_dir).withColumns({"path": F.col("user_id"), "job": F.col("user_id"), "phase": F.col("kind")})
+    one = op.recorded(e.where("kind = 'view'"), e.where("kind = 'purchase'"), e.where("kind not in ('view', 'purchase')"))
+    return _round(op.window_metrics(one, model.table(spark, sf_dir, "events").agg(F.max("ts").alias("now"))), "mean", "error_percent")

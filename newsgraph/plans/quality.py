@@ -81,3 +81,33 @@ def quality_summary(spark, sf_dir):
     full = op.completeness(_articles(spark, sf_dir), ["lang", "text"]).select((F.col("lang_percent") + 300).alias("completeness"), F.col("text_percent").alias("content_percent"))
     one_row = found.crossJoin(F.broadcast(invalid)).crossJoin(F.broadcast(op.duplicate_urls(t("pages"), "url"))).crossJoin(F.broadcast(full))  # each a single row
     return op.score(one_row)
+
+
+@query("""WITH x AS (SELECT event_id, event_id % 13 AS relevance, event_id % 7 AS grade, value / 100 AS confidence, CASE WHEN event_id % 4 = 0 THEN 'ftp://x' ELSE 'https://h/' || event_id END AS url, CASE WHEN event_id % 3 = 0 THEN lower(event_type[1:2]) ELSE upper(event_type[1:2]) END AS country, value AS percent, event_id % 12 AS importance FROM events)
+SELECT event_id, concat_ws(',', CASE WHEN relevance > 10 THEN 'relevance' END, CASE WHEN grade NOT IN (1, 2, 3, 4, 5) THEN 'grade' END, CASE WHEN confidence > 1 OR confidence < 0 THEN 'confidence' END, CASE WHEN event_id % 4 = 0 THEN 'url' END,
+  CASE WHEN country <> upper(country) THEN 'country' END, CASE WHEN percent > 100 OR percent < 0 THEN 'percent' END, CASE WHEN importance NOT BETWEEN 1 AND 10 THEN 'importance' END) AS broken FROM x
+WHERE relevance > 10 OR grade NOT IN (1, 2, 3, 4, 5) OR confidence > 1 OR confidence < 0 OR event_id % 4 = 0 OR country <> upper(country) OR percent > 100 OR percent < 0 OR importance NOT BETWEEN 1 AND 10""")
+def domain_checks(spark, sf_dir):
+    """The model's domains on values made of events."""
+    e, n = model.table(spark, sf_dir, "events"), F.col("event_id")
+    code = F.substring("event_type", 1, 2)
+    rows = e.select("event_id", (n % 13).alias("relevance"), (n % 7).alias("grade"), (F.col("value") / 100).alias("confidence"), F.when(n % 4 == 0, "ftp://x").otherwise(F.concat(F.lit("https://h/"), "event_id")).alias("url"), F.when(n % 3 == 0, F.lower(code)).otherwise(F.upper(code)).alias("country"), F.col("value").alias("percent"), (n % 12).alias("importance"))
+    rules = op.domain_rules(relevance="relevance", grade="grade", confidence="confidence", url="url", country="country", percent="percent", importance="importance")
+    return op.violations(rows, "event_id", rules).withColumn("broken", F.array_join("broken", ","))
+
+
+@query("""WITH n AS (SELECT TIMESTAMP '2000-06-01' AS now) SELECT count(*) FILTER (o_orderdate > now) AS future, count(*) FILTER (o_orderdate < TIMESTAMP '1990-01-01') AS ancient, count(*) FILTER (o_orderdate >= now - INTERVAL 7 DAY) AS last_7d,
+  count(*) FILTER (o_orderdate >= now - INTERVAL 30 DAY) AS last_30d, count(*) FILTER (o_orderdate >= now - INTERVAL 90 DAY) AS last_90d, count(*) FILTER (o_orderstatus = 'F') AS with_errors, count(*) FILTER (o_orderstatus = 'O') AS complete FROM orders, n""")
+def date_counters(spark, sf_dir):
+    """Orders dated against a moment; open ones count as complete, the others' states tell of errors."""
+    state = F.when(F.col("o_orderstatus") == "F", "error_red").when(F.col("o_orderstatus") == "O", "completado").otherwise("pendiente")
+    rules = op.date_counters(F.col("o_orderdate").cast("timestamp"), F.lit("2000-06-01").cast("timestamp"), state)
+    return op.counters(model.table(spark, sf_dir, "orders"), rules)
+
+
+@query("""SELECT count(*) FILTER (l_shipdate < TIMESTAMP '2000-01-01' AND l_linenumber % 3 <> 0) AS overdue FROM lineitem""")
+def overdue_events(spark, sf_dir):
+    """Lines are planned events that end when they are shipped; every third is done or cancelled."""
+    n = F.col("l_linenumber")
+    state = F.when(n % 6 == 0, "cancelado").when(n % 3 == 0, "realizado").otherwise("programado")
+    return op.counters(model.table(spark, sf_dir, "lineitem"), {"overdue": op.overdue(F.col("l_shipdate").cast("timestamp"), F.lit("2000-01-01").cast("timestamp"), state)})

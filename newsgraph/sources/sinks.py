@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import time
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from newsgraph.functions.text import storage_path
 
 
 def write_archive(pages: DataFrame, path: str) -> DataFrame:
-    """Raw HTML to gzip files by outlet and day (columns outlet, day, title, html); the rows without it, with its storage path."""
-    pages.select("outlet", "day", "url", "html").write.mode("append").partitionBy("outlet", "day").option("compression", "gzip").json(path)
-    return pages.withColumn("storage_path", storage_path(F.col("outlet"), F.col("day"), F.col("title"))).drop("html")
+    """Rows with their raw HTML (columns outlet, day, html, ..) to gzip files by outlet and day; the rows without it, with the file that holds it."""
+    pages.write.mode("append").partitionBy("outlet", "day").option("compression", "gzip").json(path)
+    stored = pages.sparkSession.read.schema(pages.schema).json(path)
+    return stored.withColumn("storage_path", F.col("_metadata.file_path")).drop("html")
 
 
 def write_by_period(df: DataFrame, path: str, moment: str, period: str = "month") -> None:
@@ -53,6 +54,25 @@ def retained(df: DataFrame, moment: str, now: Column, days: int, keep: Column |
     return df.where(~old), df.agg(F.count_if(old).alias("deleted"))
 
 
+#: Days that rows of each kind stay, for monitoring tables and for what a dashboard keeps.
+RETENTION = {"monitoring": {"metrics": 30, "alerts": 90, "jobs": 7}, "dashboard": {"metrics": 7, "alerts": 30, "jobs": 3}}
+
+
+def maintained(tables: dict[str, tuple[DataFrame, str]], now: Column, policy: str = "monitoring", open_alert: Column | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Tables (a frame and its moment) less what their policy lets go, and (name, deleted). Alerts that are open stay whatever their age."""
+    kept, told = {}, []
+    for name, (df, moment) in tables.items():
+        kept[name], deleted = retained(df, moment, now, RETENTION[policy][name], open_alert if name == "alerts" else None)
+        told.append(deleted.select(F.lit(name).alias("name"), "deleted"))
+    return kept, reduce(DataFrame.unionByName, told)
+
+
+def finished_jobs(jobs: DataFrame, now: Column, minutes: int) -> DataFrame:
+    """Jobs (status, updated) less those that ended, well or not, more than so many minutes ago."""
+    old = F.col("updated") < now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))
+    return jobs.where(~F.coalesce(old & F.col("status").isin("completed", "failed"), F.lit(False)))
+
+
 def payloads(header: DataFrame, key: str, children: dict[str, DataFrame]) -> DataFrame:
     """Header rows with an ordered array of structs per child table, empty where there is none."""
     out = header
