@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgraph.plans.model import as_of
+from newsgraph.session import settle
 
 
 def _since(df: DataFrame, column: str, days: int) -> DataFrame:
@@ -46,20 +48,67 @@ def patterns(series: DataFrame) -> DataFrame:
     return grouped.withColumn("variation", variation).withColumn("level", level(F.col("mean")))
 
 
-def correlations(series: DataFrame, least_weeks: int = 4, least: float = 0.2) -> DataFrame:
+#: Entities of a block whose pairs are judged together.
+ROWS = 1024
+
+
+def _matrix(side, days: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, and per entity and day whether and how often it was mentioned, of packed rows (entity, points)."""
+    points = side["points"].combine_chunks()
+    flat, sizes = points.flatten(), points.value_lengths().to_numpy()
+    row, column = np.repeat(np.arange(len(sizes)), sizes), np.searchsorted(days, flat.field("day").to_numpy())
+    mask, x = np.zeros((len(sizes), len(days))), np.zeros((len(sizes), len(days)))
+    mask[row, column], x[row, column] = 1, flat.field("mentions").to_numpy()
+    return side["entity"].to_numpy(), mask, x
+
+
+def pair_figures(ma, xa, mb, xb, days: np.ndarray) -> dict[str, np.ndarray]:
+    """For all pairs of two blocks, over the days that both have: weeks, covariance, spreads and trends, from sums of whole numbers, which are exact."""
+    n = ma @ mb.T
+    sa, sb, saa, sbb, sab = xa @ mb.T, ma @ xb.T, xa**2 @ mb.T, ma @ (xb**2).T, xa @ xb.T
+    sd, sdd, sda, sdb = (ma * days) @ mb.T, (ma * days**2) @ mb.T, (xa * days) @ mb.T, (ma * days) @ xb.T
+    va, vb, vd = n * saa - sa**2, n * sbb - sb**2, n * sdd - sd**2  # n squared times a population variance
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = np.where((va > 0) & (vb > 0), (n * sab - sa * sb) / n**2 / np.sqrt(va / n / (n - 1) * vb / n / (n - 1)), 0.0)
+        trend = lambda v, c, s: np.where((vd > 0) & (v > 0), (n * c - sd * s) / np.sqrt(np.maximum(vd, 1e-300) * np.maximum(v, 1e-300)), np.nan)
+        return {"weeks": n, "r": r, "mean_a": sa / n, "mean_b": sb / n, "trend_a": trend(va, sda, sa), "trend_b": trend(vb, sdb, sb)}
+
+
+def correlations(series: DataFrame, least_weeks: int = 4, least: float = 0.2, rows: int = ROWS) -> DataFrame:
     """Pairs a < b that share at least `least_weeks` weeks and correlate by at least `least` either way.
 
-    The coefficient divides a population covariance by sample deviations, as the model defines it.
+    The coefficient divides a population covariance by sample deviations, as the model defines it. An entity is one row with
+    its weeks; blocks of about `rows` entities meet as matrices, so no week gathers its pairs, and only pairs that count leave a task.
     """
-    side = lambda s: series.select("week", F.col("entity").alias(s), F.col("mentions").cast("double").alias(f"m_{s}"))
-    a, b, day = F.col("m_a"), F.col("m_b"), _day(F.col("week"))
-    pairs = side("a").join(side("b"), "week").where("a < b").groupBy("a", "b").agg(
-        F.count("*").alias("weeks"), F.covar_pop(a, b).alias("_cov"), F.stddev_samp(a).alias("_sa"), F.stddev_samp(b).alias("_sb"),
-        F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), guarded_corr(day, a).alias("trend_a"), guarded_corr(day, b).alias("trend_b"),
-        F.min("week").alias("first_week"), F.max("week").alias("last_week"),
-    ).where(F.col("weeks") >= least_weeks)
-    r = F.when((F.col("_sa") > 0) & (F.col("_sb") > 0), F.round(F.try_divide("_cov", F.col("_sa") * F.col("_sb")), 9)).otherwise(0.0)  # rounded: classes don't hang on a last bit
-    kept = pairs.withColumn("coefficient", r).where(F.abs("coefficient") >= least).drop("_cov", "_sa", "_sb")
+    packed = series.groupBy("entity").agg(F.collect_list(F.struct(F.unix_date("week").alias("day"), F.col("mentions").cast("double").alias("mentions"))).alias("points"))  # an entity's weeks
+    packed = settle(packed.where(F.size("points") >= least_weeks))
+    blocks = max(1, -(-packed.count() // rows))
+    dealt = packed.withColumn("block", F.pmod(F.xxhash64("entity"), F.lit(blocks)).cast("int"))
+    left = dealt.select(F.col("block").alias("i"), F.explode(F.sequence("block", F.lit(blocks - 1))).alias("j"), F.col("entity").alias("entity"), F.col("points").alias("points"))
+    right = dealt.select(F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("entity").alias("entity"), F.col("points").alias("points"))
+    names = ("a", "b", "weeks", "coefficient", "mean_a", "mean_b", "trend_a", "trend_b", "first_day", "last_day")
+
+    def judge(key, a, b):
+        import pyarrow as pa
+
+        kinds = (pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * 5, pa.int32(), pa.int32())
+        if not a.num_rows or not b.num_rows:
+            return pa.table({n: pa.array([], k) for n, k in zip(names, kinds, strict=True)})
+        days = np.unique(np.concatenate([x["points"].combine_chunks().flatten().field("day").to_numpy() for x in (a, b)]))
+        (ia, ma, xa), (ib, mb, xb) = _matrix(a, days), _matrix(b, days)
+        f = pair_figures(ma, xa, mb, xb, days.astype(float))
+        kept = (f["weeks"] >= least_weeks) & (np.abs(f["r"]) >= least - 1e-6) & ((ia[:, None] < ib[None, :]) if key[0].as_py() == key[1].as_py() else True)
+        i, j = np.nonzero(kept)
+        both = (ma[i] > 0) & (mb[j] > 0)
+        first, last = days[both.argmax(axis=1)], days[both.shape[1] - 1 - both[:, ::-1].argmax(axis=1)]
+        turned = ia[i] > ib[j]
+        pick = lambda x, y: np.where(turned, f[y][i, j], f[x][i, j])
+        values = (np.minimum(ia[i], ib[j]), np.maximum(ia[i], ib[j]), f["weeks"][i, j].astype(np.int64), f["r"][i, j], pick("mean_a", "mean_b"), pick("mean_b", "mean_a"), pick("trend_a", "trend_b"), pick("trend_b", "trend_a"), first, last)
+        return pa.table({n: pa.array(v, k, from_pandas=True) for n, v, k in zip(names, values, kinds, strict=True)})
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(judge, "a long, b long, weeks long, coefficient double, mean_a double, mean_b double, trend_a double, trend_b double, first_day int, last_day int")
+    kept = found.withColumn("coefficient", F.round("coefficient", 9)).where(F.abs("coefficient") >= least)  # rounded: classes don't hang on a last bit
+    kept = kept.select("a", "b", "weeks", "mean_a", "mean_b", "trend_a", "trend_b", F.date_from_unix_date("first_day").alias("first_week"), F.date_from_unix_date("last_day").alias("last_week"), "coefficient")
     size = F.abs("coefficient")
     strength = F.when(size >= 0.8, "muy_fuerte").when(size >= 0.6, "fuerte").when(size >= 0.4, "moderada").when(size >= 0.2, "debil").otherwise("muy_debil")
     sign = F.when(F.col("coefficient") > 0, "positiva").when(F.col("coefficient") < 0, "negativa").otherwise("neutral")
