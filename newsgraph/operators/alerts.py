@@ -27,21 +27,39 @@ def threshold_alerts(samples: DataFrame, thresholds: DataFrame) -> DataFrame:
     return found.withColumn("limit", F.when(F.col("severity") == "critical", F.col("critical")).otherwise(F.col("warning"))).select(*samples.columns, "severity", "limit")
 
 
-def suppressed(alerts: DataFrame, active: DataFrame, within: str) -> DataFrame:
-    """Alerts (ts, metric, ..) without an active one (ts, metric) of their metric in the time before."""
-    old = active.select(F.col("ts").alias("_ts"), F.col("metric").alias("_metric"))
-    recent = (F.col("_ts") <= F.col("ts")) & (F.col("_ts") > F.col("ts") - F.expr(f"INTERVAL {within}"))
-    return alerts.join(old, (F.col("metric") == F.col("_metric")) & recent, "left_anti")
+def _slot(moment: Column, seconds: float) -> Column:
+    """The number of the span of so many seconds that holds a moment."""
+    return F.floor(F.unix_micros(moment.cast("timestamp")) / F.lit(int(seconds * 1e6))).cast("long")
 
 
-def as_of_join(rows: DataFrame, versions: DataFrame, key: str, moment: str, columns: list[str]) -> DataFrame:
-    """rows with the columns of the last version of their key at or before their moment: one union and one window, no range join."""
+def suppressed(alerts: DataFrame, active: DataFrame, seconds: float) -> DataFrame:
+    """Alerts (ts, metric, ..) without an active one (ts, metric) of their metric in the time before.
+
+    Joined by metric and span of that time, in which an active alert and the span after it count, so a metric isn't one task's.
+    """
+    old = active.select(F.col("ts").alias("_ts"), F.col("metric").alias("_metric"), F.explode(F.array(_slot(F.col("ts"), seconds), _slot(F.col("ts"), seconds) + 1)).alias("_slot"))
+    recent = (F.col("_ts") <= F.col("ts")) & (F.unix_micros(F.col("_ts").cast("timestamp")) > F.unix_micros(F.col("ts").cast("timestamp")) - int(seconds * 1e6))
+    return alerts.join(old, (F.col("metric") == F.col("_metric")) & (_slot(F.col("ts"), seconds) == F.col("_slot")) & recent, "left_anti")
+
+
+def as_of_join(rows: DataFrame, versions: DataFrame, key: str, moment: str, columns: list[str], seconds: float = 86_400) -> DataFrame:
+    """rows with the columns of the last version of their key at or before their moment: no range join.
+
+    A key's rows are ordered span by span; what was last before a span is carried into it from a table of spans, so a key
+    isn't one task's.
+    """
     marked = rows.withColumn("_v", F.lit(None).cast(versions.select(F.struct(*columns).alias("s")).schema["s"].dataType)).withColumn("_is", F.lit(1))
     other = [c for c in rows.columns if c not in (key, moment)]
     tagged = versions.select(key, moment, *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in other], F.struct(*columns).alias("_v"), F.lit(0).alias("_is"))
-    both = marked.select(key, moment, *other, "_v", "_is").unionByName(tagged)
-    order = Window.partitionBy(key).orderBy(moment, "_is").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("_last", F.last("_v", ignorenulls=True).over(order)).where("_is = 1").select(*rows.columns, *[F.col(f"_last.{c}").alias(f"last_{c}") for c in columns])
+    both = marked.select(key, moment, *other, "_v", "_is").unionByName(tagged).withColumn("_slot", _slot(F.col(moment), seconds))
+    version = F.col("_is") == 0
+    spans = both.groupBy(F.col(key).alias("_k"), F.col("_slot").alias("_s")).agg(F.max_by(F.when(version, F.col("_v")), F.when(version, F.col(moment))).alias("_own"))
+    earlier = Window.partitionBy("_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)  # a row a span
+    carried = spans.select("_k", "_s", F.last("_own", ignorenulls=True).over(earlier).alias("_carried"))
+    joined = both.join(carried, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_slot") == F.col("_s")))
+    order = Window.partitionBy(key, "_slot").orderBy(moment, "_is").rowsBetween(Window.unboundedPreceding, 0)
+    found = joined.withColumn("_last", F.coalesce(F.last("_v", ignorenulls=True).over(order), "_carried")).where("_is = 1")
+    return found.select(*rows.columns, *[F.col(f"_last.{c}").alias(f"last_{c}") for c in columns])
 
 
 def resolve_back(alerts: DataFrame, samples: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
@@ -184,14 +202,27 @@ def flood_step(state: tuple | None, ts: float, most: int, period: float, escalat
     return (attempts, start, escalated or now), attempts <= most, now
 
 
+def _runs(rows: DataFrame, key: str, gap: float) -> DataFrame:
+    """rows (key, seconds, ..) with _run: a key's rows between gaps longer than `gap` seconds, after which every state starts anew.
+
+    Gaps lie between spans of that length, so a table of spans tells them: only a run without a gap is one task's.
+    """
+    spanned = rows.withColumn("_span", F.floor(F.col("seconds") / F.lit(float(gap))))
+    spans = spanned.groupBy(F.col(key).alias("_k"), F.col("_span").alias("_s")).agg(F.min("seconds").alias("_first"), F.max("seconds").alias("_last"))
+    order = Window.partitionBy("_k").orderBy("_s")  # a row a span
+    fresh = F.coalesce(F.col("_first") - F.lag("_last").over(order) > gap, F.lit(True)).cast("int")
+    numbered = spans.withColumn("_fresh", fresh).select("_k", "_s", F.sum("_fresh").over(order).alias("_run"))
+    return spanned.join(numbered, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_span") == F.col("_s"))).select(*rows.columns, "_run")
+
+
 def flood_control(alerts: DataFrame, key: str, most: int = 3, minutes: float = 60, escalate: int = 5) -> DataFrame:
-    """(id, key, allowed, escalates) of alerts (id, ts, key) in the order of time, per key. A key's alerts are read in batches, with only its state held."""
+    """(id, key, allowed, escalates) of alerts (id, ts, key) in the order of time, per key. A key's runs are read in batches, with only the state held."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None  # rows come sorted by key and time; a key never spans two partitions
+        current, state = None, None  # rows come sorted by key, run and time; a run never spans two partitions
         for b in batches:
             passed, raised = [], []
-            for k, ts in zip(b[key], b["seconds"], strict=True):
+            for k, ts in zip(zip(b[key], b["_run"], strict=True), b["seconds"], strict=True):
                 if k != current:
                     current, state = k, None
                 state, ok, now = flood_step(state, ts, most, minutes * 60, escalate)
@@ -201,7 +232,7 @@ def flood_control(alerts: DataFrame, key: str, most: int = 3, minutes: float = 6
 
     rows = alerts.select("id", key, (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"))
     kind = dict(alerts.dtypes)[key]
-    return rows.repartition(key).sortWithinPartitions(key, "seconds", "id").mapInPandas(run, f"id long, {key} {kind}, allowed boolean, escalates boolean")
+    return _runs(rows, key, minutes * 60).repartition(key, "_run").sortWithinPartitions(key, "_run", "seconds", "id").mapInPandas(run, f"id long, {key} {kind}, allowed boolean, escalates boolean")
 
 
 def throttle(alerts: DataFrame, key: str, seconds: float = 60) -> DataFrame:
@@ -211,7 +242,7 @@ def throttle(alerts: DataFrame, key: str, seconds: float = 60) -> DataFrame:
         current, last = None, float("-inf")
         for b in batches:
             passed = []
-            for k, ts in zip(b[key], b["seconds"], strict=True):
+            for k, ts in zip(zip(b[key], b["_run"], strict=True), b["seconds"], strict=True):
                 if k != current:
                     current, last = k, float("-inf")
                 passed.append(ts - last >= seconds)
@@ -220,4 +251,4 @@ def throttle(alerts: DataFrame, key: str, seconds: float = 60) -> DataFrame:
 
     rows = alerts.select("id", key, (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"))
     kind = dict(alerts.dtypes)[key]
-    return rows.repartition(key).sortWithinPartitions(key, "seconds", "id").mapInPandas(run, f"id long, {key} {kind}, allowed boolean")
+    return _runs(rows, key, seconds).repartition(key, "_run").sortWithinPartitions(key, "_run", "seconds", "id").mapInPandas(run, f"id long, {key} {kind}, allowed boolean")

@@ -17,10 +17,25 @@ def rollup(df: DataFrame, moment: str, unit: str, value: str, *by: str, every_mi
     return grouped.agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.sum(value).alias("total"), F.least(F.lit(100.0), F.count("*") * 100 / F.lit(expected)).alias("uptime"))
 
 
+def numbered(df: DataFrame, by: str, *order: str, seconds: float = 86_400) -> DataFrame:
+    """df with _n: the place of a row among those of its source in the order of a moment and what breaks ties.
+
+    Places are counted within spans of time and added up over a table of spans, so a source isn't one task's.
+    """
+    spanned = df.withColumn("_span", F.floor(F.unix_micros(F.col(order[0]).cast("timestamp")) / F.lit(int(seconds * 1e6))))
+    spans = spanned.groupBy(F.col(by).alias("_k"), F.col("_span").alias("_s")).agg(F.count("*").alias("_c"))
+    before = Window.partitionBy("_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)  # a row a span
+    offsets = spans.select("_k", "_s", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    joined = spanned.join(offsets, F.col(by).eqNullSafe(F.col("_k")) & F.col("_span").eqNullSafe(F.col("_s")))
+    place = F.row_number().over(Window.partitionBy(by, "_span").orderBy(*order)) + F.col("_before")
+    return joined.withColumn("_n", place).select(*df.columns, "_n")
+
+
 def changes(df: DataFrame, by: str, moment: str, value: str, back: int = 1, tie: str | None = None) -> DataFrame:
-    """df with before, delta and percent against the sample `back` rows earlier of the same source."""
-    order = Window.partitionBy(by).orderBy(*[c for c in (moment, tie) if c])
-    out = df.withColumn("before", F.lag(value, back).over(order))
+    """df with before, delta and percent against the sample `back` rows earlier of the same source, joined by its place."""
+    placed = numbered(df, by, *[c for c in (moment, tie) if c])
+    earlier = placed.select(F.col(by).alias("_by"), (F.col("_n") + back).alias("_at"), F.col(value).alias("before"))
+    out = placed.join(earlier, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_n") == F.col("_at")), "left").select(*df.columns, "before")
     return out.withColumn("delta", F.col(value) - F.col("before")).withColumn("percent", F.try_divide(F.col("delta") * 100.0, F.col("before")))
 
 

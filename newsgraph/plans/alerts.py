@@ -24,7 +24,7 @@ def threshold_alerts(spark, sf_dir):
 @query(f"""WITH {_ALERTS} SELECT id FROM a WHERE severity = 'warning' AND NOT EXISTS (SELECT 1 FROM a b WHERE b.metric = a.metric AND b.severity = 'critical' AND b.ts <= a.ts AND b.ts > a.ts - INTERVAL 2 HOUR)""")
 def alert_suppression(spark, sf_dir):
     alerts = _alerts(spark, sf_dir)
-    return op.suppressed(alerts.where("severity = 'warning'"), alerts.where("severity = 'critical'"), "2 HOURS").select("id")
+    return op.suppressed(alerts.where("severity = 'warning'"), alerts.where("severity = 'critical'"), 7200).select("id")
 
 
 @query(f"""WITH {_ALERTS}, v AS (SELECT 'm' || (user_id % 7) AS metric, ts, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY 1, 2)
@@ -112,12 +112,20 @@ def channel_cooldowns(spark, sf_dir):
     return op.channel_decisions(_alerts(spark, sf_dir), channels)
 
 
-@query()
+_ORDERED = f"""{_ALERTS}, o AS (SELECT id, metric, epoch_us(ts) AS t, row_number() OVER (PARTITION BY metric ORDER BY ts, id) AS n FROM a)"""
+
+
+@query(f"""WITH RECURSIVE {_ORDERED}, r AS (SELECT id, metric, n, t AS start, 1 AS attempts, false AS told, false AS escalates FROM o WHERE n = 1
+UNION ALL SELECT o.id, o.metric, o.n, CASE WHEN o.t > start + 36000000000 THEN o.t ELSE start END, CASE WHEN o.t > start + 36000000000 THEN 1 ELSE attempts + 1 END,
+  CASE WHEN o.t > start + 36000000000 THEN false ELSE told OR attempts + 1 >= 5 END, o.t <= start + 36000000000 AND NOT told AND attempts + 1 >= 5 FROM r JOIN o ON o.metric = r.metric AND o.n = r.n + 1)
+SELECT id, metric, attempts <= 3 AS allowed, escalates FROM r""")
 def flood_control(spark, sf_dir):
-    """Order-dependent per metric: tested against a brute-force version."""
+    """Three alerts a metric pass in ten hours from the first; the fifth escalates."""
     return op.flood_control(_alerts(spark, sf_dir).select("id", "ts", "metric"), "metric", minutes=600)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ORDERED}, r AS (SELECT id, metric, n, t AS last, true AS allowed FROM o WHERE n = 1
+UNION ALL SELECT o.id, o.metric, o.n, CASE WHEN o.t - last >= 3600000000 THEN o.t ELSE last END, o.t - last >= 3600000000 FROM r JOIN o ON o.metric = r.metric AND o.n = r.n + 1)
+SELECT id, metric, allowed FROM r""")
 def throttle(spark, sf_dir):
     return op.throttle(_alerts(spark, sf_dir).select("id", "ts", "metric"), "metric", 3600)

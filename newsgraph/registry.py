@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from newsgraph.plans import alerts, articles, extraction, feeds, graph, monitoring, quality, reports, review, series, similar, streams, text, vectors  # noqa: E402, F401
+import newsgraph.plans  # noqa: E402, F401  (registers all queries)

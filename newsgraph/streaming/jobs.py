@@ -16,10 +16,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from newsgraph.operators.alerts import flood_step
 
 
-def source(spark: SparkSession, path: str, moment: str = "ts", watermark: str = "1 hour") -> DataFrame:
-    """A Parquet table as a stream, its moment as a timestamp with a watermark."""
+def source(spark: SparkSession, path: str, moment: str = "ts", watermark: str = "1 hour", files: int = 100) -> DataFrame:
+    """A Parquet table as a stream, so many files a batch (which bounds what a key has in one), its moment as a timestamp with a watermark."""
     schema = spark.read.parquet(path).schema
-    rows = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, so that it may be one file
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, so that it may be one file
     return rows.withColumn(moment, F.col(moment).cast("timestamp")).withWatermark(moment, watermark)
 
 

@@ -300,3 +300,41 @@ def test_feeds(spark, tmp_path):
     assert [(x["status"], x["rows"], x["change"]) for x in log] == [("SUCCESS", 3, 2), ("ERROR", None, None)]
     kept, gone = sinks.retained(spark.createDataFrame([(dt.datetime(2024, 1, 1), "open"), (dt.datetime(2024, 1, 1), "closed"), (None, "closed")], "ts timestamp, s string"), "ts", F.lit("2024-03-01").cast("timestamp"), 30, F.col("s") == "open")
     assert kept.count() == 2 and gone.first().deleted == 1
+
+
+def test_alerts_in_the_order_of_time(spark):
+    """Flood control, throttling, suppression and readings as of a moment, against plain loops over each key."""
+    import random
+
+    from newsgraph.operators import monitoring
+
+    r = random.Random(5)
+    start = dt.datetime(2024, 1, 1)
+    rows, t = [], 0.0
+    for i in range(600):
+        t += r.choice([0, 1, 30, 400, 90_000 if i % 50 == 0 else 10])
+        rows.append((i, start + dt.timedelta(seconds=t), r.choice("ab")))
+    df = spark.createDataFrame(rows, "id long, ts timestamp, metric string")
+    want_flood, want_throttle = {}, {}
+    for m in "ab":
+        state, last = None, float("-inf")
+        for i, ts, _ in sorted((x for x in rows if x[2] == m), key=lambda x: (x[1], x[0])):
+            seconds = ts.timestamp()
+            state, ok, up = alerts.flood_step(state, seconds, 3, 3600, 5)
+            want_flood[i] = (ok, up)
+            want_throttle[i] = seconds - last >= 600
+            last = seconds if want_throttle[i] else last
+    assert {x.id: (x.allowed, x.escalates) for x in alerts.flood_control(df, "metric", minutes=60).collect()} == want_flood
+    assert {x.id: x.allowed for x in alerts.throttle(df, "metric", 600).collect()} == want_throttle
+    old = [x for x in rows if x[0] % 7 == 0]
+    active = spark.createDataFrame(old, "id long, ts timestamp, metric string")
+    left = {x.id for x in alerts.suppressed(df, active, 900).collect()}
+    assert left == {i for i, ts, m in rows if not any(n == m and ts - dt.timedelta(seconds=900) < u <= ts for _, u, n in old)}
+    versions = spark.createDataFrame([(m, u, i) for i, u, m in {(m, u): (i, u, m) for i, u, m in old}.values()], "metric string, ts timestamp, value long")
+    found = {x.id: x.last_value for x in alerts.as_of_join(df.select("metric", "ts", "id"), versions, "metric", "ts", ["value"], seconds=1000).collect()}
+    newest = {(m, u): i for i, u, m in old}
+    assert found == {i: max(((u, v) for (n, u), v in newest.items() if n == m and u <= ts), default=(None, None))[1] for i, ts, m in rows}
+    lagged = {x.id: x.before for x in monitoring.changes(df.withColumn("v", F.col("id") * 1.0), "metric", "ts", "v", 3, "id").collect()}
+    for m in "ab":
+        own = sorted((x for x in rows if x[2] == m), key=lambda x: (x[1], x[0]))
+        assert [lagged[x[0]] for x in own] == [None, None, None, *[float(x[0]) for x in own[:-3]]]
