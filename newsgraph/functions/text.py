@@ -44,10 +44,11 @@ def clean_loaded(c: Column) -> Column:
 def clean_stored(c: Column) -> Column:
     """As fields are cleaned: compatible forms (NFKC), quotes made plain, zero-width characters out, wrongly decoded letters put right."""
     c = normal(c, "NFKC")
-    for wrong, right in MOJIBAKE.items():
-        c = F.replace(c, F.lit(wrong), F.lit(right))
-    c = F.regexp_replace(F.regexp_replace(c, "[“”„«»]", '"'), "[‘’‚]", "'")
-    return collapse(F.regexp_replace(c, "[​‌‍﻿]", ""))
+    c = F.translate(c, "“”„«»‘’‚\u200b\u200c\u200d\ufeff", '"' * 5 + "'" * 3)  # what has no counterpart goes
+    right = c
+    for wrong, letter in MOJIBAKE.items():
+        right = F.replace(right, F.lit(wrong), F.lit(letter))
+    return collapse(F.when(c.contains("Ã"), right).otherwise(c))
 
 
 def clean_piped(c: Column, lines: bool = False) -> Column:

@@ -338,3 +338,70 @@ def test_alerts_in_the_order_of_time(spark):
     for m in "ab":
         own = sorted((x for x in rows if x[2] == m), key=lambda x: (x[1], x[0]))
         assert [lagged[x[0]] for x in own] == [None, None, None, *[float(x[0]) for x in own[:-3]]]
+
+
+def test_stream_forgets_after_its_time_to_live(spark, tmp_path):
+    """Files come one a batch, in order: a key is dropped within a day of its first row, and comes again later."""
+    import time
+
+    from newsgraph.streaming import jobs
+
+    day = lambda d, h=0: dt.datetime(2024, 1, d, h)
+    for rows in ([("a", day(1))], [("a", day(1, 12)), ("b", day(5))], [("b", day(5, 1))], [("a", day(6)), ("a", day(6, 1))]):
+        spark.createDataFrame(rows, "key string, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)  # files are taken in the order of their times
+    seen = jobs.first_seen(jobs.source(spark, f"{tmp_path}/in", watermark="24 hours", files=1), "key")
+    got = jobs.drain(seen, f"file://{tmp_path}/out").collect()
+    assert sorted((r.key, r.ts.day) for r in got) == [("a", 1), ("a", 6), ("b", 5)]
+
+
+def test_ingest_sets_aside_what_cannot_be_read(spark, tmp_path):
+    """Objects, arrays and broken files, on two runs of which the second has one new file."""
+    import gzip
+    import json
+
+    from newsgraph.sources import feeds
+
+    put = lambda name, text: (tmp_path / "in" / name).write_bytes(gzip.compress(text.encode()))
+    (tmp_path / "in").mkdir()
+    put("one.json.gz", json.dumps({"url": "http://a/1", "body": "x" * 50}))
+    put("two.json.gz", json.dumps([{"url": "http://a/2", "body": "y" * 50}, {"url": "http://a/3", "body": "short"}]))
+    put("bad.json.gz", "{ no json")
+    source, target = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    feeds.ingest(spark, source, target, least=10)
+    put("new.json.gz", json.dumps({"url": "http://a/4", "body": "z" * 50}))
+    feeds.ingest(spark, source, target, least=10)
+    assert sorted((r.url, r.file) for r in spark.read.parquet(f"{target}/rows").collect()) == [("http://a/1", "one.json.gz"), ("http://a/2", "two.json.gz"), ("http://a/4", "new.json.gz")]
+    assert sorted((r.file, r.reason) for r in spark.read.parquet(f"{target}/errors").collect()) == [("bad.json.gz", "unreadable"), ("two.json.gz", "short_body")]
+    assert sorted(r.url for r in feeds.read_articles(spark, source).collect()) == ["http://a/1", "http://a/2", "http://a/3", "http://a/4"]
+
+
+def test_reports(spark):
+    from newsgraph.operators import reports
+
+    now = spark.createDataFrame([(dt.datetime(2024, 1, 2),)], "now timestamp")
+    samples = spark.createDataFrame([(dt.datetime(2024, 1, 1, h), 91.0, 50.0, 10.0, 1.0, 1.0) for h in range(12, 24)] + [(dt.datetime(2023, 1, 1), 99.0, 99.0, 99.0, 99.0, 99.0)], "ts timestamp, cpu double, memory double, connections double, api double, storage double")
+    alerts = spark.createDataFrame([(dt.datetime(2024, 1, 1, 20), "warning", None), (dt.datetime(2023, 1, 1), "critical", None)], "ts timestamp, severity string, resolved_at timestamp")
+    row = reports.executive(samples, alerts, now, 24, minutes=60).first()
+    assert (row.uptime, row.peak_cpu, row.alerts, row.health, row.hours_open, row.advice[0]) == (50.0, 91.0, 1, "monitoring_recommended", 4.0, "escalar_recursos")
+    assert reports.executive(samples.limit(0), alerts.limit(0), now, 24).first().advice[0] == "sistema_optimo"
+    snapshots = spark.createDataFrame([("a", 0, 5, dt.datetime(2024, 1, 1, 23)), ("b", 9, 2 << 30, dt.datetime(2024, 1, 1, 19)), ("c", 9, 5, None)], "name string, rows long, bytes long, refreshed timestamp")
+    told = reports.snapshot_status(snapshots, F.lit("2024-01-02").cast("timestamp"))
+    assert {r.name: (r.status, r.age, r.freshness) for r in told.collect()} == {"a": ("warning", "fresh", "fresh"), "b": ("warning", "recent", "acceptable"), "c": ("healthy", "never", "never_refreshed")}
+    sizes = reports.stored_sizes(spark, {"documents": "/root/testdata/sf0.001/documents.parquet"}).first()
+    assert sizes.name == "documents" and sizes.bytes > 1000 and sizes.written is not None
+
+
+def test_percentiles_are_exact(spark):
+    """Ties, small and large groups, nulls: what Spark's own exact percentile gives."""
+    import random
+
+    from newsgraph.operators import monitoring
+
+    r = random.Random(8)
+    rows = [("a", float(r.randint(0, 50))) for _ in range(3000)] + [("b", r.random()) for _ in range(40_000)] + [("c", 1.0), ("c", 2.0), ("d", None), ("e", 5.0)] + [("b", 0.95)] * 500
+    df = spark.createDataFrame(rows, "k string, v double")
+    shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
+    got = {x.k: [x[n] for n in shares] for x in monitoring.percentiles(df, "k", "v", shares).collect()}
+    want = {x.k: x.p for x in df.groupBy("k").agg(F.percentile("v", list(shares.values())).alias("p")).collect() if x.p}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
