@@ -118,8 +118,10 @@ def percentiles(df: DataFrame, by: str, value: str, shares: dict[str, float], ba
     rows = df.select(F.col(by).alias("_k"), F.col(value).cast("double").alias("_x")).where("_x is not null")
     around = [x for p in shares.values() for x in (max(0.0, p - band), min(1.0, p + band))]
     known = rows.groupBy("_k").agg(F.count("*").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"), F.percentile_approx("_x", around, accuracy).alias("_q"))
-    wide = accuracy * band > 2  # the summary's own error is within the band
-    edge = lambda i, far: F.when(F.lit(not wide or around[i] in (0.0, 1.0)), F.col(far)).otherwise(F.col("_q")[i])
+    if accuracy * band < 2:
+        raise ValueError("the summary's own error has to lie within the band")
+    few = F.col("_n") * band < 5  # neighbours may lie outside the band: the whole group, 5 / band values at most, is in it
+    edge = lambda i, far: F.when(few | F.lit(around[i] in (0.0, 1.0)), F.col(far)).otherwise(F.col("_q")[i])
     bands = F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(p) * (F.col("_n") - 1)).alias("place"), edge(2 * i, "_min").alias("low"), edge(2 * i + 1, "_max").alias("high")) for i, (name, p) in enumerate(shares.items())])
     asked = rows.join(known.select(F.col("_k").alias("_g"), bands.alias("_b")), F.col("_k").eqNullSafe(F.col("_g"))).select("_k", "_x", F.inline("_b"))
     below = asked.groupBy("_k", "name").agg(F.count_if(F.col("_x") < F.col("low")).alias("below"))
