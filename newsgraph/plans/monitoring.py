@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from newsgraph.operators import monitoring as op
@@ -91,11 +93,15 @@ def job_stats(spark, sf_dir):
     return _round(op.job_stats(runs), "mean", "success_percent").withColumn("last", F.date_format("last", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("""SELECT 'orders' AS name, count(*) AS rows, 'stale' AS age, 'warning' AS status FROM orders UNION ALL SELECT 'events', count(*), 'stale', 'warning' FROM events UNION ALL SELECT 'lineitem', count(*), 'stale', 'warning' FROM lineitem""")
+@query("""WITH n AS (SELECT max(ts) + INTERVAL 30 MINUTE AS now FROM events), t AS (SELECT 'orders' AS name, count(*) AS rows, max(o_orderdate)::TIMESTAMP AS d FROM orders UNION ALL SELECT 'events', count(*), max(ts) FROM events UNION ALL SELECT 'large', count(*), max(ts) FROM events WHERE value > 250
+UNION ALL SELECT 'none', 0, NULL::TIMESTAMP), h AS (SELECT *, (epoch(date_trunc('second', now)) - epoch(date_trunc('second', d))) / 3600.0 AS hours FROM t, n)
+SELECT name, rows, CASE WHEN hours IS NULL THEN 'never' WHEN hours <= 1 THEN 'fresh' WHEN hours <= 24 THEN 'recent' ELSE 'stale' END AS age, CASE WHEN rows = 0 OR hours IS NULL OR hours > 24 THEN 'warning' ELSE 'healthy' END AS status FROM h""")
 def snapshot_health(spark, sf_dir):
-    t = {name: model.table(spark, sf_dir, name) for name in ("orders", "events", "lineitem")}
-    found = op.snapshot_health(t, {"orders": "o_orderdate", "events": "ts", "lineitem": "l_shipdate"}, F.lit("2025-01-01").cast("timestamp"))
-    return found.drop("updated")
+    """Tables half an hour after the latest event: one just written, one older, some rare rows of it, and an empty one."""
+    events = model.table(spark, sf_dir, "events")
+    t = {"orders": model.table(spark, sf_dir, "orders"), "events": events, "large": events.where("value > 250"), "none": events.where("false")}
+    now = (events.agg(F.max("ts").alias("now")).first().now + timedelta(minutes=30)).isoformat(sep=" ")  # one row
+    return op.snapshot_health(t, {"orders": "o_orderdate", "events": "ts", "large": "ts", "none": "ts"}, F.lit(now).cast("timestamp")).drop("updated")
 
 
 @query(f"WITH {_ALERTS} SELECT category, string_agg(severity || ':' || n, ',' ORDER BY severity) AS counts FROM (SELECT category, severity, count(*) AS n FROM a WHERE resolved_at IS NULL GROUP BY 1, 2) GROUP BY 1")
