@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def write_archive(pages: DataFrame, path: str) -> DataFrame:
-    """Rows with their raw HTML (columns outlet, day, html, ..) to gzip files by outlet and day; the rows without it, with the file that holds it."""
-    pages.write.mode("append").partitionBy("outlet", "day").option("compression", "gzip").json(path)
-    stored = pages.sparkSession.read.schema(pages.schema).json(path)
+    """Rows with their raw HTML (columns outlet, day, html, ..) to gzip files by outlet and day, in a folder of this call's own below path; the rows
+    without it, with the file that holds it."""
+    folder = f"{path}/{uuid.uuid4().hex}"
+    pages.write.partitionBy("outlet", "day").option("compression", "gzip").json(folder)
+    stored = pages.sparkSession.read.schema(pages.schema).json(folder)
     return stored.withColumn("storage_path", F.col("_metadata.file_path")).drop("html")
 
 

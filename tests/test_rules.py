@@ -405,3 +405,20 @@ def test_percentiles_are_exact(spark):
     got = {x.k: [x[n] for n in shares] for x in monitoring.percentiles(df, "k", "v", shares).collect()}
     want = {x.k: x.p for x in df.groupBy("k").agg(F.percentile("v", list(shares.values())).alias("p")).collect() if x.p}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
+def test_archives_name_the_files_of_their_own_call(spark, tmp_path):
+    import gzip
+    import json
+
+    from newsgraph.sources import sinks
+
+    for call in (1, 2):
+        pages = spark.createDataFrame([(f"u{call}{i}", f"o{i % 2}", "2024-01-0" + str(call), f"<p>{i}</p>") for i in range(4)], "url string, outlet string, day string, html string")
+        rows = sinks.write_archive(pages, f"file://{tmp_path}").collect()
+        assert sorted(r.url for r in rows) == [f"u{call}{i}" for i in range(4)] and "html" not in rows[0].asDict()
+        for r in rows:
+            held = [json.loads(line) for line in gzip.open(r.storage_path.removeprefix("file://")).read().decode().splitlines()]
+            assert [h["html"] for h in held if h["url"] == r.url] == [f"<p>{r.url[-1]}</p>"]
+    kept, deleted = sinks.maintained({"alerts": (spark.createDataFrame([(dt.datetime(2024, 1, 1), True), (dt.datetime(2024, 1, 1), False)], "ts timestamp, open boolean"), "ts")}, F.lit("2024-06-01").cast("timestamp"), "dashboard", F.col("open"))
+    assert kept["alerts"].count() == 1 and deleted.first().deleted == 1
