@@ -418,7 +418,7 @@ def test_archives_name_the_files_of_their_own_call(spark, tmp_path):
         rows = sinks.write_archive(pages, f"file://{tmp_path}").collect()
         assert sorted(r.url for r in rows) == [f"u{call}{i}" for i in range(4)] and "html" not in rows[0].asDict()
         for r in rows:
-            held = [json.loads(line) for line in gzip.open(r.storage_path.removeprefix("file://")).read().decode().splitlines()]
+            held = [json.loads(line) for line in gzip.open("/" + r.storage_path.split(":", 1)[1].lstrip("/")).read().decode().splitlines()]
             assert [h["html"] for h in held if h["url"] == r.url] == [f"<p>{r.url[-1]}</p>"]
     kept, deleted = sinks.maintained({"alerts": (spark.createDataFrame([(dt.datetime(2024, 1, 1), True), (dt.datetime(2024, 1, 1), False)], "ts timestamp, open boolean"), "ts")}, F.lit("2024-06-01").cast("timestamp"), "dashboard", F.col("open"))
     assert kept["alerts"].count() == 1 and deleted.first().deleted == 1
