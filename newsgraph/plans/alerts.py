@@ -105,7 +105,14 @@ def channel_decisions(spark, sf_dir):
     return op.channel_decisions(_alerts(spark, sf_dir), channels)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ALERTS}, c AS (SELECT * FROM (VALUES ('mail', true, [1, 2, 3, 4, 5, 6, 7], 0, 24, 1, 30), ('chat', true, [1, 2, 3, 4, 5], 8, 18, 2, 240)) v(channel, enabled, days, from_hour, to_hour, per_hour, cooldown)),
+o AS (SELECT id, channel, epoch_us(ts) AS t, epoch_us(date_trunc('hour', ts)) AS h, enabled AND list_contains(days, isodow(ts)) AND hour(ts) >= from_hour AND hour(ts) < to_hour AS open, per_hour, cooldown::BIGINT * 60000000 AS wait, severity, row_number() OVER (PARTITION BY channel ORDER BY ts, id) AS n FROM a, c),
+r AS (SELECT channel, 0::BIGINT AS n, NULL::BIGINT AS h, 0 AS sent, NULL::BIGINT AS last, NULL::BIGINT AS id, '' AS decision FROM c
+UNION ALL SELECT channel, n, h, CASE WHEN d = 'sent' THEN before + 1 ELSE before END, CASE WHEN d = 'sent' THEN t ELSE last END, id, d FROM (
+  SELECT o.channel, o.n, o.h, o.t, o.id, r.last, CASE WHEN o.h IS DISTINCT FROM r.h THEN 0 ELSE r.sent END AS before,
+    CASE WHEN NOT o.open THEN 'skipped' WHEN CASE WHEN o.h IS DISTINCT FROM r.h THEN 0 ELSE r.sent END >= o.per_hour THEN 'throttled' WHEN o.t - r.last < o.wait THEN 'skipped' ELSE 'sent' END AS d
+  FROM r JOIN o ON o.channel = r.channel AND o.n = r.n + 1))
+SELECT r.id, r.channel, r.decision, CASE WHEN a.severity = 'critical' THEN 'critical_template' ELSE 'generic_template' END AS template FROM r JOIN a USING (id) WHERE r.n > 0""")
 def channel_cooldowns(spark, sf_dir):
     """Channels with a cooldown, which depends on what was sent before."""
     channels = spark.createDataFrame([("mail", True, [1, 2, 3, 4, 5, 6, 7], 0, 24, 1, 30), ("chat", True, [1, 2, 3, 4, 5], 8, 18, 2, 240)], "channel string, enabled boolean, days array<int>, from_hour int, to_hour int, per_hour int, cooldown int")
@@ -115,10 +122,13 @@ def channel_cooldowns(spark, sf_dir):
 _ORDERED = f"""{_ALERTS}, o AS (SELECT id, metric, epoch_us(ts) AS t, row_number() OVER (PARTITION BY metric ORDER BY ts, id) AS n FROM a)"""
 
 
-@query(f"""WITH RECURSIVE {_ORDERED}, r AS (SELECT id, metric, n, t AS start, 1 AS attempts, false AS told, false AS escalates FROM o WHERE n = 1
+FLOODS = f"""WITH RECURSIVE {_ORDERED}, r AS (SELECT id, metric, n, t AS start, 1 AS attempts, false AS told, false AS escalates FROM o WHERE n = 1
 UNION ALL SELECT o.id, o.metric, o.n, CASE WHEN o.t > start + 36000000000 THEN o.t ELSE start END, CASE WHEN o.t > start + 36000000000 THEN 1 ELSE attempts + 1 END,
   CASE WHEN o.t > start + 36000000000 THEN false ELSE told OR attempts + 1 >= 5 END, o.t <= start + 36000000000 AND NOT told AND attempts + 1 >= 5 FROM r JOIN o ON o.metric = r.metric AND o.n = r.n + 1)
-SELECT id, metric, attempts <= 3 AS allowed, escalates FROM r""")
+SELECT id, metric, attempts <= 3 AS allowed, escalates FROM r"""
+
+
+@query(FLOODS)
 def flood_control(spark, sf_dir):
     """Three alerts a metric pass in ten hours from the first; the fifth escalates."""
     return op.flood_control(_alerts(spark, sf_dir).select("id", "ts", "metric"), "metric", minutes=600)

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from newsgraph.plans.alerts import FLOODS
 from newsgraph.registry import query
 from newsgraph.session import shared_dir
 from newsgraph.streaming import jobs
@@ -38,8 +39,8 @@ def stream_job_states(spark, sf_dir):
     return jobs.drain(states, _folder(spark), "complete").select("job", "status", F.date_format("created", "yyyy-MM-dd HH:mm:ss").alias("created"))
 
 
-@query()
+@query(FLOODS)
 def stream_flood_control(spark, sf_dir):
-    """As flood_control, as a stream."""
+    """As flood_control, as a stream (the SQL holds while the table is one batch's, and so in the order of time)."""
     alerts = _source(spark, sf_dir).where("kind in ('error', 'signup')").select(F.col("event_id").alias("id"), "ts", F.concat(F.lit("m"), F.pmod("user_id", F.lit(7))).alias("metric"))
     return jobs.drain(jobs.flood_control(alerts, "metric", minutes=600), _folder(spark))
