@@ -78,6 +78,38 @@ def prune(docs: DataFrame, gone: DataFrame, twins: DataFrame, id_col: str, key:
     return left.select(*columns).toDF(*docs.columns)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Column], id_col: str, text_col: str, label_col: str, rows: int, size: int) -> tuple[dict[int, list[str]], dict[int, int]]:
+    """Texts of labelled rows that aren't held out, by label (0 and 1), and how many labelled ids there are.
+
+    At most `rows` texts of each label, in the order of a hash of their ids, and at most `size` bytes of them: a text that
+    doesn't fit what is left is skipped, and later ones that fit are taken. Equal rows are one; however many rows an id has,
+    no more than `rows` are looked at.
+    """
+    marked = take(labels, doc_id=id_col, label=label_col).select(F.col("doc_id").cast("long").alias("_id"), F.col("label").cast("int").alias("label"))
+    marked = marked.where(F.col("label").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id"))).withColumn("_h", F.xxhash64("_id"))
+    counts = {0: 0, 1: 0} | {r.label: r["count"] for r in marked.groupBy("label").count().collect()}
+    picked = [marked.where(F.col("label") == k).orderBy("_h", "_id").limit(rows) for k in (0, 1)]
+    chosen = F.broadcast(picked[0].union(picked[1]))  # 2 * rows rows at most
+    texts = take(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    texts = texts.join(chosen, F.col("doc_id") == F.col("_id")).select("label", "_h", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.withColumn("_size", F.octet_length("text").cast("long")).withColumn("_key", F.xxhash64("text")).where(F.col("_size") <= size)
+    found = settle(texts)  # read for its sizes, then for the texts that fit
+    kept = []
+    for k in (0, 1):
+        room, seen = size, set()
+        for r in found.where(F.col("label") == k).orderBy("_h", "doc_id", "_key").limit(rows).select("doc_id", "_key", "_size").collect():
+            if r["_size"] <= room and (r.doc_id, r["_key"]) not in seen:
+                seen.add((r.doc_id, r["_key"]))
+                room -= r["_size"]
+                kept.append((k, r.doc_id, r["_key"]))
+    fits = F.broadcast(docs.sparkSession.createDataFrame(kept, "label int, doc_id long, _key long"))  # 2 * rows rows at most
+    taken = found.join(fits, ["label", "doc_id", "_key"]).dropDuplicates(["label", "doc_id", "_key"]).select("label", "text", "_h", "doc_id", "_key").collect()
+    out: dict[int, list[str]] = {0: [], 1: []}
+    for r in sorted(taken, key=lambda r: (r["_h"], r.doc_id, r["_key"])):
+        out[r.label].append(r.text)
+    return out, counts
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
