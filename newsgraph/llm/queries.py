@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, mixing, near_dedup, packing, quality, spelling, substring_dedup, url_filter, vector_search, warc, whitening
+from . import exact_dedup, licenses, mixing, near_dedup, packing, quality, spelling, substring_dedup, toxicity, url_filter, vector_search, warc, whitening
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scan": licenses.query,
     "op9_quality": quality.query,
     "op10_packing": packing.query,
+    "op11_toxicity": toxicity.query,
     "op12_spelling_variants": spelling.query,
     "op13_whitening": whitening.query,
 }
