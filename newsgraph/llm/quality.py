@@ -12,21 +12,22 @@ good ones are kept.
 The fit uses a bounded sample: at most `sample_rows` texts of each label, in the order of a
 hash of their ids, and at most `sample_bytes` of them: a text that doesn't fit what is left is
 skipped, and later ones that fit are taken. Each dictionary is trained on half of these (of
-20 texts or fewer on all, which are then also what the calibration sees), on at most
+`least_texts` texts or fewer on all, which are then also what the calibration sees), on at most
 `sample_pieces` of their pieces (picked at random; 8000 of 256 bytes are 2 MB). `least_pieces`
 pieces or fewer are too few to train on and are themselves the dictionary, or their last 32 KB.
 Scoring reads every whole text and shuffles nothing.
 
 Defined results: null texts count as empty and empty texts have a score as well; without
 labelled rows of both kinds every score is 0.5; labels other than 0 and 1 are passed over;
-a null id is held out of nothing and joins no label; repeated rows are scored once each; an
+a null id is held out of nothing and joins no label; repeated rows are scored once each and
+are one text of the sample, and of an id with many texts no more than `sample_rows` are looked at; an
 empty table gives an empty table. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -35,6 +36,8 @@ from . import common
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 16 << 20
 #: Each dictionary is trained on at most so many pieces.
 SAMPLE_PIECES, LEAST_PIECES = 8000, 300
+#: The calibration is fitted on texts that the dictionaries haven't seen if a label has more texts than this.
+LEAST_TEXTS = 20
 PIECE, DICTIONARY, LEVEL = 256, 32768, 3
 THRESHOLD = 0.3
 
@@ -88,10 +91,10 @@ def _dictionary(texts: list[str], sample_pieces: int, least_pieces: int) -> byte
     return b"".join(parts)[-DICTIONARY:]  # too few to train on: their own bytes
 
 
-def fit_texts(good: list[str], bad: list[str], sample_pieces: int = SAMPLE_PIECES, least_pieces: int = LEAST_PIECES) -> Compressed | None:
+def fit_texts(good: list[str], bad: list[str], sample_pieces: int = SAMPLE_PIECES, least_pieces: int = LEAST_PIECES, least_texts: int = LEAST_TEXTS) -> Compressed | None:
     if not good or not bad:
         return None
-    cut = lambda x: (x[: len(x) // 2], x[len(x) // 2 :]) if len(x) > 20 else (x, x)
+    cut = lambda x: (x[: len(x) // 2], x[len(x) // 2 :]) if len(x) > least_texts else (x, x)
     (good_dict, good_fit), (bad_dict, bad_fit) = cut(good), cut(bad)
     model = Compressed(_dictionary(good_dict, sample_pieces, least_pieces), _dictionary(bad_dict, sample_pieces, least_pieces), np.zeros(3), np.zeros(2), np.ones(2))
     x = model.features(good_fit + bad_fit)
@@ -113,26 +116,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, sample_pieces: int = SAMPLE_PIECES, least_pieces: int = LEAST_PIECES) -> Compressed | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, sample_pieces: int = SAMPLE_PIECES, least_pieces: int = LEAST_PIECES, least_texts: int = LEAST_TEXTS) -> Compressed | None:
     """A model from labelled rows that aren't held out. labels has id_col and label_col."""
-    marked = common.take(labels, doc_id=id_col, label=label_col).select(F.col("doc_id").cast("long").alias("_id"), F.col("label").cast("int").alias("label"))
-    marked = marked.where(F.col("label").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id"))).withColumn("_h", F.xxhash64("_id"))
-    picked = [marked.where(F.col("label") == k).orderBy("_h", "_id").limit(sample_rows) for k in (0, 1)]
-    sample = F.broadcast(picked[0].union(picked[1]))  # 2 * sample_rows rows at most
-    texts = common.take(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    texts = texts.join(sample, F.col("doc_id") == F.col("_id")).select("label", "_h", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    grown = Window.partitionBy("label").orderBy("_h", "doc_id", F.xxhash64("text"))
-    fitting = texts.withColumn("_size", F.octet_length("text").cast("long")).where(F.col("_size") <= sample_bytes)
-    numbered = common.settle(fitting.withColumn("_n", F.row_number().over(grown)))  # read for its sizes, then for the texts that fit
-    left, kept = {k: (sample_rows, sample_bytes) for k in (0, 1)}, []
-    for r in numbered.select("label", "_n", "_size").orderBy("label", "_n").collect():
-        n, room = left[r.label]
-        if n and r["_size"] <= room:
-            left[r.label] = n - 1, room - r["_size"]
-            kept.append((r.label, r["_n"]))
-    chosen = F.broadcast(docs.sparkSession.createDataFrame(kept, "label int, _n int"))  # 2 * sample_rows rows at most
-    rows = numbered.join(chosen, ["label", "_n"]).orderBy("label", "_n").select("label", "text").collect()
-    return fit_texts([r.text for r in rows if r.label == 1], [r.text for r in rows if r.label == 0], sample_pieces, least_pieces)
+    sample, _ = common.labelled_sample(docs, labels, held_out, id_col, text_col, label_col, sample_rows, sample_bytes)
+    return fit_texts(sample[1], sample[0], sample_pieces, least_pieces, least_texts)
 
 
 def score(docs: DataFrame, model: Compressed | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
