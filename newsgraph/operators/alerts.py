@@ -9,6 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Tables of at most so many rows are broadcast.
+SMALL = 10_000
+
+
+def _small(df: DataFrame, bound: int) -> bool:
+    return df.limit(bound + 1).count() <= bound
+
+
 def long_form(wide: DataFrame, key: str, metrics: list[str]) -> DataFrame:
     """(key, metric, value) of a wide metric row."""
     return wide.select(key, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot([key], metrics, "metric", "value").where("value is not null")
@@ -18,10 +26,10 @@ def breached(value: Column, limit: Column, below: Column) -> Column:
     return F.when(below, value < limit).otherwise(value > limit)
 
 
-def threshold_alerts(samples: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """(ts, metric, value, severity, limit): samples (ts, metric, value) beyond their metric's limits (warning, critical, direction); a rule table is small by nature."""
+def threshold_alerts(samples: DataFrame, thresholds: DataFrame, bound: int = SMALL) -> DataFrame:
+    """(ts, metric, value, severity, limit): samples (ts, metric, value) beyond their metric's limits (warning, critical, direction). Up to `bound` rules are broadcast."""
     below = F.col("direction") == "below"
-    joined = samples.join(thresholds, "metric")
+    joined = samples.join(F.broadcast(thresholds) if _small(thresholds, bound) else thresholds, "metric")
     severity = F.when(breached(F.col("value"), F.col("critical"), below), "critical").when(breached(F.col("value"), F.col("warning"), below), "warning")
     found = joined.withColumn("severity", severity).where("severity is not null")
     return found.withColumn("limit", F.when(F.col("severity") == "critical", F.col("critical")).otherwise(F.col("warning"))).select(*samples.columns, "severity", "limit")
@@ -70,14 +78,6 @@ def resolve_back(alerts: DataFrame, samples: DataFrame, now: Column, minutes: in
     return joined.withColumn("resolved", back)
 
 
-#: Tables of at most so many rows are broadcast.
-SMALL = 10_000
-
-
-def _small(df: DataFrame, bound: int) -> bool:
-    return df.limit(bound + 1).count() <= bound
-
-
 def matching(alerts: DataFrame, rules: DataFrame, pairs: dict[str, str], bound: int = SMALL) -> DataFrame:
     """Alerts with rules whose arrays hold the alert's value, for each (alert column, rule array); a null array holds all.
 
@@ -164,6 +164,32 @@ def channel_decisions(alerts: DataFrame, channels: DataFrame, bound: int = SMALL
     return ranked.select("id", "channel", decision.alias("decision"), template)
 
 
+def alert_class(metric: Column, kind: Column) -> Column:
+    """supabase by the metric's name, views_jobs by the alert's type, else system."""
+    told = lambda c, *words: F.coalesce(c.rlike("|".join(words)), F.lit(False))
+    return F.when(told(metric, "supabase"), "supabase").when(told(kind, "view", "job"), "views_jobs").otherwise("system")
+
+
+def chosen_templates(alerts: DataFrame, channels: DataFrame, templates: DataFrame, bound: int = SMALL) -> DataFrame:
+    """(id, channel, template): the template of each alert (id, metric, kind, severity) at each channel (channel, channel_type).
+
+    templates: name, alert_type, severity, channel_type, created, active. The newest active one of the channel's type and the
+    severity that is for the alert's class or for all (custom) is meant; without one the newest that is for all, of any severity;
+    without that null, for the text by default. Only the newest of each kind count, so the table that meets the alerts has a row for
+    each type of channel, severity and class; it is broadcast if it has `bound` rows at most, as the channels are.
+    """
+    live = templates.where("active").withColumn("_order", F.struct("created", "name"))
+    exact = live.groupBy("channel_type", "severity", "alert_type").agg(F.max("_order").alias("_best"))
+    spare = live.where("alert_type = 'custom'").groupBy("channel_type").agg(F.max("_order").alias("_spare"))
+    small = lambda df: F.broadcast(df) if _small(df, bound) else df
+    kinds = alerts.select("severity", alert_class(F.col("metric"), F.col("kind")).alias("_class")).distinct()
+    for_class = kinds.join(small(exact), "severity").where(F.col("alert_type").isin("custom") | (F.col("alert_type") == F.col("_class")))
+    for_class = for_class.groupBy("severity", "_class", "channel_type").agg(F.max("_best").alias("_best"))
+    told = alerts.select("id", "severity", alert_class(F.col("metric"), F.col("kind")).alias("_class")).crossJoin(small(channels.select("channel", "channel_type")))  # every alert goes to each channel
+    told = told.join(small(for_class), ["severity", "_class", "channel_type"], "left").join(small(spare), "channel_type", "left")
+    return told.select("id", "channel", F.coalesce("_best.name", "_spare.name").alias("template"))
+
+
 def _gated(rows: DataFrame) -> DataFrame:
     """Decisions in the order of time, per channel: what counts in an hour and when a cooldown starts depends on what was sent."""
 

@@ -62,12 +62,13 @@ def duplicate_urls(df: DataFrame, column: str) -> DataFrame:
 
 def score(row: DataFrame, corrected: bool = False) -> DataFrame:
     """A one-row frame of counts (orphans, invalid, inconsistent, duplicate_urls, completeness: a sum of four percentages,
-    content_percent) with score, level and advice. By default full data lowers the score, as the model has it; corrected turns that round."""
+    content_percent, and embedding_percent if it is known) with score, level and advice. By default full data lowers the score, as the model has it; corrected turns that round."""
     missing = (400 - F.col("completeness")) / 20 if corrected else F.col("completeness") / 20
     raw = 100 - F.col("orphans") * 2 - F.col("invalid") - F.col("inconsistent") * 3 - F.col("duplicate_urls") * 0.5 - missing
     value = F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), raw)).cast("decimal(20,6)"), 0).cast("int")
     faults = F.col("orphans") + F.col("invalid") + F.col("inconsistent")
     content = F.col("content_percent")
     level = F.when((faults == 0) & (content >= 95), "excelente").when((faults <= 5) & (content >= 90), "buena").when((faults <= 20) & (content >= 80), "aceptable").otherwise("necesita_atencion")
-    advice = F.when(F.col("orphans") > 0, "corregir_referencias").when(F.col("invalid") > 0, "validar_rangos").when(F.col("inconsistent") > 0, "revisar_fechas").when(F.col("duplicate_urls") > 10, "revisar_duplicados").otherwise("en_buen_estado")
+    embedded = F.coalesce(F.col("embedding_percent") < 50, F.lit(False)) if "embedding_percent" in row.columns else F.lit(False)
+    advice = F.when(F.col("orphans") > 0, "corregir_referencias").when(F.col("invalid") > 0, "validar_rangos").when(F.col("inconsistent") > 0, "revisar_fechas").when(embedded, "mejorar_embeddings").when(F.col("duplicate_urls") > 10, "revisar_duplicados").otherwise("en_buen_estado")
     return row.withColumns({"score": value, "level": level, "advice": advice})

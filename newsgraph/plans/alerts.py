@@ -119,6 +119,24 @@ def channel_cooldowns(spark, sf_dir):
     return op.channel_decisions(_alerts(spark, sf_dir), channels)
 
 
+_TEMPLATES = [("cpu page", "system", "critical", "email", 1, True), ("any page", "custom", "critical", "email", 2, True), ("views", "views_jobs", "warning", "email", 3, True), ("old", "system", "warning", "email", 9, False), ("supabase", "supabase", "warning", "slack", 4, True), ("all slack", "custom", "info", "slack", 5, True), ("older slack", "custom", "warning", "slack", 2, True)]
+
+
+@query(f"""WITH {_ALERTS}, b AS (SELECT id, severity, CASE WHEN metric IN ('m1', 'm2') THEN 'supabase_' || metric ELSE metric END AS metric, CASE WHEN category = 'system' AND value > 40 THEN 'job_' || category ELSE category END AS kind FROM a),
+c AS (SELECT *, CASE WHEN metric LIKE '%supabase%' THEN 'supabase' WHEN kind LIKE '%view%' OR kind LIKE '%job%' THEN 'views_jobs' ELSE 'system' END AS class FROM b),
+t AS (SELECT * FROM (VALUES {", ".join(str(x).replace("True", "true").replace("False", "false") for x in _TEMPLATES)}) v(name, alert_type, severity, channel_type, created, active) WHERE active),
+n AS (SELECT * FROM (VALUES ('mail', 'email'), ('chat', 'slack'), ('sms', 'sms')) v(channel, channel_type))
+SELECT id, channel, coalesce((SELECT arg_max(name, created) FROM t WHERE t.channel_type = n.channel_type AND t.severity = c.severity AND (t.alert_type = 'custom' OR t.alert_type = c.class)),
+  (SELECT arg_max(name, created) FROM t WHERE t.channel_type = n.channel_type AND t.alert_type = 'custom')) AS template FROM c, n""")
+def notification_templates(spark, sf_dir):
+    """Templates by class, severity and type of channel, with the generic one and none behind them."""
+    kind = F.when((F.col("category") == "system") & (F.col("value") > 40), F.concat(F.lit("job_"), "category")).otherwise(F.col("category"))
+    metric = F.when(F.col("metric").isin("m1", "m2"), F.concat(F.lit("supabase_"), "metric")).otherwise(F.col("metric"))
+    channels = spark.createDataFrame([("mail", "email"), ("chat", "slack"), ("sms", "sms")], "channel string, channel_type string")
+    templates = spark.createDataFrame(_TEMPLATES, "name string, alert_type string, severity string, channel_type string, created int, active boolean")
+    return op.chosen_templates(_alerts(spark, sf_dir).select("id", "severity", metric.alias("metric"), kind.alias("kind")), channels, templates)
+
+
 _ORDERED = f"""{_ALERTS}, o AS (SELECT id, metric, epoch_us(ts) AS t, row_number() OVER (PARTITION BY metric ORDER BY ts, id) AS n FROM a)"""
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import uuid
 from functools import reduce
 
@@ -12,8 +13,8 @@ from newsgraph.functions import text as tx
 from newsgraph.operators import articles as op
 from newsgraph.plans import model
 from newsgraph.registry import query
-from newsgraph.session import shared_dir
-from newsgraph.sources import feeds, sinks
+from newsgraph.session import names, shared_dir
+from newsgraph.sources import feeds, inbox, sinks
 
 
 def _rows(spark, sf_dir):
@@ -77,11 +78,31 @@ def feed_ingest(spark, sf_dir):
     folder, target = _feed(spark, sf_dir), f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
     for _ in range(2):
         feeds.ingest(spark, folder, target, files=20, least=100)
-    rows, bad = spark.read.parquet(f"{target}/rows"), spark.read.parquet(f"{target}/errors")
+    rows, bad = feeds.ingested(spark, target)
     number = lambda c: F.regexp_extract(c, r"(\d+)$", 1).cast("long").alias("doc_id")
     return rows.select(number("url"), F.lit("row").alias("result")).unionByName(bad.select(number("row"), F.col("reason").alias("result")))
 
 
+@query("""SELECT doc_id, CASE WHEN length(trim(text)) < 100 THEN 'short_body' ELSE 'none' END AS kind, true AS moved FROM documents UNION ALL SELECT NULL, 'unreadable', true UNION ALL SELECT NULL, 'missing_title', true""")
+def feed_outcomes(spark, sf_dir):
+    """Documents as files of an inbox in two runs, with one broken file and one without a valid row: each row, and whether its file stands in the folder of its outcome and in the inbox no more."""
+    base = f"{shared_dir(spark)}/inbox-{uuid.uuid4().hex}"
+    source, target = f"{base}/in", f"{base}/out"
+    rows = _rows(spark, sf_dir).select("doc_id", "url", "outlet", F.concat(F.lit("Document "), "doc_id").alias("title"), "body")
+    for half in (0, 1):
+        feeds.write_feed(rows.where(F.col("doc_id") % 2 == half).drop("doc_id"), source)
+        bad = b"no gzip" if half else gzip.compress(b'[{"url": "http://h/none"}]')
+        inbox.put_file(source, f"bad{half}.json.gz", bad)
+        inbox.ingest(spark, source, target, files=1000, body=100)
+    stand = lambda kind: spark.createDataFrame([(n, kind) for n in names(spark, f"{target}/inbox/{kind}")], "moved string, stands string")  # noqa: E731  a row a file, as the inbox's own listing
+    told = inbox.outcomes(spark, target).join(stand("completed").union(stand("failed")), "moved", "left")
+    left = names(spark, source)
+    told = told.select("file", (F.coalesce(F.col("stands") == F.col("folder"), F.lit(False)) & F.lit(not left)).alias("moved"))
+    found = spark.read.parquet(f"{target}/rows").join(told, "file", "left")
+    doc_id = F.when(F.col("file").startswith("bad"), None).otherwise(F.regexp_extract("url", r"(\d+)$", 1)).cast("long")
+    return found.select(doc_id.alias("doc_id"), "kind", "moved")
+
+
 @query("""SELECT doc_id, 'T ' || doc_id AS title, 'https://h/' || doc_id AS link, lang AS category, strftime(DATE '2024-01-01' + (doc_id % 60)::INTEGER, '%Y-%m-%d') AS day FROM documents""")
 def rss_items(spark, sf_dir):
     """Documents as items of RSS files, read again."""

@@ -83,6 +83,23 @@ def quality_summary(spark, sf_dir):
     return op.score(one_row)
 
 
+@query("""WITH d AS (SELECT source, doc_id, text, lang, vec_id FROM documents LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) ON vec_id = doc_id),
+r AS (SELECT source, count(*) FILTER (text IS NULL) AS orphans, count(*) FILTER (lang NOT IN ('en', 'fr', 'de', 'es')) AS invalid, 0::BIGINT AS inconsistent, count(text) - count(DISTINCT text) AS duplicate_urls,
+  round(count(text) * 100.0::DOUBLE / count(*), 2) AS content_percent, round(count(vec_id) * 100.0::DOUBLE / count(*), 2) AS embedding_percent FROM d GROUP BY 1),
+s AS (SELECT *, orphans + invalid + inconsistent AS faults, content_percent + embedding_percent + 200 AS completeness FROM r)
+SELECT source, embedding_percent, round(least(100.0, greatest(0.0, 100 - orphans * 2 - invalid - inconsistent * 3 - duplicate_urls * 0.5 - completeness / 20))::DECIMAL(20, 6), 0)::INTEGER AS score,
+  CASE WHEN faults = 0 AND content_percent >= 95 THEN 'excelente' WHEN faults <= 5 AND content_percent >= 90 THEN 'buena' WHEN faults <= 20 AND content_percent >= 80 THEN 'aceptable' ELSE 'necesita_atencion' END AS level,
+  CASE WHEN orphans > 0 THEN 'corregir_referencias' WHEN invalid > 0 THEN 'validar_rangos' WHEN inconsistent > 0 THEN 'revisar_fechas' WHEN embedding_percent < 50 THEN 'mejorar_embeddings' WHEN duplicate_urls > 10 THEN 'revisar_duplicados' ELSE 'en_buen_estado' END AS advice FROM s""")
+def outlet_quality(spark, sf_dir):
+    """Score, level and advice for each outlet's documents; those with the id of a vector have an embedding, equal texts count as duplicates."""
+    docs, vectors = model.table(spark, sf_dir, "documents"), model.table(spark, sf_dir, "embeddings").select("vec_id").distinct()
+    joined = docs.join(vectors, F.col("doc_id") == F.col("vec_id"), "left").select("source", F.when(F.col("text").isNotNull(), F.sha2("text", 256)).alias("digest"), "lang", "vec_id")
+    texts = joined.groupBy("source", "digest").agg(F.count("*").alias("n"), F.count("vec_id").alias("embedded"), F.count_if(~F.col("lang").isin("en", "fr", "de", "es")).alias("invalid"))  # a row a text: an outlet isn't one task's
+    here = F.col("digest").isNotNull()
+    rows = texts.groupBy("source").agg(F.sum(F.when(~here, F.col("n")).otherwise(0)).alias("orphans"), F.sum("invalid").alias("invalid"), F.lit(0).cast("long").alias("inconsistent"), F.sum(F.when(here, F.col("n") - 1).otherwise(0)).alias("duplicate_urls"), F.round(F.sum(F.when(here, F.col("n")).otherwise(0)) * 100.0 / F.sum("n"), 2).alias("content_percent"), F.round(F.sum("embedded") * 100.0 / F.sum("n"), 2).alias("embedding_percent"))
+    return op.score(rows.withColumn("completeness", F.col("content_percent") + F.col("embedding_percent") + 200)).select("source", "embedding_percent", "score", "level", "advice")
+
+
 @query("""WITH x AS (SELECT event_id, event_id % 13 AS relevance, event_id % 7 AS grade, value / 100 AS confidence, CASE WHEN event_id % 4 = 0 THEN 'ftp://x' ELSE 'https://h/' || event_id END AS url, CASE WHEN event_id % 3 = 0 THEN lower(event_type[1:2]) ELSE upper(event_type[1:2]) END AS country, value AS percent, event_id % 12 AS importance FROM events)
 SELECT event_id, concat_ws(',', CASE WHEN relevance > 10 THEN 'relevance' END, CASE WHEN grade NOT IN (1, 2, 3, 4, 5) THEN 'grade' END, CASE WHEN confidence > 1 OR confidence < 0 THEN 'confidence' END, CASE WHEN event_id % 4 = 0 THEN 'url' END,
   CASE WHEN country <> upper(country) THEN 'country' END, CASE WHEN percent > 100 OR percent < 0 THEN 'percent' END, CASE WHEN importance NOT BETWEEN 1 AND 10 THEN 'importance' END) AS broken FROM x

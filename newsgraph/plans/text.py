@@ -104,11 +104,11 @@ def date_parsing(spark, sf_dir):
 
 @query(r"""SELECT doc_id, md5(trim(regexp_replace(text, '\pC|\s+', ' ', 'g').regexp_replace('\s+', ' ', 'g'))) AS plain,
   md5(trim(regexp_replace(regexp_replace(text.regexp_replace('!{2,}', '!', 'g').regexp_replace('[?]{2,}', '?', 'g').regexp_replace('[.]{2,}', '.', 'g').regexp_replace(',{2,}', ',', 'g').regexp_replace(';{2,}', ';', 'g').regexp_replace(':{2,}', ':', 'g'), '[ \t]*\n[ \t]*', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ')) AS tidy,
-  list_distinct(list_filter(list_transform(regexp_split_to_array(left(text, 400), '[,;|]'), lambda x: lower(trim(regexp_replace(x, '["'']', '', 'g'), ' '))), lambda x: x <> '')).len() AS items FROM documents""")
+  list_distinct(list_filter(list_transform(regexp_split_to_array(text, '[,;|]'), lambda x: lower(trim(regexp_replace(x, '["'']', '', 'g'), ' '))), lambda x: x <> '')).len() AS items FROM documents""")
 def text_forms(spark, sf_dir):
-    """Cleaned as the pipeline does, marks made single, and the items of a list (here: of a text's first 400 characters, as such fields are short)."""
+    """Cleaned as the pipeline does, marks made single, and the items of a list."""
     t = F.col("text")
-    return model.table(spark, sf_dir, "documents").select("doc_id", F.md5(text.clean_piped(t)).alias("plain"), F.md5(text.tidy_marks(t)).alias("tidy"), F.size(text.list_items(F.left(t, F.lit(400)))).cast("long").alias("items"))
+    return model.table(spark, sf_dir, "documents").select("doc_id", F.md5(text.clean_piped(t)).alias("plain"), F.md5(text.tidy_marks(t)).alias("tidy"), F.size(text.list_items(t)).cast("long").alias("items"))
 
 
 @query("""SELECT s_suppkey, s_name || ', Ana Del-Río, O''Neil' AS authors, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE left(repeat(s_name || ' ', 20), 197) || '...' END AS first_author,

@@ -54,23 +54,27 @@ def write_feed(rows: DataFrame, path: str, size: int = 500) -> DataFrame:
 
 
 def ingest(spark: SparkSession, path: str, target: str, schema: T.StructType = ARTICLE, archive: str | None = None, files: int = 100, least: int = 0) -> None:
-    """All files that a directory holds and hasn't been asked for, as a stream: rows go to target/rows with their file; what can't be read, and rows
-    with fewer than `least` characters of body, to target/errors with the file and the reason. Goes on from its checkpoint when run again."""
+    """All files that a directory holds and hasn't been asked for, as a stream: rows go to target/batches with their file (part=rows); what can't be read, and
+    rows with fewer than `least` characters of body, with the file and the reason (part=errors). Goes on from its checkpoint when run again."""
     reader = spark.readStream.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json.gz").option("maxFilesPerTrigger", files).option("ignoreCorruptFiles", True)
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
 
-    def sort_out(batch: DataFrame, number: int) -> None:
+    def sort_out(batch: DataFrame, number: int) -> None:  # one write, so a batch's files are parsed once; a batch that is run again replaces its own rows
         reason = F.when(F.col("_corrupt_record").isNotNull(), "unreadable").when(F.length(F.coalesce("body", F.lit(""))) < least, "short_body")
-        marked = batch.withColumn("reason", reason)
-        batch_folder = lambda kind: f"{target}/{kind}/batch={number}"  # noqa: E731  a batch that is run again replaces its own rows
-        marked.where("reason is null").drop("reason", "_corrupt_record").write.mode("overwrite").parquet(batch_folder("rows"))
-        marked.where("reason is not null").select("file", "reason", F.coalesce("_corrupt_record", "url").alias("row")).write.mode("overwrite").parquet(batch_folder("errors"))
+        marked = batch.withColumn("reason", reason).withColumn("row", F.when(reason.isNotNull(), F.coalesce("_corrupt_record", "url")))
+        marked.withColumn("part", F.when(reason.isNull(), "rows").otherwise("errors")).drop("_corrupt_record").write.mode("overwrite").partitionBy("part").parquet(f"{target}/batches/batch={number}")
 
     rows = reader.json(path).withColumn("file", F.col("_metadata.file_name"))
     rows.writeStream.foreachBatch(sort_out).option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start().awaitTermination()
 
 
+def ingested(spark: SparkSession, target: str) -> tuple[DataFrame, DataFrame]:
+    """Rows, and rows that were set aside (file, reason, row), of what ingest has written."""
+    found = spark.read.parquet(f"{target}/batches")
+    return found.where("part = 'rows'").drop("part", "reason", "row"), found.where("part = 'errors'").select("file", "reason", "row", "batch")
+
+
 def read_pages(spark: SparkSession, path: str, rules: dict[str, list[str]] | None = None) -> DataFrame:
     """Stored pages (page_id, url, html) as article rows: url, outlet (the domain), title, body text, language, published."""
     pages = spark.read.parquet(path)

@@ -6,10 +6,10 @@ import time
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-
+from newsgraph.session import names, remove, settle
 
 def write_archive(pages: DataFrame, path: str) -> DataFrame:
     """Rows with their raw HTML (columns outlet, day, html, ..) to gzip files by outlet and day, in a folder of this call's own below path; the rows
@@ -20,10 +20,29 @@ def write_archive(pages: DataFrame, path: str) -> DataFrame:
     return stored.withColumn("storage_path", F.col("_metadata.file_path")).drop("html")
 
 
+#: How the periods of a table's layout are written.
+PERIODS = {"day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}
+
+
 def write_by_period(df: DataFrame, path: str, moment: str, period: str = "month") -> None:
-    """Appends to a table laid out by month or year of a moment; equal periods go to one writer."""
-    form = {"month": "yyyy-MM", "year": "yyyy"}[period]
-    df.withColumn(period, F.date_format(moment, form)).repartition(period).write.mode("append").partitionBy(period).parquet(path)
+    """Appends to a table laid out by day, month or year of a moment; equal periods go to one writer."""
+    df.withColumn(period, F.date_format(moment, PERIODS[period])).repartition(period).write.mode("append").partitionBy(period).parquet(path)
+
+
+def drop_before(spark: SparkSession, path: str, moment: str, period: str, bound) -> dict[str, list[str]]:
+    """Takes rows before a moment out of a table laid out by period: folders of whole periods are removed without being read,
+    the bound's own period is written anew, and later ones aren't touched. (dropped, rewritten) periods."""
+    edge = bound.strftime({"day": "%Y-%m-%d", "month": "%Y-%m", "year": "%Y"}[period])
+    held = [n.removeprefix(f"{period}=") for n in names(spark, path) if n.startswith(f"{period}=") and n != f"{period}=__HIVE_DEFAULT_PARTITION__"]
+    old, rewritten = [p for p in held if p < edge], []
+    for p in old:
+        remove(spark, f"{path}/{period}={p}")
+    if edge in held:
+        part = f"{path}/{period}={edge}"
+        rows = settle(spark.read.parquet(part).where(F.col(moment) >= F.lit(bound).cast(dict(spark.read.parquet(part).dtypes)[moment])))
+        rows.write.mode("overwrite").parquet(part)
+        rewritten = [edge]
+    return {"dropped": old, "rewritten": rewritten}
 
 
 def replace_periods(df: DataFrame, path: str, column: str) -> None:

@@ -1,19 +1,17 @@
-"""Streaming jobs over event files: error rates, dedup with a time to live, throttling, job states, feeds.
+"""Streaming jobs over event files: error rates, job states, and how streams are fed and drained.
 
-Sources are typed, event time has a watermark, state is keyed and bounded by it, and results
-go to a sink with a checkpoint in the shared folder, so a restart goes on where it stopped.
+Sources are typed, event time has a watermark, and results go to a sink with a checkpoint in the
+shared folder, so a restart goes on where it stopped. Error rates come out when a bucket is
+over (append mode), which bounds their state; job states are merged by key into a stored table from each
+batch's own rows, without any state in the stream.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from newsgraph.operators.alerts import flood_step
+from newsgraph.session import names, remove
 
 
 def source(spark: SparkSession, path: str, moment: str = "ts", watermark: str = "1 hour", files: int = 100) -> DataFrame:
@@ -30,46 +28,49 @@ def error_rates(events: DataFrame, bucket: str = "1 minute", least: int = 10, ra
     return counted.where((F.col("events") >= least) & (share > rate)).select(F.col("w.start").alias("start"), "events", "errors", share.alias("rate"))
 
 
-def first_seen(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows whose key wasn't seen within the watermark's delay."""
-    return rows.dropDuplicatesWithinWatermark(list(keys))
-
-
-def job_states(events: DataFrame) -> DataFrame:
-    """(job, status, created, updated) of events (job, status, ts), for update or complete mode."""
-    return events.groupBy("job").agg(F.max_by("status", "ts").alias("status"), F.min("ts").alias("created"), F.max("ts").alias("updated"))
-
+def job_states(events: DataFrame, target: str) -> DataFrame:
+    """(job, status, created, updated) of a stream of events (job, status, ts), merged batch by batch into versions of a table below target.
 
-def flood_control(alerts: DataFrame, key: str, most: int = 3, minutes: float = 60, escalate: int = 5) -> DataFrame:
-    """(id, key, allowed, escalates) of a stream of alerts (id, ts, key); a key's state is three numbers, and goes when its period is over."""
+    A batch reads the version before it and writes the next, of its number; one that is run again replaces its own.
+    """
+    spark = events.sparkSession
 
-    def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
-        now, passed, raised = state.getOption, [], []
-        for ts in rows["ts"]:
-            now, ok, up = flood_step(now, ts.timestamp(), most, minutes * 60, escalate)
-            passed.append(ok)
-            raised.append(up)
-        state.update(now)
-        state.setTimeoutTimestamp(max(int((now[1] + minutes * 60) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"id": rows["id"], key: group[0], "allowed": passed, "escalates": raised})
+    def states(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("job").agg(F.max_by("status", "updated").alias("status"), F.min("created").alias("created"), F.max("updated").alias("updated"))
 
-    kind = dict(alerts.dtypes)[key]
-    return alerts.groupBy(key).applyInPandasWithState(run, f"id long, {key} {kind}, allowed boolean, escalates boolean", "attempts int, start double, escalated boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    def merge(batch: DataFrame, number: int) -> None:
+        rows = batch.select("job", "status", F.col("ts").alias("created"), F.col("ts").alias("updated"))
+        if number:
+            rows = rows.unionByName(batch.sparkSession.read.parquet(f"{target}/versions/{number - 1}"))
+        states(rows).write.mode("overwrite").parquet(f"{target}/versions/{number}")
+        if number > 1:
+            remove(batch.sparkSession, f"{target}/versions/{number - 2}")
 
-
-def drain(rows: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there, and reads what it gave."""
-    spark = rows.sparkSession
-    if mode == "append":
-        run = rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
-    else:
-        def replace(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{folder}/rows")
-
-        run = rows.writeStream.foreachBatch(replace).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
+    run = events.writeStream.foreachBatch(merge).option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    newest = max((int(n) for n in names(spark, f"{target}/versions")), default=None)
+    schema = states(spark.createDataFrame([], events.select("job", "status", F.col("ts").alias("created"), F.col("ts").alias("updated")).schema)).schema
+    return spark.createDataFrame([], schema) if newest is None else spark.read.schema(schema).parquet(f"{target}/versions/{newest}")
+
+
+def slices(rows: DataFrame, folder: str, moment: str, parts: int, closing: str = "30 days") -> None:
+    """A table as files of a folder in the order of time, for a stream that takes a slice a batch; after the last slice two rows of nulls, later by
+    `closing`, so that the watermark passes all others."""
+    low, high = rows.agg(F.min(F.unix_micros(F.col(moment).cast("timestamp"))), F.max(F.unix_micros(F.col(moment).cast("timestamp")))).first()
+    if low is None:
+        rows.write.mode("append").parquet(folder)
+        return
+    at = F.unix_micros(F.col(moment).cast("timestamp"))
+    step = max(1, -(-(high - low + 1) // parts))
+    for k in range(parts):
+        rows.where((at >= low + k * step) & (at < low + (k + 1) * step)).coalesce(1).write.mode("append").parquet(folder)
+    for k in (1, 2):  # the first moves the watermark, the second's batch runs with it
+        last = F.timestamp_micros(F.lit(high)) + k * F.expr(f"INTERVAL {closing}")
+        rows.sparkSession.range(1).select(*[(last if f.name == moment else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields]).write.mode("append").parquet(folder)
+
+
+def drain(rows: DataFrame, folder: str) -> DataFrame:
+    """Runs a stream in append mode over all that is there, and reads what it gave."""
+    run = rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/rows")

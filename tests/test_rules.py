@@ -340,19 +340,68 @@ def test_alerts_in_the_order_of_time(spark):
         assert [lagged[x[0]] for x in own] == [None, None, None, *[float(x[0]) for x in own[:-3]]]
 
 
-def test_stream_forgets_after_its_time_to_live(spark, tmp_path):
-    """Files come one a batch, in order: a key is dropped within a day of its first row, and comes again later."""
+def test_streams_keep_their_state_from_batch_to_batch(spark, tmp_path):
+    """Files come one a batch, in order: a key is let through again only once its time to live is over, also batches later; what a batch runs again isn't kept twice."""
     import time
 
-    from newsgraph.streaming import jobs
+    from newsgraph.streaming import jobs, keyed
 
     day = lambda d, h=0: dt.datetime(2024, 1, d, h)
-    for rows in ([("a", day(1))], [("a", day(1, 12)), ("b", day(5))], [("b", day(5, 1))], [("a", day(6)), ("a", day(6, 1))]):
-        spark.createDataFrame(rows, "key string, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    parts = ([(1, "a", day(1)), (2, "a", day(1, 5))], [(3, "a", day(1, 12)), (4, "b", day(5))], [(5, "b", day(5, 1))], [(6, "a", day(6)), (7, "a", day(6, 1)), (8, "b", day(6))])
+    for rows in parts:
+        spark.createDataFrame(rows, "id long, key string, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         time.sleep(1.1)  # files are taken in the order of their times
-    seen = jobs.first_seen(jobs.source(spark, f"{tmp_path}/in", watermark="24 hours", files=1), "key")
-    got = jobs.drain(seen, f"file://{tmp_path}/out").collect()
-    assert sorted((r.key, r.ts.day) for r in got) == [("a", 1), ("a", 6), ("b", 5)]
+    source = lambda: jobs.source(spark, f"{tmp_path}/in", watermark="1 hours", files=1)
+    seen = jobs.drain(keyed.first_seen(source(), "key", seconds=86_400, tie="id"), f"file://{tmp_path}/seen").collect()
+    assert sorted(r.id for r in seen) == [1, 4, 6, 8]
+    told = jobs.drain(keyed.throttle(source(), "key", 12 * 3600), f"file://{tmp_path}/told").collect()
+    assert sorted(r.id for r in told if r.allowed) == [1, 3, 4, 6, 8] and len(told) == 8
+    states = lambda: {r.job: (r.status, r.created, r.updated) for r in jobs.job_states(source().select(F.col("key").alias("job"), F.col("id").cast("string").alias("status"), "ts"), f"file://{tmp_path}/jobs").collect()}
+    assert states() == {"a": ("7", day(1), day(6, 1)), "b": ("8", day(5), day(6))}
+    spark.createDataFrame([(9, "c", day(7))], "id long, key string, ts timestamp").write.mode("append").parquet(f"{tmp_path}/in")
+    assert states() == {"a": ("7", day(1), day(6, 1)), "b": ("8", day(5), day(6)), "c": ("9", day(7), day(7))}  # goes on where it stopped
+    assert states()["c"][0] == "9"  # and nothing new changes nothing
+
+
+def test_inbox_moves_files_by_their_outcome(spark, tmp_path):
+    """Two runs, several batches, broken files, a name that comes again, and a batch that is read again after its files have moved."""
+    import gzip
+    import json
+    import os
+
+    from newsgraph.sources import inbox
+
+    (tmp_path / "in").mkdir()
+    put = lambda name, found: (tmp_path / "in" / f"{name}.json.gz").write_bytes(found if isinstance(found, bytes) else gzip.compress(json.dumps(found).encode()))
+    good = lambda k: {"url": f"http://h/{k}", "title": f"title {k}", "body": "b" * 20, "tags": "x, y", "metadata": {"k": 1}}
+    put("a", [good(1), {"url": "http://h/2", "title": "no body"}])
+    put("b", good(3))
+    put("c", b"broken")
+    put("d", [{"url": "http://h/4"}])
+    put("e", [])
+    put("f", ["no object", good(5) | {"opinion": "maybe", "body": "short"}])
+    (tmp_path / "in" / "other.txt").write_text("not a feed")
+    source, target = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    inbox.ingest(spark, source, target, files=2, body=10)
+    folders = lambda: {k: sorted(os.listdir(tmp_path / "out" / "inbox" / k)) for k in ("completed", "failed")}
+    assert os.listdir(tmp_path / "in") == ["other.txt"]
+    assert folders() == {"completed": ["a.json.gz", "b.json.gz"], "failed": ["c.json.gz", "d.json.gz", "e.json.gz", "f.json.gz"]}
+    rows = lambda: sorted((r.file, r.url or "", r.kind) for r in spark.read.parquet(f"{target}/rows").collect())
+    first = rows()
+    assert first == [("a.json.gz", "http://h/1", "none"), ("a.json.gz", "http://h/2", "missing_body"), ("b.json.gz", "http://h/3", "none"), ("c.json.gz", "", "unreadable"), ("d.json.gz", "http://h/4", "missing_title"), ("e.json.gz", "", "empty"), ("f.json.gz", "", "no_object"), ("f.json.gz", "http://h/5", "short_body")]
+    put("a", [good(9)])
+    inbox.ingest(spark, source, target, files=2, body=10)
+    assert folders()["completed"] == ["a.json.gz", "a_4.json.gz", "b.json.gz"] and rows() == sorted([*first, ("a.json.gz", "http://h/9", "none")])
+    again = inbox.StreamReader({"path": source, "state": f"{target}/inbox", "body": "10"})
+    part = again.partitions({"batch": 3}, {"batch": 4})
+    assert [p.name for p in part] == ["a.json.gz"] and [r[0] for r in again.read(part[0])] == ["http://h/9"]  # from where it is now
+    again.commit({"batch": 4})
+    assert folders()["completed"] == ["a.json.gz", "a_4.json.gz", "b.json.gz"]
+    told = {(r.file, r.moved): (r.folder, r.rows, r.errors) for r in inbox.outcomes(spark, target).collect()}
+    assert told["a.json.gz", "a_4.json.gz"] == ("completed", 1, 0) and told["f.json.gz", "f.json.gz"] == ("failed", 0, 2)
+    spark.dataSource.register(inbox.Inbox)
+    put("z", [good(7), good(8)])
+    assert sorted(r.url for r in spark.read.format("inbox").option("path", source).load().collect()) == ["http://h/7", "http://h/8"]
 
 
 def test_ingest_sets_aside_what_cannot_be_read(spark, tmp_path):
@@ -371,8 +420,8 @@ def test_ingest_sets_aside_what_cannot_be_read(spark, tmp_path):
     feeds.ingest(spark, source, target, least=10)
     put("new.json.gz", json.dumps({"url": "http://a/4", "body": "z" * 50}))
     feeds.ingest(spark, source, target, least=10)
-    assert sorted((r.url, r.file) for r in spark.read.parquet(f"{target}/rows").collect()) == [("http://a/1", "one.json.gz"), ("http://a/2", "two.json.gz"), ("http://a/4", "new.json.gz")]
-    assert sorted((r.file, r.reason) for r in spark.read.parquet(f"{target}/errors").collect()) == [("bad.json.gz", "unreadable"), ("two.json.gz", "short_body")]
+    assert sorted((r.url, r.file) for r in feeds.ingested(spark, target)[0].collect()) == [("http://a/1", "one.json.gz"), ("http://a/2", "two.json.gz"), ("http://a/4", "new.json.gz")]
+    assert sorted((r.file, r.reason) for r in feeds.ingested(spark, target)[1].collect()) == [("bad.json.gz", "unreadable"), ("two.json.gz", "short_body")]
     assert sorted(r.url for r in feeds.read_articles(spark, source).collect()) == ["http://a/1", "http://a/2", "http://a/3", "http://a/4"]
 
 
