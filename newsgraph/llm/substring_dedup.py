@@ -12,7 +12,9 @@ summary finds them; at most `summary` hashes, whatever the input) come last in t
 minimisers, so a frequent line or phrase attracts no windows with a context of their own.
 Super-k-mers that repeat within a task are settled there, and only the first travels. The
 number of buckets follows the bytes of all texts, and so does the summary up to a bound, so
-that a run that is no frequent one stays small against a bucket. A bucket's windows are
+that a run that is no frequent one stays small against a bucket. Strings are packed by task and
+bucket; with many buckets that would leave scraps, so beyond `COARSE` buckets they travel in two steps,
+to coarse buckets and from there to their own, and each packed string stays long. A bucket's windows are
 sorted in as many passes as its words ask for, each over the windows of some hashes.
 
 Order of documents: by id (null first), then by a hash of the text. Rows that repeat an id
@@ -42,6 +44,10 @@ CHUNK, LEVEL = 8 << 20, 6
 BUCKET_BYTES, SUMMARY, PASS_WORDS = 4 << 20, 1 << 17, 1 << 22
 #: Slices of fewer bytes aren't worth compressing.
 SMALL = 512
+#: More buckets than this are filled in two steps: as many coarse ones first, whose strings are then dealt to their buckets.
+COARSE = 2048
+#: Bytes of strings that a task of the second step reads, about, and that it takes apart at a time.
+STEP_BYTES, STEP_CHUNK = 256 << 20, 16 << 20
 _NULL_ID = -(1 << 63)
 _HOT = np.uint64(1 << 63)
 _BLANKS = bytes(32 if 9 <= b <= 13 else b for b in range(256))
@@ -146,18 +152,86 @@ def _same(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, part:
     return equal
 
 
-def super_kmers(docs: DataFrame, window: int, m: int, hot: np.ndarray, buckets: int) -> DataFrame:
-    """docs (doc_id, key, text) to packed rows (bucket, kmers, done): super-k-mers and windows settled on the spot."""
+def _sliced(buf: np.ndarray, kmers: list[np.ndarray], done: list[np.ndarray]):
+    """Record batch (bucket, kmers, done): strings (ids, keys, places, words, first byte, bytes, bucket) and settled runs (ids, keys, places, words, bucket), packed by bucket."""
+    import pyarrow as pa
 
-    def pack(batches):
-        import pyarrow as pa
+    rows: dict[str, list] = {"bucket": [], "kmers": [], "done": []}
+    order, d_order = np.argsort(kmers[-1], kind="stable"), np.argsort(done[-1], kind="stable")
+    ids, keys, place, count, begin, size, bucket = (x[order] for x in kmers)
+    *gone, home = (x[d_order] for x in done)
+    met = np.union1d(bucket, home)
+    b_edges, h_edges = (np.stack([np.searchsorted(x, met), np.searchsorted(x, met, "right")], 1).tolist() for x in (bucket, home))
+    for b, (b_first, b_end), (h_first, h_end) in zip(met.tolist(), b_edges, h_edges, strict=True):
+        own, settled = slice(b_first, b_end), slice(h_first, h_end)
+        text = buf[common.ranges(begin[own], size[own] + 1) % len(buf)].copy()  # and the byte behind, a word's end
+        text[np.cumsum(size[own] + 1) - 1] = 32
+        rows["bucket"].append(b)
+        rows["kmers"].append(_pack(ids[own], keys[own], place[own], count[own], text.tobytes()) if b_end > b_first else None)
+        rows["done"].append(_pack(*[x[settled] for x in gone], b"") if h_end > h_first else None)
+    return pa.record_batch({"bucket": pa.array(rows["bucket"], pa.int32()), "kmers": pa.array(rows["kmers"], pa.binary()), "done": pa.array(rows["done"], pa.binary())})
+
+
+def _marked(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Hashes of runs with frequent ones put last."""
+    if not len(hot):
+        return h
+    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+    return np.where(hot[at] == h, h | _HOT, h)
+
+
+def dealt(packed: DataFrame, window: int, m: int, hot: np.ndarray, buckets: int, per: int) -> DataFrame:
+    """Strings of coarse buckets (`per` buckets each) to their own buckets, by the minimiser that each string's windows share.
 
+    A coarse bucket is read by as many tasks as its size asks for, by a hash of its packed strings.
+    """
+    tasks = max(1, -(-per * BUCKET_BYTES // (STEP_BYTES // 3)))
+
+    def run(batches):
+        held, bytes_held, now = [], 0, None
+        for batch in batches:
+            for b, kmers, done in zip(batch["bucket"].to_pylist(), batch["kmers"], batch["done"], strict=True):
+                if held and (b != now or bytes_held > STEP_CHUNK):
+                    yield deal(held)
+                    held, bytes_held = [], 0
+                now = b
+                parts = [_unpack(x.as_py()) if x.is_valid else None for x in (kmers, done)]
+                held.append(parts)
+                bytes_held += sum(len(p[1]) + p[0].nbytes for p in parts if p)
+        if held:
+            yield deal(held)
+
+    def deal(held):
+        none = np.zeros((4, 0), np.int64)
+        ids, keys, place, count = np.concatenate([p[0][0] for p in held if p[0]] or [none], axis=1)
+        gone = np.concatenate([p[1][0] for p in held if p[1]] or [none], axis=1)
+        buf = np.frombuffer(b"".join(p[0][1] for p in held if p[0]) or b" ", np.uint8)
+        starts, ends = common.word_bounds(buf)
+        low, begin, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(ids):
+            h = _marked(common.mix(common.rolled(common.word_hashes(buf, starts, ends), m)) & ~_HOT, hot)
+            offset = np.cumsum(count) - count
+            edges = np.stack([offset, offset + window - m + 1], 1).ravel()
+            low = np.minimum.reduceat(np.append(h, ~np.uint64(0)), edges)[::2]
+            begin = starts[offset]
+            size = ends[offset + count - 1] - begin
+        fine = (common.mix(low) % np.uint64(buckets)).astype(np.int64)
+        home = (common.mix(gone[0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        return _sliced(buf, [ids, keys, place, count, begin, size, fine], [*gone, home])
+
+    coarse = -(-buckets // per)
+    spread = packed.repartition(coarse * tasks, "bucket", F.pmod(F.xxhash64("kmers", "done"), F.lit(tasks))).sortWithinPartitions("bucket")
+    return spread.mapInArrow(run, "bucket int, kmers binary, done binary")
+
+
+def super_kmers(docs: DataFrame, window: int, m: int, hot: np.ndarray, buckets: int, per: int = 1) -> DataFrame:
+    """docs (doc_id, key, text) to packed rows (bucket, kmers, done): super-k-mers and windows settled on the spot, by coarse bucket if it is `per` buckets."""
+
+    def pack(batches):
         for chunk in common.chunks(batches, "text", CHUNK):
             words = _Words(chunk["text"])
             h, _ = _runs(words, m)
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-                h = np.where(hot[at] == h, h | _HOT, h)
+            h = _marked(h, hot)
             n = len(words.hashes) - window + 1
             if n < 1:
                 continue
@@ -192,18 +266,7 @@ def super_kmers(docs: DataFrame, window: int, m: int, hot: np.ndarray, buckets:
             travel = np.sort(order[~again])
             bucket = (common.mix(low[first]) % np.uint64(buckets)).astype(np.int64)
             home = (common.mix(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            rows = {"bucket": [], "kmers": [], "done": []}
-            by, at_home = travel[np.argsort(bucket[travel], kind="stable")], settled[np.argsort(home[settled], kind="stable")]
-            met = np.union1d(bucket[by], home[at_home])
-            b_edges, h_edges = (np.stack([np.searchsorted(x, met), np.searchsorted(x, met, "right")], 1).tolist() for x in (bucket[by], home[at_home]))
-            for b, (b_first, b_end), (h_first, h_end) in zip(met.tolist(), b_edges, h_edges, strict=True):
-                own, gone = by[b_first:b_end], at_home[h_first:h_end]
-                text = words.buf[common.ranges(begin[own], size[own] + 1) % len(words.buf)].copy()  # and the byte behind, a word's end
-                text[np.cumsum(size[own] + 1) - 1] = 32
-                rows["bucket"].append(b)
-                rows["kmers"].append(_pack(ids[own], keys[own], place[own], count[own], text.tobytes()) if len(own) else None)
-                rows["done"].append(_pack(ids[gone], keys[gone], place[gone], count[gone], b"") if len(gone) else None)
-            yield pa.record_batch({"bucket": pa.array(rows["bucket"], pa.int32()), "kmers": pa.array(rows["kmers"], pa.binary()), "done": pa.array(rows["done"], pa.binary())})
+            yield _sliced(words.buf, [x[travel] for x in (ids, keys, place, count, begin, size, bucket // per)], [x[settled] for x in (ids, keys, place, count, home // per)])
 
     return docs.mapInArrow(pack, "bucket int, kmers binary, done binary")
 
@@ -275,7 +338,7 @@ def _squeezed(buf: np.ndarray, begin: np.ndarray, size: np.ndarray):
     return lambda i: b" ".join(buf[begin[i] : begin[i] + size[i]].tobytes().split())
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, minimiser: int = MINIMISER, buckets: int | None = None, summary: int | None = None) -> DataFrame:
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, minimiser: int = MINIMISER, buckets: int | None = None, summary: int | None = None, coarse: int = COARSE) -> DataFrame:
     """(doc_id, key, first, last): word runs to remove, possibly overlapping. key is xxhash64 of the text."""
     if not 1 <= minimiser <= window:
         raise ValueError("a minimiser is 1 to `window` words")
@@ -284,7 +347,9 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         size = picked.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first().n
         buckets = max(4 * common.partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
     hot = frequent_runs(picked.select("text"), minimiser, summary or min(SUMMARY, max(1024, 2 * buckets)))
-    return repeated(super_kmers(picked, window, minimiser, hot, buckets), window)
+    per = -(-buckets // coarse)
+    packed = super_kmers(picked, window, minimiser, hot, buckets, per)
+    return repeated(dealt(packed, window, minimiser, hot, buckets, per) if per > 1 else packed, window)
 
 
 def _picked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -307,9 +372,9 @@ def _packed_texts(picked: DataFrame) -> DataFrame:
     return picked.mapInArrow(run, "doc_id long, key long, packed binary")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, minimiser: int = MINIMISER, buckets: int | None = None, summary: int | None = None, keep_text: bool = True) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, minimiser: int = MINIMISER, buckets: int | None = None, summary: int | None = None, keep_text: bool = True, coarse: int = COARSE) -> DataFrame:
     """For each row: doc_id, n_words, n_removed, kept_sha256, and the kept words joined by blanks (keep_text)."""
-    gone = spans(docs, id_col, text_col, window, minimiser, buckets, summary)
+    gone = spans(docs, id_col, text_col, window, minimiser, buckets, summary, coarse)
     gone = gone.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "last")).alias("gone"))  # a document's own runs only
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "gone")
     joined = _packed_texts(_picked(docs, id_col, text_col)).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")

@@ -68,6 +68,30 @@ def test_substrings(spark, window, minimiser, summary):
     assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_substrings(rows, window)
 
 
+@pytest.mark.parametrize(("coarse", "buckets", "tasks"), [(3, 40, 1), (1, 7, 2), (8, 100, 3)])
+def test_substrings_in_two_steps(spark, monkeypatch, coarse, buckets, tasks):
+    """Coarse buckets first, read by one or more tasks, then each string's own: the same rows, and every string in the bucket that one step gives."""
+    monkeypatch.setattr(substring_dedup, "STEP_BYTES", 3 * -(-(-(-buckets // coarse) * substring_dedup.BUCKET_BYTES) // tasks))
+    rows = corpus(seed=5)
+    got = substring_dedup.deduplicate(docs(spark, rows), window=8, buckets=buckets, coarse=coarse, summary=16)
+    assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_substrings(rows, 8)
+    picked = substring_dedup._picked(docs(spark, rows), "doc_id", "text").where("text is not null")
+    hot, per = substring_dedup.frequent_runs(picked.select("text"), 3, 16), -(-buckets // coarse)
+
+    def held(packed):
+        found = Counter()
+        for r in packed.collect():
+            for kind in ("kmers", "done"):
+                if r[kind]:
+                    (ids, keys, place, count), text = substring_dedup._unpack(bytes(r[kind]))
+                    found.update((r.bucket, kind, *x) for x in zip(ids.tolist(), keys.tolist(), place.tolist(), count.tolist(), strict=True))
+                    found.update((r.bucket, kind, w) for w in text.split())
+        return found
+
+    one = substring_dedup.super_kmers(picked, 8, 3, hot, buckets)
+    assert held(substring_dedup.dealt(substring_dedup.super_kmers(picked, 8, 3, hot, buckets, per), 8, 3, hot, buckets, per)) == held(one)
+
+
 def test_substrings_in_several_passes_and_many_buckets(monkeypatch):
     """A bucket's windows sorted in passes give what one pass gives; buckets follow the bytes."""
     import pyarrow as pa
