@@ -183,7 +183,7 @@ def valid_fields(confidence: Column, start: Column, end: Column, url: Column, da
     """A struct of checks; null values pass."""
     return F.struct(
         F.coalesce(confidence.between(0, 1), F.lit(True)).alias("confidence"), F.coalesce((start >= 0) & (end >= start), F.lit(True)).alias("offsets"), F.coalesce(url.rlike("^https?://[^\\s/]+"), F.lit(True)).alias("url"),
-        F.coalesce(day.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_timestamp(day, F.lit("yyyy-MM-dd")).isNotNull(), day.isNull()).alias("day"), F.coalesce(wikidata.rlike(r"^https?://www\.wikidata\.org/(wiki|entity)/Q\d+$"), F.lit(True)).alias("wikidata"),
+        (day.isNull() | (day.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_timestamp(day, F.lit("yyyy-MM-dd")).isNotNull())).alias("day"), F.coalesce(wikidata.rlike(r"^https?://www\.wikidata\.org/(wiki|entity)/Q\d+$"), F.lit(True)).alias("wikidata"),
     )
 
 

@@ -149,3 +149,21 @@ def payload_checks(spark, sf_dir):
         F.when(k(7), "http://x/Q1").otherwise("https://www.wikidata.org/wiki/Q1").alias("wikidata"), F.when(k(11), '["a",null]').otherwise('["a","b"]').alias("tags"), F.when(k(13), F.array(F.lit(1.0), F.lit(None))).otherwise(F.array(F.lit(1.0))).alias("vector"),
     )
     return rows.select("fragment", F.array_join(op.payload_errors(rows), ",").alias("errors"))
+
+
+@query("""WITH x AS (SELECT DISTINCT l_orderkey AS fragment, l_linenumber AS n FROM lineitem), y AS (SELECT a.fragment, a.n AS a, b.n AS b FROM x a JOIN x b ON a.fragment = b.fragment AND b.n = a.n + 1)
+SELECT fragment, 'entity_entity' AS relation, a, b, CASE a % 3 WHEN 0 THEN 'miembro_de' WHEN 1 THEN 'aliado_con' END AS kind, CASE WHEN a * 3 <= 10 THEN a * 3 ELSE 5 END AS weight FROM y WHERE a % 3 <> 2
+UNION ALL SELECT fragment, 'contradiction', a, b, CASE WHEN a % 2 = 0 THEN 'fecha' ELSE 'contenido' END, CASE WHEN a <= 5 THEN a ELSE 3 END FROM y""")
+def relation_kinds(spark, sf_dir):
+    """Relations between entities, of kinds that are known in any case of letters or not at all, and contradictions; both also with ends that the fragment lacks, and with themselves."""
+    lines = model.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("fragment"), F.col("l_linenumber").alias("n")).distinct()
+    n = F.col("n")
+    kind = F.when(n % 3 == 0, "MIEMBRO_DE").when(n % 3 == 1, "Aliado_Con").otherwise("vecino")
+    ends = lambda a, b, **more: F.struct(n.alias(a), (n + 1).alias(b), *[v.alias(k) for k, v in more.items()])
+    own = lambda a, b, **more: F.struct(n.alias(a), n.alias(b), *[v.alias(k) for k, v in more.items()])
+    of_entities = {"tipo_relacion": kind, "fuerza": n * 3}
+    against = {"tipo": F.when(n % 2 == 0, "fecha").otherwise("rumor"), "grado": n}
+    e, c = ("entidad_origen_id", "entidad_destino_id"), ("hecho_principal_id", "hecho_contradictorio_id")
+    rows = lines.groupBy("fragment").agg(F.flatten(F.collect_list(F.array(ends(*e, **of_entities), own(*e, **of_entities)))).alias("entidad_relacion"), F.flatten(F.collect_list(F.array(ends(*c, **against), own(*c, **against)))).alias("contradicciones"))
+    replies = settle(rows.select("fragment", F.to_json(F.struct("entidad_relacion", "contradicciones")).alias("reply")))
+    return op.relations(replies, "fragment", "reply", lines.select("fragment", n.alias("fact")), lines.select("fragment", n.alias("entity")))

@@ -167,3 +167,52 @@ def names_and_templates(spark, sf_dir):
         "doc_id", text.slug(F.concat_ws(" ", "source", "lang")).alias("slug"), text.language_code(F.col("lang")).alias("code"), text.global_reference(F.col("doc_id").cast("string"), F.lit("fact"), F.col("n_chars")).alias("reference"),
         text.embedding_text(F.col("source"), F.col("lang")).alias("embedding_text"), text.fill(F.lit("Medio {{source}}: {{n}} caracteres"), {"source": F.col("source"), "n": F.col("n_chars")}).alias("message"),
     )
+
+
+@query(r"""WITH e AS (SELECT event_id, value / 300 AS c, event_id % 10 AS a, event_id * 7 % 15 AS b, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'ftp://h/x' ELSE 'https://h/' || event_id END AS url,
+  CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '2024-02-30' WHEN 2 THEN '2024-1-3' ELSE strftime(ts, '%Y-%m-%d') END AS day, CASE event_id % 3 WHEN 0 THEN 'https://www.wikidata.org/wiki/Q' || event_id WHEN 1 THEN 'https://www.wikidata.org/wiki/P' || event_id END AS q, event_id % 5 AS d, event_id % 4 AS u, event_id % 3 AS w FROM events)
+SELECT event_id, c <= 1 AS confidence, b >= a AS offsets, u <> 1 AS url, d NOT IN (1, 2) AS day, w <> 1 AS wikidata FROM e""")
+def field_checks(spark, sf_dir):
+    """Checks of confidence, offsets, addresses, days and Wikidata entities; nulls pass."""
+    e, n = model.table(spark, sf_dir, "events"), F.col("event_id")
+    url = F.when(n % 4 == 1, "ftp://h/x").when(n % 4 > 1, F.concat(F.lit("https://h/"), "event_id"))
+    day = F.when(n % 5 == 1, "2024-02-30").when(n % 5 == 2, "2024-1-3").when(n % 5 > 2, F.date_format("ts", "yyyy-MM-dd"))
+    wikidata = F.when(n % 3 == 0, F.concat(F.lit("https://www.wikidata.org/wiki/Q"), "event_id")).when(n % 3 == 1, F.concat(F.lit("https://www.wikidata.org/wiki/P"), "event_id"))
+    return e.select("event_id", text.valid_fields(F.col("value") / 300, n % 10, n * 7 % 15, url, day, wikidata).alias("v")).select("event_id", "v.*")
+
+
+@query("""SELECT o_orderkey, md5('{"key":' || o_orderkey || ',"note":' || CASE WHEN o_orderkey % 3 = 0 THEN '"x' || o_orderkey || '"' ELSE 'null' END || ',"state":"' || o_orderstatus || '"}') AS checksum FROM orders""")
+def row_checksums(spark, sf_dir):
+    note = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("x"), "o_orderkey"))
+    return model.table(spark, sf_dir, "orders").select("o_orderkey", text.checksum(state=F.col("o_orderstatus"), note=note, key=F.col("o_orderkey")).alias("checksum"))
+
+
+@query("""SELECT event_id, ((epoch_us(now) // 1000000 - epoch_us(ts) // 1000000) // 3600)::BIGINT AS total, ((epoch_us(now) // 1000000 - epoch_us(ts) // 1000000) // 3600 % 24)::BIGINT AS field FROM events, (SELECT max(ts) AS now FROM events)""")
+def alert_ages(spark, sf_dir):
+    """Hours that an event is old: in all, and the field that wraps at a day."""
+    events = model.table(spark, sf_dir, "events")
+    dated = events.crossJoin(model.as_of(events, "ts"))
+    return dated.select("event_id", *[dates.hours_between(F.col("ts"), F.col("now"), f).cast("long").alias(name) for f, name in ((False, "total"), (True, "field"))])
+
+
+@query("""SELECT l_orderkey, l_linenumber, 'f' || l_orderkey AS fragment, l_returnflag AS kind, l_linenumber::VARCHAR AS number FROM lineitem WHERE l_linenumber % 3 <> 0 UNION ALL SELECT l_orderkey, l_linenumber, NULL, NULL, NULL FROM lineitem WHERE l_linenumber % 3 = 0""")
+def reference_fields(spark, sf_dir):
+    """References made and taken apart again; every third is none."""
+    made = F.when(F.col("l_linenumber") % 3 != 0, text.global_reference(F.concat(F.lit("f"), "l_orderkey"), F.col("l_returnflag"), F.col("l_linenumber"))).otherwise(F.concat(F.lit("f#"), "l_linenumber"))
+    return model.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.reference_parts(made).alias("r")).select("l_orderkey", "l_linenumber", "r.*")
+
+
+@query(r"""SELECT p_partkey, 'Nandu &quot;' || p_name || '&quot; O&#x27;Neil - ' || p_partkey || ', ltd.' AS name FROM part""")
+def entity_names(spark, sf_dir):
+    """Names with accents, marks that go and marks that are escaped."""
+    raw = F.concat(F.lit('  Ñandú  <&"'), "p_name", F.lit("\"  O'Neil@ - "), "p_partkey", F.lit(",\nltd.!"))
+    return model.table(spark, sf_dir, "part").select("p_partkey", text.entity_name(raw).alias("name"))
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, html FROM pages), d AS (SELECT *, regexp_extract(host, '[^.]+[.][^.]+$') AS domain FROM p)
+SELECT page_id, nullif(CASE WHEN domain = 'example.com' THEN coalesce(nullif(regexp_extract(html, 'track[(]([0-9]+)[)]', 1), ''), '') WHEN domain = 'example.net' THEN coalesce(nullif(regexp_extract(html, '<!-- none ([0-9]+) -->', 1), ''), regexp_extract(html, '<!-- ad ([0-9]+) -->', 1)) ELSE regexp_extract(html, '<html lang="([a-z]+)"', 1) END, '') AS field FROM d""")
+def site_fields(spark, sf_dir):
+    """A field by the patterns of each page's site, the first that gives something, and by the general ones elsewhere."""
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    rules = {"example.com": [r"track[(]([0-9]+)[)]"], "example.net": [r"<!-- none ([0-9]+) -->", r"<!-- ad ([0-9]+) -->"]}
+    return model.table(spark, sf_dir, "pages").select("page_id", html.by_site(F.col("html"), F.regexp_extract(host, r"[^.]+[.][^.]+$", 0), rules, ['<html lang="([a-z]+)"']).alias("field"))
