@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsgraph.functions import text as tx
@@ -46,8 +46,9 @@ def split_valid(df: DataFrame, title: int = 10, body: int = 100) -> tuple[DataFr
 
 
 def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:
-    """The last row of each key."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*[o.desc_nulls_last() for o in order]))).where("_n = 1").drop("_n")
+    """The last row of each key, nulls before all values; found map-side, so no task sorts a key's rows."""
+    last = F.max_by(F.struct(*df.columns), F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)]))
+    return df.groupBy(F.col(key).alias("_key")).agg(last.alias("_last")).select("_last.*")
 
 
 def merge(stored: DataFrame, batch: DataFrame, key: str) -> DataFrame:

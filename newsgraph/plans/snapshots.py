@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from newsgraph.operators import incremental as inc
-from newsgraph.operators import reports
+from newsgraph.operators import reports, sketches
 from newsgraph.plans import model
 from newsgraph.registry import query
 from newsgraph.session import remove, settle, shared_dir
@@ -88,3 +88,23 @@ def retention_by_period(spark, sf_dir):
     left = settle(spark.read.parquet(folder).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("rows")))
     remove(spark, folder)
     return spark.createDataFrame(result, "day string, result string").join(left, "day", "left").na.fill(0, ["rows"])
+
+
+@query("""WITH p AS (SELECT event_type AS kind, strftime(ts, '%Y-%m-%d') AS day, value FROM events UNION ALL SELECT event_type, 'all', value FROM events)
+SELECT kind, day, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, share, true AS within FROM p, (SELECT unnest(['p50', 'p95', 'p99']) AS share) GROUP BY kind, day, share""")
+def stored_percentiles(spark, sf_dir):
+    """Percentiles of each day and of the whole time from hourly sketches that were stored in two parts, and whether each is within 1 % in rank of the exact one."""
+    folder, shares = _folder(spark, "sketches"), {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    events = model.table(spark, sf_dir, "events").select("event_id", "ts", F.col("event_type").alias("kind"), "value")
+    for half in (0, 1):
+        sketches.append(sketches.hourly(events.where(F.col("event_id") % 2 == half)), folder)
+    kept = sketches.stored(spark, folder)
+    told = sketches.report(kept, shares, "kind", F.date_format("day", "yyyy-MM-dd").alias("day")).unionByName(sketches.report(kept, shares, "kind", F.lit("all").alias("day")))
+    told = settle(told.select("kind", "day", "n", F.round("mean", 6).alias("mean"), "least", "most", F.explode(F.create_map(*[x for name in shares for x in (F.lit(name), F.col(name))])).alias("share", "_q")))
+    remove(spark, folder)
+    each = events.select("kind", "value", F.explode(F.array(F.date_format("ts", "yyyy-MM-dd"), F.lit("all"))).alias("day"))
+    ranks = each.join(told.select("kind", "day", "share", "_q"), ["kind", "day"]).groupBy("kind", "day", "share").agg(F.count_if(F.col("value") < F.col("_q")).alias("_below"), F.count_if(F.col("value") <= F.col("_q")).alias("_upto"))
+    goal = F.col("n") * F.element_at(F.create_map(*[x for name, p in shares.items() for x in (F.lit(name), F.lit(p))]), F.col("share"))
+    room = F.greatest(F.lit(1.0), F.col("n") * 0.01)
+    joined = told.join(ranks, ["kind", "day", "share"])
+    return joined.select("kind", "day", "n", "mean", "least", "most", "share", ((F.col("_below") <= goal + room) & (F.col("_upto") >= goal - room)).alias("within"))

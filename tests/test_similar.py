@@ -133,3 +133,41 @@ def test_whole_conflicts_of_both_kinds(spark, rows, folder):
     members = {(r.id, r.item) for r in registry.QUERIES["verdict_membership"](spark, folder).collect()}
     assert members == {(r[0], min(m[0] for m in group)) for group in groups.values() for r in group}
     assert (62, 61) in members and (61, 60) in got and {i for pair in got for i in pair} <= {item for _, item in members}
+
+
+def test_stored_index_answers_as_a_join_does(spark, tmp_path):
+    """Appends, ties, repeated names, names without trigrams, and a stored side that isn't moved."""
+    import random
+
+    from newsgraph.operators import similar as op
+    from newsgraph.operators.gram_index import GramIndex
+
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.randint(2, 6)))
+    rows = [(k, f"{word()} {word()}", "xy"[k % 2]) for k in range(200)] + [(500, "same name", "x"), (501, "same name", "x"), (502, None, "x"), (503, "...", "y")]
+    stored = spark.createDataFrame(rows, "id long, name string, kind string")
+    asked = spark.createDataFrame([(n[:-1] if n else n, k) for _, n, k in rows[::3]] + [("same nam", "x"), ("", "x"), (None, "y"), ("zzz", "x"), ("same name", "z")], "name string, kind string")
+    index = GramIndex(spark, "grams_test", f"file://{tmp_path}/index", 4)
+    for part in range(3):
+        index.append(stored.where(f"id % 3 = {part}"))
+    for t, strictly in ((0.3, False), (0.5, True), (0.8, False)):
+        key = lambda x: (x.name or "", x.kind, x.name is None)
+        got = {key(x): (x.entity, round(x.score, 9), x.is_new) for x in index.resolve(asked, t, strictly).collect()}
+        want = {key(x): (x.entity, round(x.score, 9), x.is_new) for x in op.resolve(asked.where("name is not null"), stored, t, strictly).collect()}
+        assert {k: v for k, v in got.items() if not k[2]} == want and got["", "y", True] == (None, 0.0, True)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for an index that is too large for that
+    try:
+        plan = index.candidates(asked.distinct(), 0.5)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.split("\n")
+    at = next(k for k, line in enumerate(lines) if "Bucketed: true" in line)
+    join = max(k for k in range(at) if "Join" in lines[k])
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    above, here = [], depth(lines[at])
+    for line in reversed(lines[join + 1 : at]):  # from the scan up to the join
+        if depth(line) < here:
+            above.append(line)
+            here = depth(line)
+    assert "Bucketed: true" in plan and not any("Exchange" in line for line in above)
+    index.drop()
