@@ -165,6 +165,7 @@ class Templates:
         self.names, self.words = list(words), list(words.values())
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for t in self.words for w in t}))}
         self.ids = [np.array([self.vocabulary[w] for w in t], np.int64) for t in self.words]
+        self.gates = [frozenset((deciding or {}).get(name, ())) for name in self.names]
         self.must = [{self.vocabulary.get(w, -1) for w in (deciding or {}).get(name, ())} for name in self.names]
         self.member = np.zeros((len(self.words), len(self.vocabulary) + 1), bool)
         seeds = []
@@ -341,6 +342,9 @@ def find(words: list[bytes], templates: dict[str, list[bytes]] | Templates, leas
     and is meant itself.
     """
     known = templates if isinstance(templates, Templates) else Templates(templates, deciding)
+    present = set(words)
+    if not any(gate <= present for gate in known.gates):  # no template's deciding words are all there
+        return []
     get = known.vocabulary.get
     ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
     rows, there = known.matches(ids), set(ids.tolist())

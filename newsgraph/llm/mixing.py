@@ -113,11 +113,11 @@ def weigh(docs: DataFrame, topics: DataFrame | None = None, targets=None, budget
 
 
 def sample(docs: DataFrame, topics: DataFrame | None = None, targets=None, budget: float = BUDGET, temper: float = TEMPER, rounds: int = ROUNDS, steps: int = STEPS, tolerance: float = TOLERANCE, id_col: str = "doc_id", **columns: str) -> DataFrame:
-    """The sampled rows with all their columns."""
+    """The sampled rows with all their columns. Their ids are broadcast if they are counted to be few, so that texts stay where they are read; else they are joined by a shuffle."""
     chosen = weigh(docs, topics, targets, budget, temper, rounds, steps, tolerance, id_col, **columns).where("sampled").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_chosen")).distinct()
     flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
     key = F.coalesce(F.col(f"_c{docs.columns.index(id_col)}").cast("long").cast("string"), F.lit("null"))
-    return flat.join(chosen, key == F.col("_chosen"), "left_semi").toDF(*docs.columns)
+    return flat.join(common.short(common.settle(chosen)), key == F.col("_chosen"), "left_semi").toDF(*docs.columns)
 
 
 def embedding_topics(embeddings: DataFrame) -> DataFrame:
