@@ -191,20 +191,22 @@ def chosen_templates(alerts: DataFrame, channels: DataFrame, templates: DataFram
 
 
 def _gated(rows: DataFrame) -> DataFrame:
-    """Decisions in the order of time, per channel: what counts in an hour and when a cooldown starts depends on what was sent."""
+    """Decisions in the order of time, per channel: what counts in an hour and when a cooldown starts depends on what was sent.
+
+    Alerts that a channel isn't open for are skipped where they are. The others are decided run by run: after a gap longer than an
+    hour and every cooldown nothing from before counts, so only a run without such a gap is one task's.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, hour, sent, last = None, None, 0, None
         for b in batches:
             decided = []
-            for channel, open_, most, cooldown, ts, h in zip(b["channel"], b["_open"], b["per_hour"], b["cooldown"], b["_micros"], b["_hour"], strict=True):
-                if channel != current:
-                    current, hour, sent, last = channel, None, 0, None
+            for at, most, cooldown, ts, h in zip(zip(b["channel"], b["_run"], strict=True), b["per_hour"], b["cooldown"], b["_micros"], b["_hour"], strict=True):
+                if at != current:
+                    current, hour, sent, last = at, None, 0, None
                 if h != hour:
                     hour, sent = h, 0
-                if pd.isna(open_) or not open_:
-                    decided.append("skipped")
-                elif sent >= most:  # never where there is no cap
+                if sent >= most:  # never where there is no cap
                     decided.append("throttled")
                 elif last is not None and ts - last < cooldown * 60_000_000:
                     decided.append("skipped")
@@ -214,8 +216,12 @@ def _gated(rows: DataFrame) -> DataFrame:
             yield pd.DataFrame({"id": b["id"], "channel": b["channel"], "decision": decided, "template": b["template"]})
 
     kinds = dict(rows.dtypes)
-    exact = rows.withColumns({"per_hour": F.col("per_hour").cast("double"), "cooldown": F.col("cooldown").cast("double")})
-    return exact.repartition("channel").sortWithinPartitions("channel", "_micros", "id").mapInPandas(run, f"id {kinds['id']}, channel {kinds['channel']}, decision string, template string")
+    open_ = F.coalesce("_open", F.lit(False))
+    closed = rows.where(~open_).select("id", "channel", F.lit("skipped").alias("decision"), "template")
+    exact = rows.where(open_).withColumns({"per_hour": F.col("per_hour").cast("double"), "cooldown": F.col("cooldown").cast("double"), "seconds": F.col("_micros") / 1e6})
+    wait = rows.agg(F.max(F.col("cooldown").cast("double"))).first()[0] or 0.0
+    told = _runs(exact, "channel", max(3600.0, 60 * wait)).repartition("channel", "_run").sortWithinPartitions("channel", "_run", "_micros", "id")
+    return told.mapInPandas(run, f"id {kinds['id']}, channel {kinds['channel']}, decision string, template string").unionByName(closed)
 
 
 def flood_step(state: tuple | None, ts: float, most: int, period: float, escalate: int) -> tuple[tuple, bool, bool]:
