@@ -816,7 +816,7 @@ def test_toxicity(spark):
         assert by_id[i].predicted == 1
         for s in by_id[i].spans:
             assert all(w.startswith(("blorg", "snar")) for w in text[i][s.start : s.end].split()), (i, s)
-    assert text[1005][by_id[1005].spans[-1].start :] == "snarlik blorgix"
+    assert by_id[1005].spans[-1].end == len(text[1005])  # at the end of a long text
     assert sum(len(by_id[i].spans) for i, _, k in rows if not k) <= 3
     # labels, and no other column, decide; without both kinds of labels nothing is known
     assert toxicity.fit(table, labels.where("toxic = 0")) is None
@@ -832,7 +832,7 @@ def test_labelled_sample_is_bounded_with_repeated_ids(spark):
     got, counts = common.labelled_sample(docs(spark, rows), labels, lambda c: F.lit(False), "doc_id", "text", "quality", 10, 1 << 20)
     assert len(got[1]) == 10 and set(got[1]) <= {t for _, t in rows} and sorted(got[0]) in (["other", "same"], ["same"]) and counts == {0: 2, 1: 1}
     got, _ = common.labelled_sample(docs(spark, rows), labels, lambda c: F.lit(False), "doc_id", "text", "quality", 60, 20)
-    assert len(got[1]) == 2 and len(got[0]) == 2 and got[0].count("same") == 1
+    assert 14 <= sum(map(len, got[1])) <= 20 and sorted(got[0]) == ["other", "same"]
 
 
 # 12
@@ -877,7 +877,7 @@ def test_spelling_variants(spark):
         return w
 
     rows = [(i, " ".join(r.choice([str.upper, str.lower])(damaged(base[int(len(base) * r.random() ** 3)])) + r.choice(["", ",", "1", "_"]) for _ in range(120))) for i in range(80)]
-    rows += [(100, None), (101, ""), (102, "short words only 12"), rows[0], (None, rows[1][1]), (103, "abcabcab " * 3000)]
+    rows += [(100, None), (101, ""), (102, "short words only 12"), rows[0], (None, rows[1][1]), (103, "abcabcab " * 3000), (104, "chainabc " * 2 + "chainabcd " * 25 + "chainabcde " * 260)]
     got = rows_of(spelling.variants(docs(spark, rows)), "word", "n", "n_near", "form", "form_n", "root")
     want = brute_variants(rows)
     assert got == want and len(got) > 300
@@ -991,5 +991,6 @@ def test_empty_tables(spark):
     for df in (
         substring_dedup.deduplicate(none), vector_search.top_k(vectors, F.col("vec_id") % 50 == 0), warc.read(warc.write(warc.assign(pages))), near_dedup.near_duplicates(none), exact_dedup.groups(none), mixing.weigh(none),
         url_filter.judge(pages, url_filter.tracked(pages)), licenses.scan(none), quality.score(none, quality.fit(none, labels)), packing.pack(packing.pieces(none, packing.vocabulary())), exact_dedup.deduplicate(none), near_dedup.deduplicate(none), mixing.sample(none),
+        toxicity.score(none, toxicity.fit(none, labels.withColumnRenamed("quality", "toxic"))), spelling.variants(none), whitening.whiten(vectors, whitening.fit(vectors)),
     ):
         assert df.collect() == []
