@@ -31,7 +31,7 @@ def write_by_period(df: DataFrame, path: str, moment: str, period: str = "month"
 
 def drop_before(spark: SparkSession, path: str, moment: str, period: str, bound) -> dict[str, list[str]]:
     """Takes rows before a moment out of a table laid out by period: folders of whole periods are removed without being read,
-    the bound's own period is written anew, and later ones aren't touched. (dropped, rewritten) periods."""
+    the bound's own period is written anew (or goes, if nothing of it is left), and later ones aren't touched. (dropped, rewritten) periods."""
     edge = bound.strftime({"day": "%Y-%m-%d", "month": "%Y-%m", "year": "%Y"}[period])
     held = [n.removeprefix(f"{period}=") for n in names(spark, path) if n.startswith(f"{period}=") and n != f"{period}=__HIVE_DEFAULT_PARTITION__"]
     old, rewritten = [p for p in held if p < edge], []
@@ -40,8 +40,12 @@ def drop_before(spark: SparkSession, path: str, moment: str, period: str, bound)
     if edge in held:
         part = f"{path}/{period}={edge}"
         rows = settle(spark.read.parquet(part).where(F.col(moment) >= F.lit(bound).cast(dict(spark.read.parquet(part).dtypes)[moment])))
-        rows.write.mode("overwrite").parquet(part)
-        rewritten = [edge]
+        if rows.isEmpty():
+            remove(spark, part)
+            old.append(edge)
+        else:
+            rows.write.mode("overwrite").parquet(part)
+            rewritten = [edge]
     return {"dropped": old, "rewritten": rewritten}
 
 
