@@ -9,16 +9,32 @@ from pyspark.sql import functions as F
 STRONG = 5
 
 
-def edges(mentions: DataFrame, facts: DataFrame, least: int = 2) -> DataFrame:
+#: Rows of mentions a partition; their pairs, a few times as many, fit a task's memory whatever the table's size.
+ROWS = 400_000
+
+
+def parts(mentions: DataFrame, rows: int = ROWS) -> int:
+    """Partitions for the pairs of a table of mentions: as many as the session's, and more as the table grows."""
+    return max(int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-mentions.count() // rows))
+
+
+def pairs(mentions: DataFrame, facts: DataFrame, n: int) -> DataFrame:
+    """(a, b, importance, ingested, ..) of mentions of one fact, dealt to n partitions by the fact, then by the pair.
+
+    Few pairs repeat within a task, so nothing is summed before they are dealt: a sum of nearly all rows would only take memory.
+    """
+    dealt = mentions.repartition(n, "fact_id")
+    left = facts.repartition(n, "fact_id").join(dealt, "fact_id").withColumnRenamed("entity_id", "a")
+    return left.join(dealt.withColumnRenamed("entity_id", "b"), "fact_id").where("a < b").drop("fact_id").repartition(n, "a", "b")
+
+
+def edges(mentions: DataFrame, facts: DataFrame, least: int = 2, n: int | None = None) -> DataFrame:
     """(a, b, meetings, importance, latest) for entities a < b named by at least `least` common facts.
 
-    Mentions are a set, so meetings and distinct facts are one number. Facts are joined to one side before the
-    pairs are made, so the pairs carry what they need and are summed map-side.
+    Mentions are a set, so meetings and distinct facts are one number.
     """
-    left = mentions.join(facts.select(F.col("id").alias("fact_id"), "importance", "ingested"), "fact_id").withColumnRenamed("entity_id", "a")
-    right = mentions.withColumnRenamed("entity_id", "b")
-    pairs = left.join(right, "fact_id").where("a < b")
-    grouped = pairs.groupBy("a", "b").agg(F.count("*").alias("meetings"), F.avg("importance").alias("importance"), F.max("ingested").alias("latest"))
+    met = pairs(mentions, facts.select(F.col("id").alias("fact_id"), "importance", "ingested"), n or parts(mentions))
+    grouped = met.groupBy("a", "b").agg(F.count("*").alias("meetings"), F.avg("importance").alias("importance"), F.max("ingested").alias("latest"))
     return grouped.where(F.col("meetings") >= least)
 
 

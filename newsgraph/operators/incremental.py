@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, LongType, StringType, StructField, StructType, TimestampType
 
+from newsgraph.operators import graph
 from newsgraph.session import settle
 from newsgraph.sources.versions import Snapshot
 
@@ -28,9 +29,8 @@ def day_store(spark: SparkSession, folder: str, buckets: int = 64) -> Snapshot:
     return Snapshot(spark, folder, ["entity"], DAYS, buckets)
 
 
-def _pairs(mentions: DataFrame, facts: DataFrame) -> DataFrame:
-    left = mentions.join(facts.select(F.col("id").alias("fact_id"), "importance", F.col("ingested").cast("timestamp").alias("ingested")), "fact_id").withColumnRenamed("entity_id", "a")
-    return left.join(mentions.withColumnRenamed("entity_id", "b"), "fact_id").where("a < b")
+def _pairs(mentions: DataFrame, facts: DataFrame, n: int) -> DataFrame:
+    return graph.pairs(mentions, facts.select(F.col("id").alias("fact_id"), "importance", F.col("ingested").cast("timestamp").alias("ingested")), n)
 
 
 def _edge_sums(pairs: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def _edge_sums(pairs: DataFrame) -> DataFrame:
 
 
 def build_edges(store: Snapshot, mentions: DataFrame, facts: DataFrame) -> int:
-    return store.write(_edge_sums(_pairs(mentions, facts)))
+    return store.write(_edge_sums(_pairs(mentions, facts, graph.parts(mentions))))
 
 
 def _touched(mentions: DataFrame, came: DataFrame, went: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -55,7 +55,8 @@ def _buckets(store: Snapshot, changed: DataFrame) -> list[int]:
 def refresh_edges(store: Snapshot, mentions: DataFrame, facts: DataFrame, came: DataFrame, went: DataFrame) -> dict:
     """A new version of the edges from the mentions before (a set), all facts and the changes; (buckets read, rows read, version)."""
     before, after = _touched(mentions, came, went)
-    old, new = _edge_sums(_pairs(before, facts)), _edge_sums(_pairs(after, facts))
+    n = graph.parts(before)
+    old, new = _edge_sums(_pairs(before, facts, n)), _edge_sums(_pairs(after, facts, n))
     side = lambda df, sign, most: df.select("a", "b", (sign * F.col("meetings")).alias("meetings"), (sign * F.col("importance")).alias("importance"), *most)
     none = F.lit(None).cast("timestamp")
     delta = side(new, 1, [F.col("latest").alias("came"), none.alias("went")]).union(side(old, -1, [none, F.col("latest")]))

@@ -15,7 +15,8 @@ t AS (SELECT a AS entity, b AS partner, meetings, latest FROM e UNION ALL SELECT
 
 
 def _edges(spark, sf_dir):
-    return op.edges(model.mentions(spark, sf_dir), model.dated_facts(spark, sf_dir))
+    lines = model.table(spark, sf_dir, "lineitem")  # whose rows its footers tell
+    return op.edges(model.mentions(spark, sf_dir), model.dated_facts(spark, sf_dir), n=op.parts(lines))
 
 
 @query(f"WITH {_EDGES} SELECT a, b, meetings, round(importance, 6) AS importance, latest::DATE AS latest FROM e")

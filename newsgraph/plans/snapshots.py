@@ -32,7 +32,7 @@ SELECT x.entity_id AS a, y.entity_id AS b, count(*) AS meetings, round(avg(impor
 FROM m x JOIN m y ON x.fact_id = y.fact_id AND x.entity_id < y.entity_id JOIN f ON f.id = x.fact_id GROUP BY 1, 2 HAVING count(*) >= 2""")
 def edges_refresh(spark, sf_dir):
     """Edges stored without the late facts, then refreshed from what came and went: as if made anew."""
-    stood, came, went = _changes(model.mentions(spark, sf_dir))
+    stood, came, went = _changes(settle(model.mentions(spark, sf_dir)))  # read many times
     facts, folder = model.dated_facts(spark, sf_dir), _folder(spark, "edges")
     store = inc.edge_store(spark, folder)
     inc.build_edges(store, stood, facts)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsgraph import registry
-from newsgraph.operators import extraction, similar
+from newsgraph.operators import extraction, graph, similar
 
 
 def plan(df) -> str:
@@ -42,3 +42,14 @@ def test_tags_are_not_searched_once_a_tag(spark):
 
 def test_trigrams_are_made_once_a_text(spark, sf):
     assert plan(registry.QUERIES["trigram_similarity"](spark, sf)).count("regexp_extract_all") <= 2  # a side each, none above the join
+
+
+def test_pairs_are_dealt_by_the_size_of_the_table(spark):
+    rows = [(f, e) for f in range(200) for e in range(f % 5)]
+    mentions = spark.createDataFrame(rows, "fact_id long, entity_id long")
+    facts = spark.createDataFrame([(f, f, dt.datetime(2024, 1, 1)) for f in range(200)], "id long, importance long, ingested timestamp")
+    assert graph.parts(mentions, 50) == 8 and graph.parts(mentions) == 4
+    met = graph.edges(mentions, facts, n=37)
+    assert plan(met).count("hashpartitioning(fact_id") >= 2 and ", 37)" in plan(met) and ", 4)" not in plan(met)
+    got = {(r.a, r.b): (r.meetings, r.importance) for r in met.collect()}
+    assert got == {(a, b): (len(own), sum(own) / len(own)) for b in range(1, 4) for a in range(b) for own in [[f for f in range(200) if f % 5 > b]]}
