@@ -114,6 +114,6 @@ def stream_resolution(spark, sf_dir):
     """Critical alerts resolve by the first reading of 30 or less, from half an hour to six hours after them."""
     folder = _sliced(spark, sf_dir)
     alerts = _alerts(_source(spark, folder)).where("severity = 'critical' or id is null").select("id", "ts", "metric", F.lit(30.0).alias("limit"))
-    readings = _source(spark, folder).where("kind = 'view' or kind is null").select("ts", _metric().alias("metric"), F.coalesce("value", F.lit(0.0)).alias("value"))
+    readings = _source(spark, folder).where("kind = 'view' or kind is null").select("ts", _metric().alias("metric"), F.coalesce("value", F.lit(0.0)).alias("value")).where("value <= 30")
     found = jobs.drain(joins.resolved(alerts, readings, 1800, 21_600), _folder(spark))
     return found.where("id is not null").select("id", F.date_format("resolved_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("resolved_at"))

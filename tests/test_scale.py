@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from newsgraph import registry
-from newsgraph.operators import extraction, graph, similar
+from newsgraph.operators import extraction, graph, series, similar
+from newsgraph.streaming import jobs, joins
 
 
 def plan(df) -> str:
@@ -53,3 +55,37 @@ def test_pairs_are_dealt_by_the_size_of_the_table(spark):
     assert plan(met).count("hashpartitioning(fact_id") >= 2 and ", 37)" in plan(met) and ", 4)" not in plan(met)
     got = {(r.a, r.b): (r.meetings, r.importance) for r in met.collect()}
     assert got == {(a, b): (len(own), sum(own) / len(own)) for b in range(1, 4) for a in range(b) for own in [[f for f in range(200) if f % 5 > b]]}
+
+
+def test_trends_at_the_bound_are_mixed():
+    """Days and mentions whose trend is exactly 3/10: no last bit may put it beyond."""
+    import itertools
+
+    days = np.arange(11000, 11035, 7)
+    found = 0
+    for m in itertools.product((2.0, 3.0, 4.0, 5.0, 6.0, 7.0), repeat=5):
+        n, d, x = 5, [int(v) for v in days], [int(v) for v in m]
+        cov, vd, vx = n * sum(map(int.__mul__, d, x)) - sum(d) * sum(x), n * sum(v * v for v in d) - sum(d) ** 2, n * sum(v * v for v in x) - sum(x) ** 2
+        if vx and 100 * cov * cov == 9 * vd * vx:
+            one, row = np.ones((1, 5)), np.array([m])
+            trend = series.pair_figures(one, row, one, row, days.astype(float))["trend_a"][0, 0]
+            assert not trend > 0.3 and not trend < -0.3
+            found += 1
+    assert found
+
+
+def test_stream_joins_meet_stretches_of_time(spark, tmp_path):
+    """Joined by a stretch of time as well as by metric; moments on either side of its bounds are met once."""
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda m: t0 + dt.timedelta(minutes=m)
+    spark.createDataFrame([(k, at(m), "m") for k, m in enumerate((1, 119, 120, 121, 239, 240, 241, 360, 481))], "id long, ts timestamp, metric string").coalesce(1).write.parquet(f"{tmp_path}/a")
+    spark.createDataFrame([(at(m), "m", 1.0) for m in (0, 121, 360)], "ts timestamp, metric string, value double").coalesce(1).write.parquet(f"{tmp_path}/b")
+    for name in "ab":
+        for k in (1, 2):
+            last = spark.read.parquet(f"{tmp_path}/{name}").limit(1).withColumns({"ts": F.lit(at(90_000 * k)), "metric": F.lit("")})
+            last.coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+    a, b = jobs.source(spark, f"{tmp_path}/a", files=1), jobs.source(spark, f"{tmp_path}/b", files=1)
+    joined = joins.suppressed(a, b.select("ts", "metric"), 7200)
+    assert "_cell" in joined._jdf.queryExecution().analyzed().toString()
+    got = jobs.drain(joined, f"{tmp_path}/out")
+    assert sorted(r.id for r in got.where("metric = 'm'").collect()) == [2, 6, 8]
