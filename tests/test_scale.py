@@ -89,3 +89,18 @@ def test_stream_joins_meet_stretches_of_time(spark, tmp_path):
     assert "_cell" in joined._jdf.queryExecution().analyzed().toString()
     got = jobs.drain(joined, f"{tmp_path}/out")
     assert sorted(r.id for r in got.where("metric = 'm'").collect()) == [2, 6, 8]
+
+
+def test_texts_are_written_once_whatever_they_meet(spark, sf, tmp_path):
+    """A block is one file, read where it meets another; pairs are judged there and neither joined nor shuffled."""
+    text = plan(registry.QUERIES["near_duplicates"](spark, sf))
+    assert "MapInArrow" in text and "CoGroup" not in text and "hashpartitioning(item" not in text
+    pairs = text[: text.index("MapInArrow")]
+    assert "Exchange" not in pairs and "Join" not in pairs
+    items = spark.createDataFrame([(k, "x", list(range(k % 7, 40 + k % 7))) for k in range(300)], "item long, block string, grams array<long>").repartition(5)
+    blocks = similar._blocks(items, f"file://{tmp_path}/blocks", 0.5, 50).collect()
+    files = list((tmp_path / "blocks").iterdir())
+    assert len(blocks) == 6 and {b.file.rsplit("/")[-1] for b in blocks} <= {f.name for f in files}
+    loaded = [similar._load(b.file) for b in blocks]
+    assert sorted(i for t, _ in loaded for i in t["item"].to_pylist()) == list(range(300))
+    assert sum(len(places) for _, (_, places, _) in loaded) == 300 * 40
