@@ -54,7 +54,7 @@ def job_states(events: DataFrame, target: str) -> DataFrame:
 
 
 def slices(rows: DataFrame, folder: str, moment: str, parts: int, closing: str = "30 days") -> None:
-    """A table as files of a folder in the order of time, for a stream that takes a slice a batch; after the last slice two rows of nulls, later by
+    """A table, read by all tasks, as files of a folder in the order of time, for a stream that takes a slice a batch; after the last slice two rows of nulls, later by
     `closing`, so that the watermark passes all others."""
     low, high = rows.agg(F.min(F.unix_micros(F.col(moment).cast("timestamp"))), F.max(F.unix_micros(F.col(moment).cast("timestamp")))).first()
     if low is None:
@@ -63,7 +63,7 @@ def slices(rows: DataFrame, folder: str, moment: str, parts: int, closing: str =
     at = F.unix_micros(F.col(moment).cast("timestamp"))
     step = max(1, -(-(high - low + 1) // parts))
     for k in range(parts):
-        rows.where((at >= low + k * step) & (at < low + (k + 1) * step)).coalesce(1).write.mode("append").parquet(folder)
+        rows.where((at >= low + k * step) & (at < low + (k + 1) * step)).repartition(1).write.mode("append").parquet(folder)
     for k in (1, 2):  # the first moves the watermark, the second's batch runs with it
         last = F.timestamp_micros(F.lit(high)) + k * F.expr(f"INTERVAL {closing}")
         rows.sparkSession.range(1).select(*[(last if f.name == moment else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields]).write.mode("append").parquet(folder)

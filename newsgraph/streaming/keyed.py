@@ -3,6 +3,8 @@
 State is a value or a map per key. Decisions go by the rows' own moments; a timer at the end of a
 state's time lets it go once the watermark has passed, so what is held is bounded by the keys of that
 time. A key's rows of one micro-batch are put in the order of time; the source bounds what a batch has.
+Where keys are many, they are dealt to buckets whose state is a table of keys: a call into Python is one a
+bucket, not one a key, and its keys are decided together.
 State is kept by RocksDB, with its checkpoint in the stream's folder.
 """
 
@@ -45,26 +47,49 @@ class _Timed(StatefulProcessor):
         pass
 
 
+#: Buckets that keys are dealt to; fixed while a stream's state lives.
+BUCKETS = 512
+
+
 class _LastPassed(_Timed):
-    """A row passes if its key's last one that passed is as long ago as the time to live."""
+    """A row passes if its key's last one that passed is as long ago as the time to live. State: a bucket's keys, with when each last passed."""
 
     def __init__(self, keys: list[str], tie: str, seconds: float, drop: bool) -> None:
         self.keys, self.tie, self.time, self.drop = keys, tie, int(seconds * 1e6), drop
 
     def states(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "micros long")
+        self.last = handle.getValueState("last", "keys binary")
+
+    def known(self) -> pd.DataFrame | None:
+        import pyarrow as pa
+
+        return pa.ipc.open_stream(self.last.get()[0]).read_pandas() if self.last.exists() else None
+
+    def keep(self, known: pd.DataFrame) -> None:
+        import pyarrow as pa
+
+        table = pa.Table.from_pandas(known, preserve_index=False)
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write_table(table)
+        self.last.update((out.getvalue().to_pybytes(),))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        rows = _ordered(rows, self.tie)
-        at, passed = _micros(rows["ts"]), np.zeros(len(rows), bool)
-        k = 0 if not self.last.exists() else int(np.searchsorted(at, self.last.get()[0] + self.time))
-        before = None
-        while k < len(at):  # from one row that passes to the next
-            passed[k], before = True, int(at[k])
-            k = max(k + 1, int(np.searchsorted(at, before + self.time)))
-        if before is not None:
-            self.last.update((before,))
-            self.wake(timerValues, before + self.time)
+        rows = _ordered(rows, self.tie).drop(columns="_bucket", errors="ignore")
+        known, at = self.known(), _micros(rows["ts"])
+        n = 0 if known is None else len(known)
+        each = rows[self.keys] if known is None else pd.concat([known[self.keys], rows[self.keys]])
+        number = each.groupby(self.keys, dropna=False, sort=False).ngroup().to_numpy()
+        last = np.full(number.max() + 1, np.iinfo(np.int64).min // 2)
+        if n:
+            last[number[:n]] = known["micros"].to_numpy()
+        passed = passing(number[n:], at, last, self.time)
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        first = np.full(len(last), len(number))
+        np.minimum.at(first, number, np.arange(len(number)))
+        held = last + self.time > now  # others let pass whatever is not late
+        self.keep(each.iloc[first[held]].assign(micros=last[held]))
+        self.wake(timerValues, int(last.max()) + self.time)
         out = rows[passed] if self.drop else rows.assign(allowed=passed)
         yield out.reset_index(drop=True)
 
@@ -73,6 +98,28 @@ class _LastPassed(_Timed):
         yield from ()
 
 
+def passing(number: np.ndarray, at: np.ndarray, last: np.ndarray, time: int) -> np.ndarray:
+    """Which rows (the numbers of their keys, moments in order) pass; last, when each key last passed, is brought up to date.
+
+    All keys go from one row that passes to their next at once, as often as one of them has another.
+    """
+    passed = np.zeros(len(at), bool)
+    moments, rank = np.unique(at, return_inverse=True)
+    width = len(moments) + 1
+    place = number.astype(np.int64) * width + rank  # by key and moment
+    order = np.argsort(place, kind="stable")
+    place = place[order]
+    active, after = np.unique(number).astype(np.int64), 0
+    while len(active):
+        k = np.maximum(np.searchsorted(place, active * width + np.searchsorted(moments, last[active] + time)), after)
+        more = k < np.searchsorted(place, (active + 1) * width)
+        active, k = active[more], k[more]
+        passed[order[k]] = True
+        last[active] = at[order[k]]
+        after = k + 1
+    return passed
+
+
 class _Flood(_Timed):
     """Attempts, start and whether it was told, of a key's current period."""
 
@@ -153,14 +200,19 @@ def _schema(rows: DataFrame) -> str:
     return ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes)
 
 
-def first_seen(rows: DataFrame, *keys: str, seconds: float, tie: str) -> DataFrame:
+def _last_passed(rows: DataFrame, keys: list[str], tie: str, seconds: float, drop: bool, schema: str, buckets: int) -> DataFrame:
+    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    return _run(dealt, ["_bucket"], _LastPassed(keys, tie, seconds, drop), schema)
+
+
+def first_seen(rows: DataFrame, *keys: str, seconds: float, tie: str, buckets: int = BUCKETS) -> DataFrame:
     """Rows (ts, keys, tie, ..) whose key didn't pass within the time to live before. The time isn't lengthened by repeats."""
-    return _run(rows, list(keys), _LastPassed(list(keys), tie, seconds, True), _schema(rows))
+    return _last_passed(rows, list(keys), tie, seconds, True, _schema(rows), buckets)
 
 
-def throttle(rows: DataFrame, key: str, seconds: float = 60, tie: str = "id") -> DataFrame:
+def throttle(rows: DataFrame, key: str, seconds: float = 60, tie: str = "id", buckets: int = BUCKETS) -> DataFrame:
     """rows with allowed: at most one a key in the time after one that passed."""
-    return _run(rows, [key], _LastPassed([key], tie, seconds, False), f"{_schema(rows)}, allowed boolean")
+    return _last_passed(rows, [key], tie, seconds, False, f"{_schema(rows)}, allowed boolean", buckets)
 
 
 def flood_control(alerts: DataFrame, key: str, most: int = 3, minutes: float = 60, escalate: int = 5) -> DataFrame:

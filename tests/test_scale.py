@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from newsgraph import registry
 from newsgraph.operators import extraction, graph, series, similar
-from newsgraph.streaming import jobs, joins
+from newsgraph.streaming import jobs, joins, keyed
 
 
 def plan(df) -> str:
@@ -104,3 +104,20 @@ def test_texts_are_written_once_whatever_they_meet(spark, sf, tmp_path):
     loaded = [similar._load(b.file) for b in blocks]
     assert sorted(i for t, _ in loaded for i in t["item"].to_pylist()) == list(range(300))
     assert sum(len(places) for _, (_, places, _) in loaded) == 300 * 40
+
+
+def test_keys_are_decided_a_bucket_at_a_time(spark):
+    """A call for a bucket of keys, not one a key; all pass as one by one."""
+    rows = spark.readStream.format("rate").load().select(F.col("timestamp").alias("ts"), F.col("value").alias("id"), F.col("value").alias("user"))
+    seen = keyed.first_seen(rows.withWatermark("ts", "1 hour"), "user", seconds=60, tie="id")
+    assert "_bucket" in seen._jdf.queryExecution().analyzed().toString() and seen.columns == ["ts", "id", "user"]
+    r = np.random.default_rng(5)
+    for time in (0, 1, 7, 1000):
+        number, at = r.integers(0, 9, 400), np.sort(r.integers(0, 300, 400))
+        last = np.where(np.arange(9) % 2, np.iinfo(np.int64).min // 2, 5)
+        want, before = [], last.copy()
+        for k, t in zip(number, at, strict=True):
+            want.append(bool(t - before[k] >= time))
+            if want[-1]:
+                before[k] = t
+        assert keyed.passing(number, at, last, time).tolist() == want and last.tolist() == before.tolist()
