@@ -66,15 +66,19 @@ def centrality(edges: DataFrame, entities: DataFrame, relevant: int = 7) -> Data
     return scored.where((F.col("degree") > 0) | (F.col("relevance") >= relevant))
 
 
-def top_partners(edges: DataFrame, k: int = 5) -> DataFrame:
-    """(entity, rank, partner, meetings, latest): the k closest, ties to the smaller partner."""
+def top_partners(edges: DataFrame, k: int = 5, n: int | None = None) -> DataFrame:
+    """(entity, rank, partner, meetings, latest): the k closest, ties to the smaller partner. n: partitions that entities are dealt to."""
     closest = Window.partitionBy("entity").orderBy(F.desc("meetings"), "partner")
-    ranked = both_ways(edges).withColumn("rank", F.row_number().over(closest)).where(F.col("rank") <= k)
+    ways = both_ways(edges)
+    ranked = (ways.repartition(n, "entity") if n else ways).withColumn("rank", F.row_number().over(closest)).where(F.col("rank") <= k)
     return ranked.select("entity", "rank", "partner", "meetings", "latest")
 
 
-def partner_lists(edges: DataFrame, entities: DataFrame, k: int = 5) -> DataFrame:
-    """(entity, partners): an ordered array of at most k structs, cut before it is gathered."""
-    named = top_partners(edges, k).join(entities.select(F.col("id").alias("partner"), "name"), "partner")
+def partner_lists(edges: DataFrame, entities: DataFrame, k: int = 5, n: int | None = None) -> DataFrame:
+    """(entity, partners): an ordered array of at most k structs, cut before it is gathered. n: partitions of all that is dealt."""
+    top, known = top_partners(edges, k, n), entities.select(F.col("id").alias("partner"), "name")
+    if n:
+        top, known = top.repartition(n, "partner"), known.repartition(n, "partner")
+    named = top.join(known, "partner")
     item = F.struct("rank", "partner", "name", "meetings")
-    return named.groupBy("entity").agg(F.sort_array(F.collect_list(item)).alias("partners"))
+    return (named.repartition(n, "entity") if n else named).groupBy("entity").agg(F.sort_array(F.collect_list(item)).alias("partners"))

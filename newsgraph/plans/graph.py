@@ -14,9 +14,12 @@ e AS (SELECT x.entity_id AS a, y.entity_id AS b, count(*) AS meetings, avg(impor
 t AS (SELECT a AS entity, b AS partner, meetings, latest FROM e UNION ALL SELECT b, a, meetings, latest FROM e)"""
 
 
+def _parts(spark, sf_dir):
+    return op.parts(model.table(spark, sf_dir, "lineitem"))  # whose rows its footers tell
+
+
 def _edges(spark, sf_dir):
-    lines = model.table(spark, sf_dir, "lineitem")  # whose rows its footers tell
-    return op.edges(model.mentions(spark, sf_dir), model.dated_facts(spark, sf_dir), n=op.parts(lines))
+    return op.edges(model.mentions(spark, sf_dir), model.dated_facts(spark, sf_dir), n=_parts(spark, sf_dir))
 
 
 @query(f"WITH {_EDGES} SELECT a, b, meetings, round(importance, 6) AS importance, latest::DATE AS latest FROM e")
@@ -41,13 +44,13 @@ def entity_centrality(spark, sf_dir):
 @query(f"""WITH {_EDGES}
 SELECT * FROM (SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY meetings DESC, partner)::INTEGER AS rank, partner, meetings, latest::DATE AS latest FROM t) WHERE rank <= 5""")
 def top_partners(spark, sf_dir):
-    return op.top_partners(_edges(spark, sf_dir)).withColumn("latest", F.to_date("latest"))
+    return op.top_partners(_edges(spark, sf_dir), n=_parts(spark, sf_dir)).withColumn("latest", F.to_date("latest"))
 
 
 @query(f"""WITH {_EDGES},
 r AS (SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY meetings DESC, partner) AS rank, partner, meetings FROM t)
 SELECT entity, string_agg(p_name || ':' || meetings, '|' ORDER BY rank) AS partners FROM r JOIN part ON partner = p_partkey WHERE rank <= 5 GROUP BY entity""")
 def partner_lists(spark, sf_dir):
-    lists = op.partner_lists(_edges(spark, sf_dir), model.part_entities(spark, sf_dir))
+    lists = op.partner_lists(_edges(spark, sf_dir), model.part_entities(spark, sf_dir), n=_parts(spark, sf_dir))
     text = F.transform("partners", lambda p: F.concat_ws(":", p["name"], p["meetings"].cast("string")))
     return lists.select("entity", F.array_join(text, "|").alias("partners"))

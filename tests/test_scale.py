@@ -132,3 +132,12 @@ def test_replies_are_written_and_unwrapped_in_plain_expressions(spark, sf):
     got = [r.j for r in df.select(extraction.unfenced(F.col("r")).alias("j")).collect()]
     assert got == ["{}", '{"a": "```"}', '{\\"b\\": 1}', "{x}", "{x}", None, None, None, None, None, "{1}"]
     assert "startswith" in plan(df.select(extraction.unfenced(F.col("r")))).lower()
+
+
+def test_partners_are_dealt_by_the_size_of_the_table(spark):
+    """Nothing above the edges is left to the session's number of partitions."""
+    edges = spark.createDataFrame([(a, b, a + b, dt.datetime(2024, 1, 1)) for b in range(8) for a in range(b)], "a long, b long, meetings long, latest timestamp")
+    names = spark.createDataFrame([(k, f"n{k}") for k in range(8)], "id long, name string")
+    lists = graph.partner_lists(edges, names, n=37)
+    assert plan(lists).count(", 37)") >= 3 and ", 4)" not in plan(lists)
+    assert {r.entity: [p.partner for p in r.partners] for r in lists.collect()} == {e: sorted(set(range(8)) - {e}, reverse=True)[:5] for e in range(8)}
