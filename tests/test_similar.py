@@ -135,6 +135,32 @@ def test_whole_conflicts_of_both_kinds(spark, rows, folder):
     assert (62, 61) in members and (61, 60) in got and {i for pair in got for i in pair} <= {item for _, item in members}
 
 
+def test_texts_are_not_shuffled(spark, tmp_path):
+    """Conflicts shuffle digests and trigrams: less than half of the texts' bytes, where whole texts went through two shuffles."""
+    from pathlib import Path
+
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8))) for _ in range(300)]
+    docs = [(i, " ".join(r.choice(words) for _ in range(2500)), "en", f"src{i % 2}") for i in range(60)]
+    spark.createDataFrame([*docs, (60, docs[0][1], "en", "src0")], "doc_id long, text string, lang string, source string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 3 != 0), int(i % 4 == 0)) for i in range(40)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f: f.stat().st_size for d in folders for f in Path(d).glob("*/shuffle_*.data")}
+    before = files()
+    assert registry.QUERIES["conflict_feed"](spark, str(tmp_path)).count()
+    shuffled = sum(n for f, n in files().items() if f not in before)
+    assert 0 < shuffled < sum(len(d[1]) for d in docs) / 2
+
+
+def test_repeated_rows_are_members_of_one_class(spark, tmp_path):
+    """A row that is there twice, and an id with two texts, give no pair twice."""
+    rows = [(1, "one two three four", "en", "s"), (1, "one two three four", "en", "s"), (1, "quite another text", "en", "s"), (2, "one two three four five", "en", "t"), (3, "quite another text here", "en", "t"), (4, None, "en", "s"), (5, "...", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted((r.a, r.b, r.duplicate) for r in registry.QUERIES["near_duplicates"](spark, str(tmp_path)).collect())
+    assert got == [(1, 1, "posible_duplicado"), (1, 2, "contenido_contradictorio_similar"), (1, 3, "contenido_contradictorio_similar")]
+
+
 def test_stored_index_answers_as_a_join_does(spark, tmp_path):
     """Appends, ties, repeated names, names without trigrams, and a stored side that isn't moved."""
     import random
