@@ -27,13 +27,48 @@ from . import common
 
 CAPACITY = 2048
 END = 0
-#: Word stems of which a Python worker remembers the ids; beyond it starts anew.
-REMEMBERED = 600_000
+#: Different words of which a Python worker remembers the ids (some 40 bytes a word); beyond it starts anew.
+REMEMBERED = 1_000_000
+#: Bytes of text that are looked up together (each look-up goes over all that is remembered), and words or ids that are put together at a time.
+LOOKED_UP, AT_ONCE = 16 << 20, 1 << 20
+
+
+class Known:
+    """Different strings in an Arrow array and the ids of each, all in a row."""
+
+    def __init__(self, kind: np.dtype) -> None:
+        self.keys, self.ids, self.bounds = None, np.zeros(0, kind), np.zeros(1, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.bounds) - 1
+
+    def places(self, strings, encode) -> np.ndarray:
+        """Where each of the strings (an Arrow array, all different) is; encode gives the ids of new ones and the number of each's."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        at = np.full(len(strings), -1) if self.keys is None else pc.fill_null(pc.index_in(strings, value_set=self.keys), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = strings.take(pa.array(new))
+            ids, sizes = encode(fresh)
+            at[new] = len(self) + np.arange(len(new))
+            self.keys = fresh if self.keys is None else pa.concat_arrays([self.keys, fresh])
+            self.ids = np.concatenate([self.ids, ids.astype(self.ids.dtype)])
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+        return at
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the strings at these places in a row, and the number of each's."""
+        starts = self.bounds[at]
+        sizes = self.bounds[at + 1] - starts
+        return self.ids[common.ranges(starts, sizes)], sizes
 
 
 class Encoder:
     """The ids of whole texts. Words between ASCII white space are encoded on their own (this tokenizer drops
-    white space, so they don't touch each other), each different one once a batch, stems of letters once a worker."""
+    white space, so they don't touch each other), each different one once a worker, and so are stems of letters.
+    Words are looked up as Arrow arrays: only those that are new to a worker become Python strings."""
 
     def __init__(self, path: str) -> None:
         import os
@@ -50,47 +85,37 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.bounds, self.used, self.count = np.zeros(1 << 16, np.uint16 if len(self.closing) <= 1 << 16 else np.uint32), np.zeros(1 << 14, np.int64), 0, 0
-
-    def _store(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.count + len(sizes) + 1 > len(self.bounds):
-            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.bounds[self.count + 1 : self.count + 1 + len(sizes)] = self.used + np.cumsum(sizes)
-        self.used, self.count = self.used + len(ids), self.count + len(sizes)
-
-    def _each(self, words: list[str]) -> None:
+        kind = np.uint16 if len(self.closing) <= 1 << 16 else np.uint32
+        self.words, self.parts = Known(kind), Known(kind)
+
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        self._store(np.array([i for ids in encoded for i in ids], np.int64), np.fromiter(map(len, encoded), np.int64, len(encoded)))
-
-    def learn(self, words: list[str], letters: bool) -> np.ndarray:
-        """Positions of the words' ids; letters: every word is one run of letters, which one closing id ends."""
-        fresh = [w for w in dict.fromkeys(words) if w not in self.known]
-        for first in range(0, len(fresh), 512):
-            some = fresh[first : first + 512]
-            self.known.update(zip(some, range(self.count, self.count + len(some)), strict=True))
-            if letters:
-                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
-                ends = np.flatnonzero(self.closing[ids]) + 1
-                if len(ends) == len(some) and (not len(ends) or ends[-1] == len(ids)):
-                    self._store(ids, np.diff(ends, prepend=0))
-                    continue
-            self._each(some)
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        return np.array([i for ids in encoded for i in ids], np.int64), np.fromiter(map(len, encoded), np.int64, len(encoded))
 
-    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """An Arrow array of texts to all ids in a row and the number of each text's."""
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that are one run of letters, which one closing id ends."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.flatnonzero(self.closing[ids]) + 1
+        if len(ends) == len(words) and (not len(ends) or ends[-1] == len(ids)):
+            return ids, np.diff(ends, prepend=0)
+        return self._each(words)
+
+    def _learn(self, strings, encode) -> np.ndarray:
+        """Places in `parts` of an Arrow array of strings, which may repeat."""
+
+        def by_lists(fresh):
+            found = [encode(fresh.slice(first, 512).to_pylist()) for first in range(0, len(fresh), 512)]
+            return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+        coded = strings.dictionary_encode()
+        return self.parts.places(coded.dictionary, by_lists)[coded.indices.to_numpy()]
+
+    def _of_words(self, raw) -> tuple[np.ndarray, np.ndarray]:
+        """Words that are new to this worker to all their ids in a row and the number of each's."""
         import pyarrow.compute as pc
 
-        if self.count > REMEMBERED:
-            self.forget()
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        coded = split.flatten().dictionary_encode()
         # The tokenizer looks for added tokens first, in their own case only, and lower-cases the rest.
-        words = pc.if_else(pc.match_substring_regex(coded.dictionary, self.added), coded.dictionary, pc.ascii_lower(coded.dictionary))
+        words = pc.if_else(pc.match_substring_regex(raw, self.added), raw, pc.ascii_lower(raw))
         # Letters and then ASCII marks without an apostrophe: the two are encoded apart, as the tokenizer's split does.
         # Only scripts whose letters stay letters when normalised and lower-cased (U+0130 doesn't).
         letters = pc.match_substring_regex(words, r"^\p{L}+[!-&(-/:-@\[-`{-~]*$")
@@ -98,18 +123,29 @@ class Encoder:
         plain = pc.and_(pc.and_(letters, scripts), pc.invert(pc.match_substring(words, "\u0130"))).to_numpy(zero_copy_only=False)
         stem = pc.replace_substring_regex(words, r"^(\p{L}+)[!-&(-/:-@\[-`{-~]*$", r"\1")
         marks = pc.replace_substring_regex(words, r"^\p{L}+([!-&(-/:-@\[-`{-~]*)$", r"\1")
-        first, second = np.zeros(len(words), np.int64), np.full(len(words), -1)
-        first[plain] = self.learn(stem.filter(plain).to_pylist(), True)
-        first[~plain] = self.learn(words.filter(~plain).to_pylist(), False)
+        parts = np.full((len(words), 2), -1)
+        parts[plain, 0] = self._learn(stem.filter(plain), self._letters)
+        parts[~plain, 0] = self._learn(words.filter(~plain), self._each)
         marked = plain & (pc.binary_length(marks).to_numpy() > 0)
-        second[marked] = self.learn(marks.filter(marked).to_pylist(), False)
+        parts[marked, 1] = self._learn(marks.filter(marked), self._each)
+        ids, sizes = self.parts.of(parts[parts >= 0])
+        own = np.zeros(parts.shape, np.int64)
+        own[parts >= 0] = sizes
+        return ids, own.sum(axis=1)
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """An Arrow array of texts to all ids in a row and the number of each text's."""
+        import pyarrow.compute as pc
+
+        if len(self.words) > REMEMBERED:
+            self.forget()
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        at = self.words.places(coded.dictionary, self._of_words)
         code = coded.indices.to_numpy()
-        parts = np.stack([first[code], second[code]], axis=1).ravel()
-        parts = parts[parts >= 0]
-        sizes = self.bounds[parts + 1] - self.bounds[parts]
-        ids = self.flat[common.ranges(self.bounds[parts], sizes)]
-        per_word = (self.bounds[first + 1] - self.bounds[first]) + np.where(second >= 0, self.bounds[second + 1] - self.bounds[second], 0)
-        edges = np.concatenate(([0], np.cumsum(per_word[code])))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        found = [self.words.of(at[code[first : first + AT_ONCE]]) for first in range(0, max(len(code), 1), AT_ONCE)]
+        ids, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
+        edges = np.concatenate(([0], np.cumsum(sizes)))[split.offsets.to_numpy() - split.offsets[0].as_py()]
         return ids, np.diff(edges)
 
 
@@ -124,26 +160,29 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
         if vocabulary not in _encoders:
             _encoders[vocabulary] = Encoder(vocabulary)
-        for chunk in common.chunks(batches, "text", 8 << 20):
+        for chunk in common.chunks(batches, "text", LOOKED_UP):
             ids, counts = _encoders[vocabulary].encode(chunk["text"])
-            at, doc, piece, start, length, crc, out = 0, [], [], [], [], [], []
-            for i, n in enumerate(counts.tolist()):
-                own = np.append(ids[at : at + n], end).astype("<u4")
-                at += n
-                for k, first in enumerate(range(0, len(own), capacity)):
-                    part = own[first : first + capacity]
-                    doc.append(i)
-                    piece.append(k)
-                    start.append(first)
-                    length.append(len(part))
-                    crc.append(zlib.crc32(part.tobytes()))
-                    if keep_ids:
-                        out.append(part)
-            columns = {"doc_id": chunk["doc_id"].take(pa.array(doc)), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
-            if keep_ids:
-                offsets = pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32))
-                columns["ids"] = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out).astype(np.int32)))
-            yield pa.record_batch(columns)
+            part, at, i = np.cumsum(counts) // (4 * AT_ONCE), 0, 0
+            for last in [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(counts)]:
+                doc, piece, start, length, crc, out = [], [], [], [], [], []
+                for i, n in enumerate(counts[i:last].tolist(), i):
+                    own = np.append(ids[at : at + n], end).astype("<u4")
+                    at += n
+                    for k, first in enumerate(range(0, len(own), capacity)):
+                        cut = own[first : first + capacity]
+                        doc.append(i)
+                        piece.append(k)
+                        start.append(first)
+                        length.append(len(cut))
+                        crc.append(zlib.crc32(cut.tobytes()))
+                        if keep_ids:
+                            out.append(cut)
+                i = last
+                columns = {"doc_id": chunk["doc_id"].take(pa.array(doc)), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
+                if keep_ids:
+                    offsets = pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32))
+                    columns["ids"] = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out).astype(np.int32)))
+                yield pa.record_batch(columns)
 
     picked = common.take(docs, doc_id=id_col, text=text_col)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids

@@ -683,6 +683,34 @@ def test_encoder_is_the_tokenizer():
         assert ids[end - n : end].tolist() == whole.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
+def test_known_words_are_not_looked_at_again(monkeypatch):
+    """Words that a worker has met aren't matched anew with a later chunk's, whatever it has forgotten meanwhile."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from tokenizers import Tokenizer
+
+    own, whole = packing.Encoder(packing.vocabulary()), Tokenizer.from_file(packing.vocabulary())
+    r, looked_at, match = random.Random(3), [], pc.match_substring_regex
+    monkeypatch.setattr(pc, "match_substring_regex", lambda x, *a, **k: (looked_at.append(len(x)), match(x, *a, **k))[1])
+    texts = [" ".join(r.choice(["stone", "Stone,", "don't", "rivers", "river.", "x9-y"]) + r.choice(["", "s", "!"]) for _ in range(30)) for _ in range(40)]
+
+    def check(some):
+        ids, counts = own.encode(pa.array(some, pa.string()))
+        ends = np.cumsum(counts)
+        assert [ids[end - n : end].tolist() for n, end in zip(counts, ends, strict=True)] == [whole.encode(t, add_special_tokens=False).ids for t in some]
+
+    monkeypatch.setattr(packing, "AT_ONCE", 7, raising=False)
+    check(texts)
+    met = sum(looked_at)
+    check(texts[::-1])
+    assert met and sum(looked_at) == met
+    monkeypatch.setattr(packing, "REMEMBERED", 10)
+    for k in range(0, 40, 10):
+        check(texts[k : k + 10])
+    check([])
+    check(["", " "])
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
