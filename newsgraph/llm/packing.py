@@ -186,7 +186,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     picked = common.take(docs, doc_id=id_col, text=text_col)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return picked.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return common.map_texts(picked.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

@@ -133,7 +133,7 @@ def score(docs: DataFrame, model: Compressed | None, id_col: str = "doc_id", tex
             yield pa.record_batch({"doc_id": chunk["doc_id"], "held_out": chunk["held_out"], "score": pa.array(scores, pa.float64()), "predicted": pa.array((scores >= threshold).astype(np.int32))})
 
     picked = common.take(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return picked.withColumn("held_out", held_out(F.col("doc_id"))).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return common.map_texts(picked.withColumn("held_out", held_out(F.col("doc_id"))), run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Compressed | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -150,7 +150,7 @@ def keep_good(docs: DataFrame, model: Compressed | None, text_col: str = "text",
         for chunk in common.chunks(batches, at):
             yield chunk.filter(pa.array(model.scores(chunk[at].to_pylist()) >= threshold))
 
-    return flat.mapInArrow(run, flat.schema).toDF(*docs.columns)
+    return common.map_texts(flat, run, flat.schema).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -669,6 +669,43 @@ def test_held_out_documents_are_told_apart(spark):
 # 10
 
 
+def test_texts_go_to_python_in_small_batches(spark):
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.record_batch({"n": pa.array([batch.num_rows]), "b": pa.array([batch.nbytes])})
+
+    docs = spark.range(0, 24, 1, 1).selectExpr("id AS doc_id", "repeat('word ', IF(id = 5, 4000000, 200000)) AS text")  # 1 MB each and one of 20 MB
+    model = quality.fit_texts(["some good words"] * 30, ["!! ?? !!"] * 30)
+    try:
+        for built in (lambda: packing.pieces(docs, packing.vocabulary()), lambda: near_dedup.fingerprints(docs), lambda: quality.score(docs, model), lambda: quality.keep_good(docs, model)):
+            spark.conf.unset(common.BATCH_CONF)
+            built()
+            assert spark.conf.get(common.BATCH_CONF) == str(common.BATCH_BYTES)
+        found = common.map_texts(docs, sizes, "n long, b long").collect()
+        assert len(found) > 2 and sum(r.n for r in found) == 24 and sum(r.b for r in found) >= 43_000_000
+        assert sorted(r.b for r in found)[-2] < common.BATCH_BYTES + 1_100_000 and max(r.b for r in found) < common.BATCH_BYTES + 20_100_000
+        spark.conf.set(common.BATCH_CONF, "1m")  # a session's own limit stays
+        common.map_texts(docs, sizes, "n long, b long")
+        assert spark.conf.get(common.BATCH_CONF) == "1m"
+    finally:
+        spark.conf.unset(common.BATCH_CONF)
+
+
+def test_free_memory_is_given_back():
+    def held() -> int:
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"\nPss_Anon:\s+(\d+)", f.read())[1])
+
+    before = held()
+    words, last = [str(i) * 3 for i in range(1_500_000)], "z" * 90  # the last keeps the heap from shrinking by itself
+    full = held()
+    words = words[-1:]
+    common.give_back()
+    assert full - before > 80_000 and held() < before + (full - before) // 2 and words and last
+
+
 def test_encoder_is_the_tokenizer():
     import pyarrow as pa
     from tokenizers import Tokenizer
