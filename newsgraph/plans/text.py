@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import functions as F
 
 from newsgraph.functions import dates, html, text, urls
@@ -143,10 +146,13 @@ def prepared_texts(spark, sf_dir):
     docs = model.table(spark, sf_dir, "documents")
     facts = text.combined("hechos", {"contenido": F.col("source"), "tipo_hecho": F.col("lang"), "etiquetas": F.lit("a, b"), "pais": F.lit(None).cast("string")})
     fragment = text.combined("fragmentos_extensos", {"titulo_seccion": F.col("source"), "contenido": F.col("text")})
+    titled, content = F.nullif(F.concat(F.lit("Sección: "), "source"), F.lit("Sección: ")), F.nullif("text", F.lit(""))
+    told = lambda c, *names: F.when(~reduce(or_, [F.col(n).isNull() for n in names]), c)
+    whole = told(fragment == F.concat_ws(" | ", titled, content), "source", "text")  # empty fields are left out
     day = F.make_date(F.lit(2024), F.lit(1), (F.pmod("doc_id", F.lit(28)) + 1).cast("int"))
     return docs.select(
-        "doc_id", facts.alias("facts"), (fragment == F.concat(F.lit("Sección: "), "source", F.lit(" | "), "text")).alias("fragment"), text.storage_path(F.col("source"), day, F.col("lang")).alias("path"),
-        text.message(F.concat(F.lit("Medio "), "source"), F.col("n_chars").cast("double"), F.lit(1000.0)).alias("message"), text.escape_html(F.concat(F.lit("<"), "lang", F.lit("> & '"), "source")).alias("escaped"),
+        "doc_id", facts.alias("facts"), whole.alias("fragment"), told(text.storage_path(F.col("source"), day, F.col("lang")), "source", "lang").alias("path"),
+        told(text.message(F.concat(F.lit("Medio "), "source"), F.col("n_chars").cast("double"), F.lit(1000.0)), "source", "n_chars").alias("message"), text.escape_html(F.concat(F.lit("<"), "lang", F.lit("> & '"), "source")).alias("escaped"),
     )
 
 

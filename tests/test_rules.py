@@ -495,7 +495,7 @@ def test_feed_files_whose_names_begin_as_bad_ones_do(spark, sf, monkeypatch):
     assert len(got) == len(docs) + 2 and set(got) == docs | {None}
 
 
-@pytest.mark.parametrize("name", ["feed_outcomes"])
+@pytest.mark.parametrize("name", ["feed_outcomes", "prepared_texts"])
 def test_documents_without_text(spark, tmp_path, name):
     """Empty and missing texts, sources and lengths, as the query's SQL has them."""
     import duckdb
