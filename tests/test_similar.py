@@ -99,6 +99,35 @@ def test_overlaps_are_counted_in_parts():
         assert similar.overlaps(flat, sizes, flat, sizes, columns).tolist() == [[len(set(x) & set(y)) for y in sets] for x in sets]
 
 
+def test_rare_grams_are_counted_pair_by_pair(monkeypatch):
+    """Whatever counts as rare, and however few pairs go at a time."""
+    r = random.Random(2)
+    sets = [sorted(r.sample(range(60), r.randint(0, 30))) for _ in range(25)]
+    side = lambda own: (np.array([g for s in own for g in s], np.int64), np.array([len(s) for s in own]))
+    for rare in (0, 0.1, 1):
+        monkeypatch.setattr(similar, "RARE", rare)
+        for pairs in (1, 50, 1 << 22):
+            monkeypatch.setattr(similar, "PAIRS", pairs)
+            for own, other in ((sets, sets), (sets[:9], sets[9:])):
+                assert similar.overlaps(*side(own), *side(other)).tolist() == [[len(set(x) & set(y)) for y in other] for x in own]
+
+
+def test_blocks_meet_where_a_pair_can_be(spark, tmp_path):
+    """Texts of about one size share a block, those with core apart, and only pairs with core on a side are found."""
+    r = random.Random(4)
+    items = [(k, "x", sorted(r.sample(range(90), r.randint(20, 80))), k % 3 == 0) for k in range(300)]
+    df = spark.createDataFrame(items, "item long, block string, grams array<long>, core boolean").repartition(5)
+    blocks = similar._blocks(df, f"file://{tmp_path}/blocks", 0.5, 20).collect()
+    assert sum(similar._load(b.file)[0].num_rows for b in blocks) == 300
+    for key in {(b.core, b["class"]) for b in blocks}:
+        own = sorted((b.split, b.least, b.most) for b in blocks if (b.core, b["class"]) == key)
+        assert all(x[2] <= y[1] for x, y in zip(own, own[1:], strict=False))
+    assert {b.core for b in blocks} == {True, False} and max(b.most / b.least for b in blocks) < 2
+    want = {(a, b) for a, _, x, p in items for b, _, y, q in items if a < b and (p or q) and len({*x} & {*y}) > 0.5 * len({*x} | {*y})}
+    got = [(x.a, x.b) for x in similar.similar_texts(df, None, 0.5, rows=20).collect()]
+    assert sorted(got) == sorted(want) and want
+
+
 def test_content_membership(spark, rows, folder):
     want = {(r[0], min(m[0] for m in members)) for members in classes(rows).values() for r in members}
     assert {(r.id, r.item) for r in registry.QUERIES["content_membership"](spark, folder).collect()} == want
