@@ -128,6 +128,13 @@ def test_blocks_meet_where_a_pair_can_be(spark, tmp_path):
     assert sorted(got) == sorted(want) and want
 
 
+@pytest.mark.parametrize("name", ["near_duplicates", "conflict_feed"])
+def test_pairs_are_rounded_in_plain_arithmetic(spark, folder, name):
+    """Spark's round makes a decimal object a row."""
+    text = registry.QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "round(" not in text and ("FLOOR(" if name == "near_duplicates" else "rint(") in text
+
+
 def test_content_membership(spark, rows, folder):
     want = {(r[0], min(m[0] for m in members)) for members in classes(rows).values() for r in members}
     assert {(r.id, r.item) for r in registry.QUERIES["content_membership"](spark, folder).collect()} == want
